@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules with QUERIES (name to a function of session and table folder) and SQL.
-MODULES = ("near_dedup",)
+MODULES = ("decontaminate", "token_files", "fingerprints", "url_filter", "chat_format", "source_mix", "near_dedup")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -79,7 +79,7 @@ class Words:
 def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BLOCK) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Batches cut into runs of whole rows with about limit bytes of text; a null text is empty."""
     for batch in batches:
-        texts = [x or b"" for x in batch.column(column).to_pylist()]
+        texts = [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
         first = size = 0
         for i, t in enumerate(texts):
             if size and size + len(t) > limit:
