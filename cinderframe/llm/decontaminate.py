@@ -79,7 +79,7 @@ def longest(pos: np.ndarray, m: np.ndarray, item: np.ndarray, place: np.ndarray)
     new = np.ones(len(pos), bool)
     new[1:] = (item[1:] != item[:-1]) | (pos[1:] != pos[:-1] + 1) | (place[1:] != place[:-1] + 1)
     at = np.flatnonzero(new)
-    last = np.append(at[1:], len(pos)) - 1
+    last = np.append(at[1:], len(pos))[: len(at)] - 1
     return pos[at], item[at], place[at], pos[last] - pos[at] + m[last]
 
 

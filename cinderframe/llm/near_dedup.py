@@ -96,7 +96,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def _block_links(percent: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Confirmed links between the two sides of a pair of blocks, other than those inside one component."""
+    """A confirmed link from each class on the left to each other component on the right, in a pair of blocks."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
@@ -114,8 +114,10 @@ def _block_links(percent: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
                 lo, n = lo[hi > lo], (hi - lo)[hi > lo]
                 at = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if len(n) else np.zeros(0, int)
                 common = np.bincount(owner[at], minlength=len(sets))
-                good = (100 * common >= percent * (len(own) + sizes - common)) & (labels != label) & (nodes != node)
-                out += [(min(node, x), max(node, x)) for x in nodes[good]]
+                linked = (100 * common >= percent * (len(own) + sizes - common)) & (labels != label) & (nodes != node)
+                for k in np.unique(labels[linked], return_index=True)[1]:  # one link to a component is enough
+                    x = nodes[linked][k]
+                    out.append((min(node, x), max(node, x)))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return run
@@ -173,16 +175,20 @@ def near_duplicates(
         pairs = pairs.select("a", "b", n.alias("n"), (F.size("shingles_a") + F.size("shingles_b") - n).alias("u"))
         return pairs.filter(100 * F.col("n") >= percent * F.col("u")).select("a", "b")
 
-    links: DataFrame | None = None
-    labels = lists.select("node", F.col("node").alias("label")).limit(0)
+    labels = scratch.cut(listed.select("node", F.col("node").alias("label")))
 
     def joined(new: DataFrame) -> None:
-        nonlocal links, labels
-        links = scratch.cut(new if links is None else links.union(new))
-        labels = components(links, scratch)
+        """Join the components that new links (a, b) connect; only components are linked, not nodes again."""
+        nonlocal labels
+        for side in "ab":
+            new = new.join(labels.select(F.col("node").alias(side), F.col("label").alias(f"l{side}")), side)
+        edges = scratch.cut(new.select(F.col("la").alias("a"), F.col("lb").alias("b")).filter("a <> b").distinct())
+        merged = components(edges, scratch).withColumnsRenamed({"node": "label", "label": "top"})
+        labels = scratch.cut(labels.join(merged, "label", "left").select("node", F.coalesce("top", "label").alias("label")))
+        scratch.drop(edges)
 
     def labelled() -> DataFrame:
-        return lists.join(labels, "node", "left").select("node", "token", F.coalesce("label", "node").alias("label"))
+        return lists.join(labels, "node")
 
     ordered = (F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b"))
     for r in range(rounds):
