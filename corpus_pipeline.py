@@ -1,3 +1,50 @@
-STAGES=[]
-ORACLE_SQL=None
-def run(spark, sf_dir): pass
+"""The corpus pipeline: language, near duplicates, contamination, source weights, token files."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from cinderframe.llm.decontaminate import decontaminate
+from cinderframe.llm.language_id import keep_languages, train
+from cinderframe.llm.near_dedup import near_duplicates
+from cinderframe.llm.source_mix import mixed_documents
+from cinderframe.llm.token_files import token_table
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that have a language; null, letterless and unrecognisable texts go."""
+    return keep_languages(docs, train(docs))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group: that with the smallest id."""
+    gone = near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("gone"))
+    return docs.join(gone, docs.doc_id.eqNullSafe(gone.gone), "left_anti")
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark window occurs."""
+    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of the weighted mix, one row for each time that the mix takes them."""
+    return mixed_documents(docs)
+
+
+def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files written and read back: doc_id, start, n_tokens and ids_crc32."""
+    return token_table(docs)
+
+
+STAGES = [("language", language), ("near_dedup", near_dedup), ("decontamination", decontamination), ("source_mix", source_mix), ("token_files", token_files)]
+
+#: SQL cannot express the network of the first stage.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+    return docs
