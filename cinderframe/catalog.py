@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cinderframe.plans import time_queries
+from cinderframe.plans import raster_queries, study_queries, time_queries
 
-_PLANS = (time_queries,)
+_PLANS = (time_queries, study_queries, raster_queries)
 FLAGSHIP = "q_asof_interp"
 QUERIES = {name: f for m in _PLANS for name, f in m.QUERIES.items()}
 SQL = {name: sql for m in _PLANS for name, sql in m.SQL.items()}
