@@ -30,7 +30,7 @@ MAGIC = b"CFTOKEN1"
 #: Ids per block, and ids after which a task starts a new file.
 BLOCK_IDS, FILE_IDS = 4096, 16 << 20
 #: Pieces of text whose ids a worker remembers before it starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 1_200_000
 
 
 def width(vocabulary: int) -> int:
@@ -89,23 +89,32 @@ class TokenFile:
         return self.ids(int(self.ends[k - 1]) if k else 0, int(self.ends[k]))
 
 
+def _byte_signs() -> list[str]:
+    """The sign that byte-level vocabularies write for each byte: visible Latin-1 for itself, others from U+0100 on."""
+    seen = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    other = iter(range(256))
+    return [chr(b) if b in seen else chr(256 + next(other)) for b in range(256)]
+
+
 class _Pieces(dict):
     """Ids, as bytes, of pieces of text between single spaces; misses are encoded by the tokenizer."""
 
     #: Signs that are a piece of their own after a letter, whatever follows.
     TAIL = '.,;:!?*$%&#"()'
 
-    def __init__(self, encode: Callable[[str], bytes], lead: str):
-        self.encode, self.lead = encode, lead
+    def __init__(self, encode: Callable[[str], bytes], word: Callable[[str], bytes], lead: str):
+        self.encode, self.word, self.lead = encode, word, lead
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
         if piece == "\n":
             out = self.encode(piece)
-        elif "\n" in piece:
+        elif "\n" in piece:  # rarely seen again, so not remembered
             first, *rest = piece.split("\n")
-            out = self[first] + b"".join(self.bare["\n"] + self.bare[x] for x in rest)
+            return self[first] + b"".join(self.bare["\n"] + self.bare[x] for x in rest)
+        elif piece.isalpha() and max(piece) < "ɐ":  # one word of the tokenizer's pattern
+            out = self.word(self.lead + piece)
         else:
             core = piece.rstrip(self.TAIL)
             if core != piece and core and core[-1].isalpha() and core[-1] < "ɐ":
@@ -131,12 +140,19 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size()
-        self.bare, self.spaced = _Pieces(self.encode, ""), _Pieces(self.encode, " ")
+        self.model, signs = self.tokenizer.model, _byte_signs()
+        self.table = str.maketrans({chr(b): x for b, x in enumerate(signs)})
+        self.bare, self.spaced = _Pieces(self.encode, self.word, ""), _Pieces(self.encode, self.word, " ")
         self.bare.bare = self.spaced.bare = self.bare
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def word(self, word: str) -> bytes:
+        """ids of one word of the tokenizer's pattern: the merges alone, without the search for words."""
+        shown = word.encode().decode("latin-1").translate(self.table)
+        return np.array([x.id for x in self.model.tokenize(shown)], "<u4").tobytes()
+
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
