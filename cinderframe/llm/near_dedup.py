@@ -183,7 +183,7 @@ def near_duplicates(
         for side in "ab":
             new = new.join(labels.select(F.col("node").alias(side), F.col("label").alias(f"l{side}")), side)
         edges = scratch.cut(new.select(F.col("la").alias("a"), F.col("lb").alias("b")).filter("a <> b").distinct())
-        merged = components(edges, scratch).withColumnsRenamed({"node": "label", "label": "top"})
+        merged = components(edges, scratch).select(F.col("node").alias("label"), F.col("label").alias("top"))
         labels = scratch.cut(labels.join(merged, "label", "left").select("node", F.coalesce("top", "label").alias("label")))
         scratch.drop(edges)
 
