@@ -40,20 +40,20 @@ def fingerprint(rows: DataFrame, keys: list[str], texts: list[str]) -> DataFrame
     keys must tell rows apart. A row's pairs are summed in the stage that holds it, then by key.
     """
     lanes = [f"s{i}" for i in range(SIGN_LANES // 2)]
-    wide = rows.select(*keys, *[F.struct(F.array_join(F.transform(_digest_lanes(F.col(t)), _hex), "").alias("identity")).alias(f"id_{k}") for k, t in enumerate(texts)], F.array(*[F.struct(F.lit(k).alias("which"), F.col(t).alias("text")) for k, t in enumerate(texts)]).alias("t"))
+    wide = rows.select(*keys, *[F.unhex(F.array_join(F.transform(_digest_lanes(F.col(t)), _hex), "")).alias(f"id_{k}") for k, t in enumerate(texts)], F.array(*[F.struct(F.lit(k).alias("which"), F.col(t).alias("text")) for k, t in enumerate(texts)]).alias("t"))
     ids = [f"id_{k}" for k in range(len(texts))]
     each = wide.select(*keys, *ids, F.explode("t").alias("t")).select(*keys, *ids, F.col("t.which").alias("which"), F.flatten(F.transform(_paragraphs(F.col("t.text")), _pairs)).alias("pairs"))
     each = each.select(*keys, *ids, "which", F.explode_outer("pairs").alias("h"))
     sums = each.groupBy(*keys, *ids, "which").agg(F.count("h").alias("n"), *[F.coalesce(F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(_MASK))), F.lit(0)).alias(x) for i, x in enumerate(lanes)])
     low, high = [F.col(x).bitwiseAND(F.lit((1 << 32) - 1)) for x in lanes], [F.shiftrightunsigned(F.col(x), 32) for x in lanes]
-    signs = sums.select(*keys, *ids, "which", F.struct(F.array(*low, *high).alias("ones"), "n").alias("fp"))
-    out = signs.groupBy(*keys).agg(*[F.first(F.when(F.col("which") == k, F.struct(F.col(f"id_{k}.identity").alias("identity"), F.col("fp.ones").alias("ones"), F.col("fp.n").alias("n"))), ignorenulls=True).alias(f"fp_{k}") for k in range(len(texts))])
+    signs = sums.select(*keys, *ids, "which", F.struct(F.array(*[x.cast("int") for x in (*low, *high)]).alias("ones"), "n").alias("fp"))
+    out = signs.groupBy(*keys).agg(*[F.first(F.when(F.col("which") == k, F.struct(F.col(f"id_{k}").alias("identity"), F.col("fp.ones").alias("ones"), F.col("fp.n").alias("n"))), ignorenulls=True).alias(f"fp_{k}") for k in range(len(texts))])
     return out
 
 
 def fingerprint_text(fp: Column) -> Column:
     """A fingerprint as hexadecimal digits: identity lanes, sign lanes, number of pairs."""
-    return F.concat(fp.identity, F.array_join(F.transform(fp.ones, _hex), ""), _hex(fp.n.bitwiseAND(F.lit((1 << 32) - 1))))
+    return F.concat(F.lower(F.hex(fp.identity)), F.array_join(F.transform(fp.ones, _hex), ""), _hex(fp.n.bitwiseAND(F.lit((1 << 32) - 1))))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -67,9 +67,9 @@ def likeness(a: Column, b: Column) -> Column:
 def combine(a: Column, b: Column, sign: int = 1) -> Column:
     """The fingerprint after inserting (sign 1) or deleting (-1) the paragraphs whose fingerprint is b."""
     mask = F.lit((1 << 32) - 1)
-    lane = lambda x, y: (x + sign * y).bitwiseAND(mask)
-    number = lambda fp, i: F.conv(F.substr(fp.identity, i * 8 + 1, F.lit(8)), 16, 10).cast("long")
-    identity = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(DIGEST_LANES - 1)), lambda i: _hex(lane(number(a, i), number(b, i)))), "")
+    lane = lambda x, y: (x.cast("long") + sign * y).bitwiseAND(mask)
+    number = lambda fp, i: F.conv(F.substr(F.hex(fp.identity), i * 8 + 1, F.lit(8)), 16, 10).cast("long")
+    identity = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(DIGEST_LANES - 1)), lambda i: _hex(lane(number(a, i), number(b, i)))), ""))
     return F.struct(identity.alias("identity"), F.zip_with(a.ones, b.ones, lane).alias("ones"), lane(a.n, b.n).alias("n"))
 
 
@@ -104,7 +104,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "prints")
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    base = base.withColumn("key", F.concat_ws(":", F.md5("text"), F.col("id").cast("string")))
+    base = base.withColumn("key", F.concat(F.unhex(F.md5("text")), F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")))
     down = [F.col("id").desc_nulls_last(), F.col("key")]
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = base.select("id", "key", F.length("text").alias("n")).groupBy("id", "key").agg(F.first("n").alias("n"), F.count("*").alias("copies"))
@@ -114,18 +114,20 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     by_part = Window.orderBy("part")  # a row per range
     all_parts = by_part.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     following = order.filter("place = 1").select(F.col("part").alias("p"), F.coalesce(F.lead("key").over(by_part), F.first("key").over(all_parts)).alias("after"))
-    order = scratch.cut(order.join(following, F.col("part") == F.col("p")).select("key", "n", "copies", F.coalesce("next", "after").alias("next")))
+    order = scratch.cut(order.join(following, F.col("part") == F.col("p")).select("id", "key", "n", "copies", F.coalesce("next", "after").alias("next")))
 
-    texts = base.groupBy("key").agg(F.first("id").alias("id"), F.first("text").alias("text"))
-    asked = order.select(F.col("key").alias("of"), F.floor(F.col("n") / 3).cast("int").alias("cut"), "next")
-    heads = texts.join(asked, texts.key == asked.next).select("of", "cut", F.substr("text", F.lit(1), F.col("cut")).alias("prefix"))
+    # both joins read the same two columns of the texts, so these are shuffled once
+    texts = base.groupBy("key").agg(F.first("text").alias("text"))
+    previous = order.select(F.col("next").alias("key"), F.col("key").alias("previous"))
+    asked = order.join(previous, "key").select(F.col("key").alias("of"), "id", "copies", "previous", F.floor(F.col("n") / 3).cast("int").alias("cut"), "next")
+    heads = texts.join(asked, texts.key == asked.next).select("of", "id", "copies", "previous", "cut", F.substr("text", F.lit(1), F.col("cut")).alias("prefix"))
     rows = texts.join(heads, texts.key == heads.of)
-    rows = rows.select("key", "id", "text", F.concat(F.substr("text", F.lit(1), F.length("text") - F.col("cut")), "prefix").alias("edited"), F.length("text").cast("long").alias("n_chars"))
-    rows = rows.withColumn("edited_sha256", F.sha2("edited", 256))
-    prints = scratch.cut(fingerprint(rows, ["key", "id", "n_chars", "edited_sha256"], ["text", "edited"]))
-    nexts = prints.select(F.col("key").alias("n_key"), F.col("fp_0").alias("fp_next"))
-    linked = order.select(F.col("key").alias("o_key"), "copies", "next").join(nexts, F.col("next") == F.col("n_key"))
-    out = prints.join(linked, F.col("key") == F.col("o_key")).withColumn("k", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    rows = rows.select("key", "id", "copies", "previous", "text", F.concat(F.substr("text", F.lit(1), F.length("text") - F.col("cut")), "prefix").alias("edited"), F.length("text").cast("long").alias("n_chars"))
+    rows = rows.withColumn("sha", F.unhex(F.sha2("edited", 256)))
+    prints = scratch.cut(fingerprint(rows, ["key", "id", "copies", "previous", "n_chars", "sha"], ["text", "edited"]))
+    nexts = prints.select(F.col("previous").alias("key"), F.col("fp_0").alias("fp_next"))
+    out = prints.join(nexts, "key").withColumn("k", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    out = out.withColumn("edited_sha256", F.lower(F.hex("sha")))
     return out.select(F.col("id").alias(id_col), "n_chars", "edited_sha256", fingerprint_text(F.col("fp_0")).alias("fingerprint"), fingerprint_text(F.col("fp_1")).alias("edited_fingerprint"), likeness(F.col("fp_0"), F.col("fp_1")).alias("near_edited"), likeness(F.col("fp_0"), F.col("fp_next")).alias("near_next"))
 
 
