@@ -28,8 +28,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most: int)
     after = F.sum("weight").over(by_level.rowsBetween(0, Window.unboundedFollowing))
     budget = F.lit(share) * F.sum("source_size").over(Window.partitionBy())
     out = out.withColumn("wanted", (budget - before) / after * F.col("weight")).withColumn("capped", F.col("wanted") >= F.col("cap"))
-    level = F.min(F.when(~F.col("capped"), F.col("wanted") / F.col("weight"))).over(Window.partitionBy())
-    # past the first uncapped source all are uncapped and share that source's level
+    # the level grows up to the first source that is not capped and falls behind it: that source's level is the greatest
+    level = F.max(F.when(~F.col("capped"), F.col("wanted") / F.col("weight"))).over(Window.partitionBy())
     return out.withColumn("level", level).select("source", "source_size", F.least(F.coalesce(F.col("level") * F.col("weight"), F.col("cap").cast("double")), F.col("cap").cast("double")).alias("target"))
 
 
@@ -134,7 +134,7 @@ x AS (
   SELECT *, CAST(sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
             / CAST(sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) * weight AS wanted FROM w),
 g AS (
-  SELECT source, source_size, least(coalesce(min(CASE WHEN wanted < cap THEN wanted / weight END) OVER () * weight, cap::DOUBLE), cap::DOUBLE) AS target FROM x),
+  SELECT source, source_size, least(coalesce(max(CASE WHEN wanted < cap THEN wanted / weight END) OVER () * weight, cap::DOUBLE), cap::DOUBLE) AS target FROM x),
 p AS (
   SELECT d.doc_id, d.source, d.size, g.source_size, g.target,
          CAST(sum(size) OVER (PARTITION BY d.source ORDER BY k, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - size AS b
