@@ -33,7 +33,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most: int)
     return out.withColumn("level", level).select("source", "source_size", F.least(F.coalesce(F.col("level") * F.col("weight"), F.col("cap").cast("double")), F.col("cap").cast("double")).alias("target"))
 
 
-def mix_passes(docs: DataFrame, size: Column, id_col: str = "doc_id", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), share: float = 1.0, most: int = 3, seed: str = "mix", bucket_rows: int = 20_000) -> tuple[DataFrame, DataFrame, DataFrame]:
+def mix_passes(docs: DataFrame, size: Column, id_col: str = "doc_id", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), share: float = 1.0, most: int = 3, seed: str = "mix", bucket_rows: int = 2_000) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Passes of the mix, source targets, and the sized documents (doc_id, source, size, copies).
 
     Passes: (doc_id, source, size, copies, pass, finish, words): in pass 0, 1, .. of its shuffled source, a
@@ -95,7 +95,7 @@ def mix_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     in the shuffle. Sources of no words have target 0. Other columns are not read; empty in, empty out.
     """
     passes, goal, rows = mix_passes(docs, word_count(F.col(text_col)), id_col, source_col, weights, share, most)
-    took = mix_order(passes).groupBy("doc_id", "source", "size").agg(F.sum("words").alias("words"), F.min("position").alias("first_position"))
+    took = mix_order(passes, max(4096, rows.count() // 2_000)).groupBy("doc_id", "source", "size").agg(F.sum("words").alias("words"), F.min("position").alias("first_position"))
     took = took.select(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("size").alias("z"), "words", "first_position")
     out = rows.join(took, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")), "left")
     out = out.join(goal.withColumnRenamed("source", "g"), F.col("source").eqNullSafe(F.col("g")))
