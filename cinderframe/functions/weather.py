@@ -6,6 +6,16 @@ import math
 
 from pyspark.sql import Column, functions as F
 
+# Published constants that results depend on.
+#: Magnus form of saturation vapour pressure: Pa, slope, degrees Celsius.
+MAGNUS = (610.94, 17.625, 243.04)
+#: Van Wagner and Pickett's equilibria: factor, power, share of the exponential, for drying and wetting.
+DRYING, WETTING = (0.942, 0.679, 11.0, 0.499), (0.618, 0.753, 10.0, 0.454)
+#: Solar declination: amplitude and phase in radians.
+DECLINATION = (0.409, 1.39)
+#: Standard atmosphere: degrees Celsius at sea level, fall per metre, metres of density altitude per degree.
+ATMOSPHERE = (15.0, 0.0065, 36.576)
+
 
 def clip(x: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), x))
@@ -17,7 +27,8 @@ def ramp(x: Column, low: float, high: float) -> Column:
 
 
 def saturation_vapour_pressure_pa(celsius: Column) -> Column:
-    return 610.94 * F.exp(17.625 * celsius / (celsius + 243.04))
+    a, b, c = MAGNUS
+    return a * F.exp(b * celsius / (celsius + c))
 
 
 def vapour_pressure_deficit_pa(celsius: Column, humidity_pct: Column) -> Column:
@@ -26,7 +37,8 @@ def vapour_pressure_deficit_pa(celsius: Column, humidity_pct: Column) -> Column:
 
 def day_length_hours(latitude_deg: Column, day_of_year: Column) -> Column:
     """Hours of daylight from latitude and day of the year."""
-    declination = 0.409 * F.sin(2 * math.pi * day_of_year / 365 - 1.39)
+    a, phase = DECLINATION
+    declination = a * F.sin(2 * math.pi * day_of_year / 365 - phase)
     return 24 / F.pi() * F.acos(clip(-F.tan(F.radians(latitude_deg)) * F.tan(declination), -1.0, 1.0))
 
 
@@ -47,9 +59,9 @@ def circular_mean_deg(angle: Column) -> Column:
 
 def equilibrium_moisture_pct(celsius: Column, humidity_pct: Column, wetting: bool = False) -> Column:
     """Moisture at which a fine fuel neither dries nor wets (Van Wagner and Pickett)."""
-    a, b, c = (0.618, 0.753, 0.454) if wetting else (0.942, 0.679, 0.499)
+    a, b, c, _ = WETTING if wetting else DRYING
     h = clip(humidity_pct, 0.0, 100.0)
-    return a * F.pow(h, F.lit(b)) + (10.0 if wetting else 11.0) * F.exp((h - 100) / 10) + 0.18 * (21.1 - celsius) * (1 - F.exp(-0.115 * h))
+    return a * F.pow(h, F.lit(b)) + c * F.exp((h - 100) / 10) + 0.18 * (21.1 - celsius) * (1 - F.exp(-0.115 * h))
 
 
 def half_life(value: Column, elapsed: Column, life: Column) -> Column:
@@ -63,5 +75,5 @@ def ignition_hazard(rate: Column, residence: Column, treatment: Column, minutes:
 
 def density_altitude_m(pressure_altitude_m: Column, celsius: Column) -> Column:
     """Pressure altitude plus 120 feet for each degree above the standard atmosphere."""
-    standard = 15.0 - 0.0065 * pressure_altitude_m
-    return pressure_altitude_m + 36.576 * (celsius - standard)
+    base, fall, per_degree = ATMOSPHERE
+    return pressure_altitude_m + per_degree * (celsius - (base - fall * pressure_altitude_m))

@@ -175,3 +175,49 @@ def spread_step(grid: DataFrame, keys: list[str], burning: str, fuel: str, rate:
     out = grid.join(heat, [*keys, "y", "x"], "left")
     p = 1 - F.exp(-F.lit(rate) * F.coalesce("heat", F.lit(0.0)) * F.col(fuel))
     return out.select(*keys, "y", "x", F.when(F.col(burning), 1.0).otherwise(p).alias("p"))
+
+
+def _solve(keys: list[str], length: float, noise: float):
+    def run(key: tuple, obs: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
+        """Gaussian covariances between observations and from them to a block of cells."""
+        at = obs[["oy", "ox"]].to_numpy(float)
+        to = cells[["y", "x"]].to_numpy(float)
+        between = lambda a, b: np.exp(-((a[:, None] - b[None]) ** 2).sum(axis=2) / (2 * length * length))
+        out = cells[[*keys, "y", "x"]].copy()
+        if not len(at):
+            return out.assign(correction=0.0, sd=1.0)
+        cross = between(to, at)
+        gain = np.linalg.solve(between(at, at) + noise * noise * np.eye(len(at)), cross.T).T
+        return out.assign(correction=gain @ obs["innovation"].to_numpy(float), sd=np.sqrt(np.maximum(0, 1 - (gain * cross).sum(axis=1))))
+
+    return run
+
+
+def optimal_interpolation(obs: DataFrame, grid: DataFrame, keys: list[str], length: float, noise: float, blocks: int = 16) -> DataFrame:
+    """Correction and posterior deviation at every cell from innovations (keys, oy, ox, innovation) of a few stations.
+
+    A key's cells are dealt over blocks; each block gets the key's stations, of which a network has few.
+    """
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in grid.select(*keys, "y", "x").schema)
+    cells = grid.select(*keys, "y", "x").withColumn("_b", F.pmod(F.xxhash64("y", "x"), F.lit(blocks)).cast("int"))
+    stations = obs.select(*keys, "oy", "ox", "innovation", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"))
+    out = stations.groupBy(*keys, "_b").cogroup(cells.groupBy(*keys, "_b")).applyInPandas(_solve(keys, length, noise), f"{kinds}, correction double, sd double")
+    return out
+
+
+def component_labels(mask: DataFrame, keys: list[str]) -> DataFrame:
+    """Cells with `label`, the least y * 2**31 + x of their 8-connected part.
+
+    Each round joins every part to its least neighbouring part and follows such joins eight steps, so
+    rounds grow with the logarithm of a part's extent; a round's labels are checkpointed.
+    """
+    cells = mask.select(*keys, "y", "x", (F.col("y").cast("long") * (1 << 31) + F.col("x")).alias("label")).checkpoint()
+    while True:
+        near = shifted(cells.withColumnRenamed("label", "_near"), EIGHT).select(*keys, "y", "x", "_near")
+        joins = cells.join(near, [*keys, "y", "x"]).filter("_near < label").groupBy(*keys, "label").agg(F.min("_near").alias("_to")).checkpoint()
+        if joins.isEmpty():
+            return cells
+        for _ in range(3):
+            further = joins.select(*keys, F.col("label").alias("_to"), F.col("_to").alias("_next"))
+            joins = joins.join(further, [*keys, "_to"], "left").select(*keys, "label", F.coalesce("_next", "_to").alias("_to"))
+        cells = cells.join(joins, [*keys, "label"], "left").select(*keys, "y", "x", F.coalesce("_to", "label").alias("label")).checkpoint()

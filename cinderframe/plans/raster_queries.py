@@ -91,7 +91,30 @@ def q_fuel_change(spark: SparkSession, d: str) -> DataFrame:
     return p.groupBy("old", "new").agg(F.count("*").alias("cells"), F.max((F.col("old") != F.col("new")).cast("int")).alias("changed"))
 
 
-QUERIES = {f.__name__: f for f in (q_confusion, q_dilate, q_boundary, q_tolerance_f1, q_distance, q_boundary_distance, q_isotropic, q_wind_ellipse, q_slope, q_blur, q_local_maxima, q_drop_footprint, q_spread_step, q_fuel_change)}
+def q_components(spark: SparkSession, d: str) -> DataFrame:
+    from cinderframe.sources.tables import checkpoint_folder
+
+    checkpoint_folder(spark)
+    out = raster.component_labels(_grid(spark, d).filter("p_size <= 20"), K)
+    return out.groupBy("label").agg(F.count("*").alias("cells"))
+
+
+def q_optimal_interpolation(spark: SparkSession, d: str) -> DataFrame:
+    g = _grid(spark, d)
+    obs = g.filter("p_size = 1").select("incident", F.col("y").alias("oy"), F.col("x").alias("ox"), (F.col("height") / 1000).alias("innovation"))
+    return raster.optimal_interpolation(obs, g, K, 2.0, 0.3).select("y", "x", F.round("correction", 6).alias("correction"), F.round("sd", 6).alias("sd"))
+
+
+def q_geo_functions(spark: SparkSession, d: str) -> DataFrame:
+    from cinderframe.functions import geo
+
+    s = spark.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", "s_name", (F.col("s_suppkey") * 3.5 % 360 - 180).alias("lon"), (F.col("s_suppkey") * 1.7 % 160 - 80).alias("lat"))
+    mx, my = geo.web_mercator(F.col("lon"), F.col("lat"))
+    square = [(-100.0, -40.0), (90.0, -40.0), (90.0, 50.0), (-100.0, 50.0)]
+    return s.select("s_suppkey", F.round(mx, 3).alias("mx"), F.round(my, 3).alias("my"), geo.utm_epsg(F.col("lon"), F.col("lat")).alias("epsg"), geo.slug("s_name").alias("slug"), geo.state_prefix(F.concat(F.lit("CA-"), "s_name")).alias("state"), geo.inside(F.col("lon"), F.col("lat"), square).alias("inside"), F.round(geo.table_lookup(F.col("lat"), [-50.0, 0.0, 30.0], [1.0, 4.0, 2.0]), 6).alias("looked_up"))
+
+
+QUERIES = {f.__name__: f for f in (q_confusion, q_dilate, q_boundary, q_tolerance_f1, q_distance, q_boundary_distance, q_isotropic, q_wind_ellipse, q_slope, q_blur, q_local_maxima, q_drop_footprint, q_spread_step, q_fuel_change, q_components, q_optimal_interpolation, q_geo_functions)}
 
 _G = "WITH g AS (SELECT (p_partkey // 40)::INT AS y, (p_partkey % 40)::INT AS x, p_size, p_type, p_retailprice AS height FROM part)"
 _NEAR = "SELECT a.y, a.x, min(sqrt((a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x))) AS d FROM {a} a, {b} b GROUP BY a.y, a.x"
@@ -133,4 +156,14 @@ SELECT y::INT AS y, x::INT AS x, round(sum(share), 6) AS coverage FROM s GROUP B
     + """, h AS (SELECT g.y, g.x, sum(1 / sqrt((g.y - b.y) * (g.y - b.y) + (g.x - b.x) * (g.x - b.x))) AS heat FROM g JOIN g b ON b.p_size <= 10 AND abs(g.y - b.y) <= 1 AND abs(g.x - b.x) <= 1 AND NOT (g.y = b.y AND g.x = b.x) GROUP BY g.y, g.x)
 SELECT g.y, g.x, round(CASE WHEN p_size <= 10 THEN 1 ELSE 1 - exp(-0.35 * coalesce(heat, 0) * CASE WHEN p_type = 'ECONOMY' THEN 0 ELSE height / 1000 END) END, 6) AS p FROM g LEFT JOIN h ON g.y = h.y AND g.x = h.x""",
     "q_fuel_change": "SELECT p_size AS old, CASE WHEN p_type = 'ECONOMY' THEN p_size + 1 ELSE p_size END AS new, count(*) AS cells, max((p_type = 'ECONOMY')::INT) AS changed FROM part GROUP BY ALL",
+    "q_components": _G.replace("WITH g", "WITH RECURSIVE g")
+    + """, m AS (SELECT y, x, y::BIGINT * 2147483648 + x AS id FROM g WHERE p_size <= 20),
+r AS (SELECT y, x, id AS label FROM m UNION SELECT n.y, n.x, r.label FROM r JOIN m n ON abs(n.y - r.y) <= 1 AND abs(n.x - r.x) <= 1 WHERE r.label < n.id),
+l AS (SELECT y, x, min(label) AS label FROM r GROUP BY y, x)
+SELECT label, count(*) AS cells FROM l GROUP BY label""",
+    "q_geo_functions": """
+WITH s AS (SELECT s_suppkey, s_name, (s_suppkey * 3.5) % 360 - 180 AS lon, (s_suppkey * 1.7) % 160 - 80 AS lat FROM supplier)
+SELECT s_suppkey, round(radians(lon) * 6378137, 3) AS mx, round(ln(tan(pi() / 4 + radians(lat) / 2)) * 6378137, 3) AS my, (CASE WHEN lat >= 0 THEN 32600 ELSE 32700 END + least(59, floor((lon + 180) / 6)) + 1)::INT AS epsg,
+       regexp_replace(regexp_replace(lower(s_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, 'CA' AS state, lon < 90 AND lon >= -100 AND lat >= -40 AND lat < 50 AS inside,
+       round(CASE WHEN lat <= -50 THEN 1 WHEN lat <= 0 THEN 1 + (lat + 50) / 50 * 3 WHEN lat <= 30 THEN 4 - lat / 30 * 2 ELSE 2 END, 6) AS looked_up FROM s""",
 }

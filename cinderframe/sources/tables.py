@@ -100,3 +100,11 @@ def write_missing(rows: DataFrame, path: str, keys: list[str]) -> None:
     if jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path):
         rows = rows.join(spark.read.parquet(path).select(*keys), keys, "left_anti")
     rows.write.mode("append").parquet(path)
+
+
+def checkpoint_folder(spark: SparkSession) -> None:
+    """Set a folder for checkpoint() where the session has none: on a cluster spark.checkpoint.dir names it."""
+    import tempfile
+
+    if not spark.sparkContext.getConf().get("spark.checkpoint.dir") and spark._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
