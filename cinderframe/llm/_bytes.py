@@ -79,12 +79,14 @@ class Words:
 def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BLOCK) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Batches cut into runs of whole rows with about limit bytes of text; a null text is empty."""
     for batch in batches:
-        texts = [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
-        first = size = 0
-        for i, t in enumerate(texts):
-            if size and size + len(t) > limit:
-                yield batch.slice(first, i - first), texts[first:i]
-                first, size = i, 0
-            size += len(t)
-        if first < len(texts):
-            yield batch.slice(first), texts[first:]
+        first, size, held = 0, 0, []
+        for at in range(0, batch.num_rows, 256):  # a batch's texts are not all held twice
+            for t in batch.column(column).slice(at, 256).cast(pa.binary()).to_pylist():
+                t = t or b""
+                if held and size + len(t) > limit:
+                    yield batch.slice(first, len(held)), held
+                    first, size, held = first + len(held), 0, []
+                held.append(t)
+                size += len(t)
+        if held:
+            yield batch.slice(first), held
