@@ -166,3 +166,17 @@ def advantages(x: Column, reward: str, value: str, done: str, gamma: float, lam:
         return F.struct((delta + gamma * lam * go * a.adv).alias("adv"), r[value].alias("next"))
 
     return F.aggregate(F.reverse(x), start, step, lambda a: a.adv)
+
+
+def overlapping(left: DataFrame, right: DataFrame, keys: list[str], start: str, end: str, width: float) -> DataFrame:
+    """Pairs (l, r) of rows with equal keys whose half-open intervals [start, end) overlap.
+
+    An interval is put into every bucket of `width` that it touches; a pair is taken only in the bucket in
+    which its overlap begins, so it comes once. Choose width near the usual length of an interval.
+    """
+    touched = lambda: F.explode(F.sequence(F.floor(F.col(start) / width), F.floor((F.greatest(F.col(end), F.col(start))) / width)))
+    l = left.select(*keys, touched().alias("_b"), F.struct(*left.columns).alias("l"))
+    r = right.select(*keys, touched().alias("_b"), F.struct(*right.columns).alias("r"))
+    first = F.floor(F.greatest(F.col(f"l.{start}"), F.col(f"r.{start}")) / width)
+    cond = (F.col(f"l.{start}") < F.col(f"r.{end}")) & (F.col(f"r.{start}") < F.col(f"l.{end}")) & (F.col("_b") == first)
+    return l.join(r, [*keys, "_b"]).filter(cond).select("l", "r")

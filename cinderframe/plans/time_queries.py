@@ -110,7 +110,25 @@ def q_gae(spark: SparkSession, d: str) -> DataFrame:
     return x.select("user_id", F.round(ts.advantages(F.col("x"), "value", "guess", "done", 0.99, 0.95), 6).alias("advantage"))
 
 
-QUERIES = {f.__name__: f for f in (q_asof_last, q_asof_interp, q_nearest_time, q_overlay, q_band_join, q_cadence, q_gaps, q_islands, q_contiguous_blocks, q_monotone_fraction, q_first_frame, q_daily_rolling, q_growing_season, q_trim_window, q_moisture_fold, q_discounted_return, q_gae)}
+def q_interval_overlap(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of a purchase and an error of one user whose windows of k minutes, times 30, overlap."""
+    e = _events(spark, d).withColumn("until", F.col("minute") + 30 * F.get_json_object("props", "$.k").cast("double")).select("event_id", "user_id", "event_type", "minute", "until")
+    pairs = ts.overlapping(_of(e, "purchase"), _of(e, "error"), ["user_id"], "minute", "until", 1440.0)
+    return pairs.groupBy(F.col("l.event_id").alias("event_id")).agg(F.count("*").alias("n"), F.min("r.event_id").alias("first_error"))
+
+
+def q_nearest_point(spark: SparkSession, d: str) -> DataFrame:
+    """Every customer's nearest supplier by balance and nation."""
+    from cinderframe.operators.spatial import nearest_point
+    from cinderframe.sources.tables import checkpoint_folder
+
+    checkpoint_folder(spark)
+    c = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", (F.col("c_acctbal") / 100).alias("x"), (F.col("c_nationkey") * 4.0).alias("y"))
+    s = spark.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", (F.col("s_acctbal") / 100).alias("x"), (F.col("s_nationkey") * 4.0).alias("y"))
+    return nearest_point(c, s, "c_custkey", "s_suppkey", 4.0).select("c_custkey", "s_suppkey", F.round("distance", 6).alias("distance"))
+
+
+QUERIES = {f.__name__: f for f in (q_asof_last, q_asof_interp, q_nearest_time, q_overlay, q_band_join, q_cadence, q_gaps, q_islands, q_contiguous_blocks, q_monotone_fraction, q_first_frame, q_daily_rolling, q_growing_season, q_trim_window, q_moisture_fold, q_discounted_return, q_gae, q_interval_overlap, q_nearest_point)}
 
 _M = "epoch_us(ts) / 60000000.0"
 _BRACKET = f"""
@@ -195,5 +213,14 @@ t AS (
   SELECT user_id, k, value + 0.99 * nxt * (NOT done)::INT - 50.0 AS delta,
          coalesce(sum(done::INT) OVER (PARTITION BY user_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended FROM o)
 SELECT user_id, round(sum(CASE WHEN ended = 0 THEN delta * pow(0.99 * 0.95, k - 1) ELSE 0 END), 6) AS advantage FROM t GROUP BY user_id
+""",
+    "q_interval_overlap": f"""
+WITH e AS (SELECT event_id, user_id, event_type, {_M} AS a, {_M} + 30 * CAST(json_extract_string(props, '$.k') AS DOUBLE) AS b FROM events)
+SELECT p.event_id, count(*) AS n, min(e.event_id) AS first_error FROM e p JOIN e ON p.user_id = e.user_id AND p.a < e.b AND e.a < p.b
+WHERE p.event_type = 'purchase' AND e.event_type = 'error' GROUP BY p.event_id
+""",
+    "q_nearest_point": """
+WITH d AS (SELECT c_custkey, s_suppkey, sqrt((c_acctbal / 100 - s_acctbal / 100) * (c_acctbal / 100 - s_acctbal / 100) + (c_nationkey * 4.0 - s_nationkey * 4.0) * (c_nationkey * 4.0 - s_nationkey * 4.0)::DOUBLE) AS d FROM customer, supplier)
+SELECT c_custkey, arg_min(s_suppkey, (d, s_suppkey)) AS s_suppkey, round(min(d), 6) AS distance FROM d GROUP BY c_custkey
 """,
 }
