@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cinderframe.llm._frames import Scratch
 
-#: A sentence with the signs and white space behind it; one of more than 16 words counts as several, 16 words each.
-SENTENCE = r"(?:[^\s.!?]+[ \t]+){16}|[^.!?\n]*[.!?\n]+\s*|[^.!?\n]+"
+#: A sentence with the signs and white space behind it: inside a line, up to the first word from the fourth on that
+#: ends in a full stop, exclamation or question mark, up to 16 words, or up to the end of the line.
+SENTENCE = r"(?:\S+[ \t]+){3,14}?\S*[.!?]+(?:\s+|$)|(?:\S+[ \t]+){15}\S+(?:\s+|$)|\S+(?:[ \t]+\S+)*\s*|\s+"
 
 
 def sentences(text: Column) -> Column:
@@ -15,7 +16,7 @@ def sentences(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0))
 
 
-def drop_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = 2, least_words: int = 8) -> DataFrame:
+def drop_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = 2, least_words: int = 12) -> DataFrame:
     """Documents without sentences that a non-first occurrence of a repeated span covers.
 
     A span is a run of `run` consecutive sentences (a text of fewer: all of them) with at least least_words
@@ -59,13 +60,13 @@ QUERIES = {"op1_substring_dedup": op1_substring_dedup}
 SQL = {
     "op1_substring_dedup": r"""
 WITH d AS (
-  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '(?:[^\s.!?]+[ \t]+){16}|[^.!?\n]*[.!?\n]+\s*|[^.!?\n]+') AS s FROM documents),
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '(?:\S+[ \t]+){3,14}?\S*[.!?]+(?:\s+|$)|(?:\S+[ \t]+){15}\S+(?:\s+|$)|\S+(?:[ \t]+\S+)*\s*|\s+') AS s FROM documents),
 n AS (SELECT doc_id, list_transform(s, lambda x: trim(regexp_replace(lower(x), '\s+', ' ', 'g'))) AS s FROM d WHERE len(s) > 0),
 p AS (
   SELECT doc_id, i, array_to_string(s[i:i+1], ' ') AS span
   FROM (SELECT doc_id, s, unnest(range(1, greatest(1, len(s) - 1) + 1)) AS i FROM n)),
 r AS (
-  SELECT doc_id, i, row_number() OVER (PARTITION BY span ORDER BY doc_id, i) AS k FROM p WHERE len(string_split(span, ' ')) >= 8),
+  SELECT doc_id, i, row_number() OVER (PARTITION BY span ORDER BY doc_id, i) AS k FROM p WHERE len(string_split(span, ' ')) >= 12),
 c AS (SELECT DISTINCT doc_id, unnest([i, i + 1]) AS j FROM r WHERE k > 1),
 l AS (SELECT doc_id, unnest(s) AS x, generate_subscripts(s, 1) AS j FROM d)
 SELECT d.doc_id, CAST(len(d.s) AS BIGINT) AS n_sentences, coalesce(g.n_removed, 0) AS n_removed, coalesce(g.text, '') AS text

@@ -49,7 +49,7 @@ def test_query_equals_sql(spark, module):
 # substring dedup
 
 
-def brute_spans(docs, run=2, least=8):
+def brute_spans(docs, run=2, least=12):
     def parts(t):
         return [m[0] for m in re.finditer(substring_dedup.SENTENCE, t or "", re.A)]
 
