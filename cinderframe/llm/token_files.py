@@ -30,7 +30,7 @@ MAGIC = b"CFTOKEN1"
 #: Ids per block, and ids after which a task starts a new file.
 BLOCK_IDS, FILE_IDS = 4096, 16 << 20
 #: Pieces of text whose ids a worker remembers before it starts anew.
-REMEMBERED = 1_200_000
+REMEMBERED = 700_000
 
 
 def width(vocabulary: int) -> int:
