@@ -345,6 +345,27 @@ def test_scores_of_odd_rows(spark, odd, none, monkeypatch):
     assert lm_score.score_documents(none).count() == 0
 
 
+@pytest.fixture(scope="module")
+def four_scores(spark):
+    """Scores of four held-out texts of twelve words: in the corpus's order, shuffled, of rare known words, of random letters."""
+    ids = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 7 != 2][:150]
+    kept = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 7 == 2][:4]
+    rng = np.random.default_rng(1)
+    syllables = ["ba", "ne", "ti", "lo", "mur", "sen", "kal", "dor"]
+    words = sorted({"".join(rng.choice(syllables, 3)) for _ in range(300)})
+    line, rare = words[:12], words[12:24]
+    docs = [(i, " ".join([*line, words[24 + k % 200]])) for k, i in enumerate(ids)] + [(ids[0], " ".join(rare))]
+    noise = ["".join(rng.choice(list("qxzjvwkfgyhp"), len(w))) for w in rare]
+    docs += [(i, " ".join(x)) for i, x in zip(kept, [line, line[::-1], rare[::2] + rare[1::2], noise], strict=True)]
+    got = {r.doc_id: r.score for r in lm_score.score_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect() if r.held_out}
+    return [got[i] for i in kept]
+
+
+def test_order_of_words_counts(four_scores):
+    ordered, backwards, _, _ = four_scores
+    assert ordered > backwards + 6
+
+
 # mixing
 
 
