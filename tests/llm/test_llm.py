@@ -366,6 +366,10 @@ def test_order_of_words_counts(four_scores):
     assert ordered > backwards + 6
 
 
+def test_random_letters_score_below_words_of_the_corpus(four_scores):
+    assert four_scores[3] < four_scores[2] - 6
+
+
 # mixing
 
 
