@@ -123,10 +123,10 @@ def _block_links(percent: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return run
 
 
-def near_duplicates(
+def near_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, coords: int = 40, agree: int = 19, rounds: int = 2, small: int = 64, block: int = 192
 ) -> DataFrame:
-    """Near-duplicate groups of documents: one row per input row with id_col, n_shingles, component_id and kept.
+    """Near-duplicate groups of documents: one row per input row with id, text_key, n_shingles, label and component_id.
 
     Texts are lower-cased (A-Z) and split at ASCII white space. A document's set holds its distinct
     shingles of `words` words; of fewer words, the whole sequence. Two documents are linked if
@@ -140,10 +140,9 @@ def near_duplicates(
     full: short lists as pairs, long ones in blocks of `block` classes that emit confirmed links only.
     At similarity 0.8, 40 coordinates agree in fewer than 19 places in about one pair of a million.
 
-    A null or wordless text has no shingles, is linked with nothing and is kept. component_id is the
-    smallest id_col in reach, itself included; kept is whether id_col equals it. Rows with equal ids and
-    texts get equal results; a row with a null id is kept only if no row of its group has an id.
-    Other columns are not read; an empty table gives an empty result.
+    text_key is the text's MD5 (that of no bytes for null), label names the group whatever its ids. A null or
+    wordless text has no shingles, is linked with nothing and has no label. component_id is the smallest id in
+    reach, itself included. Other columns are not read; an empty table gives an empty result.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "near")
     text = F.col(text_col).cast("binary")
@@ -208,10 +207,19 @@ def near_duplicates(
     joined(more)
 
     low = classes.join(labels, "node", "left").select("digest", "low", F.coalesce("label", "node").alias("label"))
-    low = scratch.cut(low.join(low.groupBy("label").agg(F.min("low").alias("least")), "label").select("digest", "least"))
+    low = scratch.cut(low.join(low.groupBy("label").agg(F.min("low").alias("least")), "label").select("digest", "least", "label"))
     scratch.drop(listed, lists, sets, rest, classes)
-    out = feats.select("id", "n_shingles", "digest").join(low, "digest", "left")
-    out = out.select("id", "n_shingles", F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"))
+    out = feats.select("id", "text_key", "n_shingles", "digest").join(low, "digest", "left")
+    return out.select("id", "text_key", "n_shingles", "label", F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings: int) -> DataFrame:
+    """id_col, n_shingles, component_id and kept of near_groups(): kept is whether id_col equals component_id.
+
+    Rows with equal ids and texts get equal results; a row with a null id is kept only if no row of its group
+    has an id.
+    """
+    out = near_groups(docs, id_col, text_col, **settings)
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from cinderframe.llm._frames import Scratch
 from cinderframe.llm.decontaminate import decontaminate
 from cinderframe.llm.language_id import keep_languages, train
-from cinderframe.llm.near_dedup import near_duplicates
+from cinderframe.llm.near_dedup import near_groups
 from cinderframe.llm.source_mix import mixed_documents
 from cinderframe.llm.token_files import token_table
 
@@ -17,9 +18,18 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: that with the smallest id."""
-    gone = near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("gone"))
-    return docs.join(gone, docs.doc_id.eqNullSafe(gone.gone), "left_anti")
+    """One row of each near-duplicate group: that with the smallest id (nulls last), then text digest.
+
+    Of rows with equal id and text one stays, that with the smallest other columns. A text without words is in no group.
+    """
+    rows = near_groups(docs).groupBy("id", "text_key").agg(F.first("label").alias("label"), F.count("*").alias("n"))
+    best = rows.filter("label is not null").groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_key")).alias("best"))
+    gone = F.col("best").isNotNull() & ~(F.col("id").eqNullSafe(F.col("best.id")) & (F.col("text_key") == F.col("best.text_key")))
+    marked = rows.join(best, "label", "left").select(F.col("id").alias("m_id"), F.col("text_key").alias("m_key"), gone.alias("m_gone"), "n").filter("m_gone or n > 1")
+    marked = Scratch(spark, "near_rows").cut(marked)
+    same = docs.doc_id.eqNullSafe(marked.m_id) & (F.md5(F.coalesce(docs.text.cast("binary"), F.lit(b""))) == marked.m_key)
+    repeated = docs.join(marked.filter("not m_gone"), same, "left_semi").groupBy("doc_id", F.coalesce("text", F.lit("")).alias("same")).agg(F.min(F.struct(*docs.columns)).alias("x"))
+    return docs.join(marked, same, "left_anti").union(repeated.select("x.*"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -404,6 +404,30 @@ def test_mix_of_odd_rows(spark, odd, none):
 # pipeline
 
 
+def test_near_dedup_stage_decides_by_row(spark):
+    import corpus_pipeline
+
+    text = [" ".join(f"t{k}w{i}" for i in range(40)) for k in range(6)]
+    near = f"{text[0]} end"
+    rows = [
+        (1, text[0], "a"), (None, near, "a"),  # a null id that is a near copy of a document
+        (None, text[1], "a"), (None, text[1] + " end", "a"),  # a group without ids
+        (None, text[2], "a"), (None, None, "a"), (None, "", "a"),  # single rows; null and empty are one text
+        (5, near, "a"), (5, text[3], "a"),  # one id, two texts, one of them a copy
+        (6, text[4], "b"), (6, text[4], "a"), (6, text[4], "b"),  # repeated rows
+        (8, text[5], "a"), (8, text[5] + " end", "a"),  # near copies under one id
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = corpus_pipeline.near_dedup(spark, docs, SF)
+    assert got.columns == docs.columns
+
+    def smaller(*texts):
+        return min(texts, key=lambda t: hashlib.md5(t.encode()).hexdigest())
+
+    want = [(1, text[0], "a"), (None, smaller(text[1], text[1] + " end"), "a"), (None, text[2], "a"), (None, None, "a"), (5, text[3], "a"), (6, text[4], "a"), (8, smaller(text[5], text[5] + " end"), "a")]
+    assert Counter(map(tuple, got.collect())) == Counter(want)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
