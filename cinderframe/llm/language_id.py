@@ -198,11 +198,14 @@ def predict_language(docs: DataFrame, network: ByteNetwork | None, id_col: str =
 
 
 def keep_languages(docs: DataFrame, network: ByteNetwork | None, least: float = 0.35, text_col: str = "text") -> DataFrame:
-    """The documents, with all their columns, that have a language with a probability of at least `least`."""
+    """The documents, with all their columns, that have a language with a probability of at least `least`; without a network, those with a letter."""
     shared = docs.sparkSession.sparkContext.broadcast(network)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in blocks(batches, text_col):
+            if shared.value is None:
+                yield batch.filter(pa.array([has_letter(x) for x in texts]))
+                continue
             label, score = _judge(shared.value, texts)
             yield batch.filter(pa.array([x != UNKNOWN and s >= least for x, s in zip(label, score, strict=True)]))
 

@@ -13,7 +13,7 @@ from cinderframe.llm.token_files import token_table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that have a language; null, letterless and unrecognisable texts go."""
+    """Documents that have a language; null, letterless and unrecognisable texts go. Without labelled text to train on, every text with a letter stays."""
     return keep_languages(docs, train(docs))
 
 
@@ -54,7 +54,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    """The stages in turn; each one's output is written to the shared folder and read again."""
+    docs, scratch = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "pipeline")
+    for k, (_, stage) in enumerate(STAGES):
+        done = scratch.cut(stage(spark, docs, sf_dir))
+        if k:
+            scratch.drop(docs)
+        docs = done
     return docs

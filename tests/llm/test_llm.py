@@ -404,6 +404,28 @@ def test_mix_of_odd_rows(spark, odd, none):
 # pipeline
 
 
+def test_language_stage_without_labels(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "some words", None), (2, "12 -", None), (3, None, None), (4, "ñ", None)], "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in corpus_pipeline.language(spark, docs, SF).collect()) == [1, 4]
+
+
+def test_run_writes_each_stage(spark, monkeypatch):
+    import corpus_pipeline
+
+    read = []
+
+    def stage(spark, docs, sf_dir):
+        read.append(docs.inputFiles()[0])
+        return docs.select("doc_id", F.lit(len(read)).alias("n"))
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("a", stage), ("b", stage), ("c", stage)])
+    out = corpus_pipeline.run(spark, SF)
+    assert {r.n for r in out.collect()} == {3} and out.count() == spark.read.parquet(f"{SF}/documents.parquet").count()
+    assert "documents.parquet" in read[0] and all("/pipeline-" in x for x in [read[1], read[2], out.inputFiles()[0]])
+
+
 def test_near_dedup_stage_decides_by_row(spark):
     import corpus_pipeline
 
