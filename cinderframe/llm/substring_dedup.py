@@ -2,54 +2,168 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+
+from cinderframe.llm._bytes import Words, blocks, byte_class, mix, powers
 from cinderframe.llm._frames import Scratch
 
-#: A sentence with the signs and white space behind it: inside a line, up to the first word from the fourth on that
-#: ends in a full stop, exclamation or question mark, up to 16 words, or up to the end of the line.
-SENTENCE = r"(?:\S+[ \t]+){3,14}?\S*[.!?]+(?:\s+|$)|(?:\S+[ \t]+){15}\S+(?:\s+|$)|\S+(?:[ \t]+\S+)*\s*|\s+"
+SPACE_WORDS = byte_class(r"[^\x20\x09-\x0D]")
+STOPS = np.isin(np.arange(256), [ord(x) for x in ".!?"])
+#: A long sentence is also cut behind a word whose bytes, with those of the word before, add up to a multiple of this.
+CUT = 12
+#: Of all spans, this many hashes at most can each hold more than this part; they are joined without a shuffle.
+HOT = 10_000
+
+
+class Sentences:
+    """Sentences of a few texts, by word: where each begins, its text and its number of words."""
+
+    def __init__(self, texts: list[bytes]):
+        self.words = w = Words(texts, SPACE_WORDS)
+        buf = np.frombuffer(w.raw, np.uint8)
+        n = len(w.hash)
+        run = np.concatenate(([0], np.cumsum(buf, dtype=np.int64)))
+        own = run[w.ends] - run[w.starts]
+        lines = np.concatenate(([0], np.cumsum(buf == 10)))
+        inner = w.doc[1:] == w.doc[:-1]
+        before = np.zeros(n, np.int64)
+        before[1:] = np.where(inner, own[:-1], 0)
+        ends = STOPS[buf[w.ends - 1]] | ((own + before) % CUT == 0) if n else np.zeros(0, bool)
+        ends[:-1] |= ~inner | (lines[w.starts[1:]] > lines[w.ends[:-1]])  # the end of a line or of a text
+        ends[-1:] = True
+        #: First word of every sentence, and behind the last; the sentence's text; each text's first sentence.
+        self.first = np.concatenate(([0], np.flatnonzero(ends) + 1)) if n else np.zeros(1, np.int64)
+        self.doc = w.doc[self.first[:-1]]
+        self.counts = np.bincount(self.doc, minlength=len(texts))
+        self.begin = np.concatenate(([0], np.cumsum(self.counts)))
+
+    def spans(self, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """(first sentence, sentence behind) of every span: from each sentence the fewest, two at least, that hold `least`
+        words; what remains of a text at its end is inside the span before, and a text too short is one span."""
+        a = np.arange(len(self.doc))
+        b = np.maximum(a + 2, np.searchsorted(self.first, self.first[:-1] + least))
+        end = self.begin[self.doc + 1]
+        b = np.where(a == self.begin[self.doc], np.minimum(b, end), b)
+        return a[b <= end], b[b <= end]
+
+    def hashes(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two hashes of the words of each span."""
+        up, down = powers(len(self.words.hash) + 1)
+        out = []
+        for h in (self.words.hash, mix(self.words.hash ^ np.uint64(0x5851F42D4C957F2D))):
+            run = np.zeros(len(h) + 1, np.uint64)
+            np.cumsum(h * up[:-1], out=run[1:])
+            s, e = self.first[a], self.first[b]
+            out.append(mix((run[e] - run[s]) * down[s] + (e - s).astype(np.uint64)))
+        return out[0], out[1]
+
+
+def _hashes(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in blocks(batches):
+            s = Sentences(texts)
+            h, n = np.unique(s.hashes(*s.spans(least))[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
+
+    return run
 
 
-def sentences(text: Column) -> Column:
-    """The sentences of a text; concatenated, they are the text."""
-    return F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0))
+def _places(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in blocks(batches):
+            s = Sentences(texts)
+            a, b = s.spans(least)
+            h, g = s.hashes(a, b)
+            doc = s.doc[a]
+            rows = batch.select(["id", "key"]).take(pa.array(doc))
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(g.astype(np.uint32).view(np.int32)), rows.column(0), rows.column(1), pa.array((a - s.begin[doc]).astype(np.int32))], names=["h", "g", "id", "key", "pos"])
+
+    return run
+
+
+def _without(least: int):
+    """Texts without the sentences of the spans that begin at starts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in blocks(batches):
+            s = Sentences(texts)
+            a, b = s.spans(least)
+            reach = np.zeros(len(s.doc), np.int64)  # the sentence behind the span from each
+            reach[a] = b
+            kept, gone = [], []
+            for k, (text, starts) in enumerate(zip(texts, batch.column("starts").to_pylist(), strict=True)):
+                if not starts:
+                    kept.append(text), gone.append(0)
+                    continue
+                edge = np.zeros(s.counts[k] + 1, np.int64)
+                at = np.array(starts) + s.begin[k]
+                np.add.at(edge, at - s.begin[k], 1)
+                np.add.at(edge, reach[at] - s.begin[k], -1)
+                out = np.cumsum(edge[:-1]) > 0
+                cuts = np.append(s.words.starts[s.first[s.begin[k] : s.begin[k + 1]]] - s.words.doc_start[k], len(text))
+                cuts[0] = 0
+                kept.append(b"".join(text[cuts[i] : cuts[i + 1]] for i in np.flatnonzero(~out)))
+                gone.append(int(out.sum()))
+            blank = np.array([bool(t) for t in texts]) & (s.counts == 0)  # white space alone is a sentence without words
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array((s.counts + blank).astype(np.int64)), pa.array(gone, pa.int64()), pa.array([x.decode() for x in kept], pa.string())], names=["id", "n_sentences", "n_removed", "text"])
+
+    return run
+
+
+def _known(rows: DataFrame, table: DataFrame, on: list[str], spread: Column, limit: int) -> DataFrame:
+    """rows joined with table (a row per key, n of which rows has) on the keys: frequent keys by broadcast, the rest by shuffle.
+
+    At most rows / limit keys are frequent. Rows of these get another key, spread, in the shuffle.
+    """
+    more = [c for c in table.columns if c not in (*on, "n")]
+    hot = table.filter(F.col("n") > limit).select(*on, *[F.col(c).alias(f"{c}_") for c in more], F.lit(True).alias("hot"))
+    cold = table.filter(F.col("n") <= limit).select(*[F.col(c).alias(f"{c}_c") for c in on], *more, F.lit(True).alias("cold"))
+    rows = rows.join(F.broadcast(hot), on, "left").withColumn("k", F.when(F.col("hot"), spread).otherwise(F.col(on[0])))
+    match = F.col("k") == F.col(f"{on[0]}_c")
+    for c in on[1:]:
+        match = match & (F.col(c) == F.col(f"{c}_c"))
+    rows = rows.join(cold, match, "left").filter("hot or cold")
+    return rows.select(*[c for c in rows.columns if c not in (*more, *[f"{c}_" for c in more], *[f"{c}_c" for c in on], "hot", "cold", "k")], *[F.when(F.col("hot"), F.col(f"{c}_")).otherwise(F.col(c)).alias(c) for c in more])
 
 
-def drop_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = 2, least_words: int = 12) -> DataFrame:
+def drop_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span_words: int = 16) -> DataFrame:
     """Documents without sentences that a non-first occurrence of a repeated span covers.
 
-    A span is a run of `run` consecutive sentences (a text of fewer: all of them) with at least least_words
-    words, compared in lower case with white space made single. Of the occurrences of a span everywhere, the
-    first by (id_col, nulls last; then place in the text) stays; sentences covered by any other are removed.
-    Returns id_col, n_sentences, n_removed and text (what remains, otherwise unchanged).
+    A sentence ends behind a word that ends in a full stop, exclamation or question mark, at the end of a line,
+    and, so that long ones have several parts wherever they begin, behind words that their own bytes and those
+    of the word before mark (see CUT). A span begins at every sentence and takes the fewest consecutive ones,
+    two at least, that hold span_words words; a text of fewer words is one span. Spans are compared as
+    lower-case (A-Z) words. Of the occurrences of a span everywhere, the first by (id_col, nulls last; then a
+    digest of the text and the place in it) stays; sentences covered by any other are removed. Returns id_col,
+    n_sentences, n_removed and text (what remains, otherwise unchanged).
 
-    Spans meet on 128 bits of hash. Counting them needs no grouping of rows; only spans that occur more than
-    once are joined back, so a passage in a third of all documents is a long join side, not one group.
+    Spans meet on 96 bits of hash. Tasks count hashes first; only spans that occur more than once are then
+    gathered with their places. A span that holds more than a HOT-th of all places is joined by broadcast (at
+    most HOT rows), so no key is one task; its first place is found by aggregation before the shuffle.
 
-    A null text is empty: no sentences. Rows with equal id and text are one document and get equal results.
-    Other columns are not read; empty in, empty out.
+    A null text is empty: no sentences; white space alone is one. Rows with equal id and text are one document
+    and get equal results. Other columns are not read; empty in, empty out.
     """
     scratch = Scratch(docs.sparkSession, "spans")
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
-    plain = F.transform(sentences(F.col("text")), lambda s: F.trim(F.regexp_replace(F.lower(s), r"\s+", " ")))
-    parts = rows.select("id", "key", plain.alias("s")).filter(F.size("s") > 0)
-    places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("s") - (run - 1)))
-    spans = parts.select("id", "key", F.posexplode(F.transform(places, lambda i: F.array_join(F.slice("s", i, F.lit(run)), " "))).alias("pos", "span"))
-    spans = spans.filter(F.size(F.split("span", " ")) >= least_words)
-    spans = spans.select("id", "key", "pos", F.xxhash64("span").alias("h1"), F.xxhash64(F.lit(7), "span").alias("h2"))
-    repeated = spans.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").select("h1", "h2")
-    again = scratch.cut(spans.join(repeated, ["h1", "h2"]))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).withColumn("key", F.xxhash64("text"))
+    counts = rows.select("text").mapInArrow(_hashes(span_words), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    repeated = scratch.cut(counts.filter("n > 1"))
+    place_kind = T.StructType([*T.StructType.fromDDL("h long, g int"), rows.schema["id"], *T.StructType.fromDDL("key long, pos int")])
+    places = rows.mapInArrow(_places(span_words), place_kind)
+    total = repeated.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    limit, spread = total // HOT, F.xxhash64("key", "pos", "id")
+    again = scratch.cut(_known(places, repeated, ["h"], spread, limit))
     place = F.struct(F.col("id").isNull().alias("none"), "id", "key", "pos")
-    first = again.groupBy("h1", "h2").agg(F.min(place).alias("first"))
-    later = again.join(first, ["h1", "h2"]).filter(place != F.col("first"))
-    covered = later.groupBy("id", "key").agg(F.sort_array(F.collect_set("pos")).alias("starts")).withColumnsRenamed({"id": "c_id", "key": "c_key"})
-    out = rows.join(covered, F.col("id").eqNullSafe(F.col("c_id")) & (F.col("key") == F.col("c_key")), "left")
-    out = out.select("id", sentences(F.col("text")).alias("s"), F.coalesce("starts", F.array().cast("array<int>")).alias("starts"))
-    gone = lambda i: F.exists("starts", lambda p: (p <= i) & (i < p + run))
-    kept = F.when(F.size("starts") == 0, F.col("s")).otherwise(F.filter("s", lambda x, i: ~gone(i)))
-    out = out.select("id", F.size("s").cast("long").alias("n_sentences"), kept.alias("kept"))
-    return out.select(F.col("id").alias(id_col), "n_sentences", (F.col("n_sentences") - F.size("kept")).cast("long").alias("n_removed"), F.array_join("kept", "").alias("text"))
+    first = scratch.cut(again.groupBy("h", "g").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1"))
+    later = _known(again, first, ["h", "g"], spread, limit).filter(place != F.col("first"))
+    covered = later.groupBy("id", "key").agg(F.collect_set("pos").alias("starts")).withColumnsRenamed({"id": "c_id", "key": "c_key"})
+    out = rows.join(covered, F.col("id").eqNullSafe(F.col("c_id")) & F.col("key").eqNullSafe(F.col("c_key")), "left").select("id", "text", "starts")
+    kinds = T.StructType([rows.schema["id"], *T.StructType.fromDDL("n_sentences long, n_removed long, text string")])
+    return out.mapInArrow(_without(span_words), kinds).withColumnRenamed("id", id_col)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,19 +173,29 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"op1_substring_dedup": op1_substring_dedup}
 SQL = {
     "op1_substring_dedup": r"""
-WITH d AS (
-  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '(?:\S+[ \t]+){3,14}?\S*[.!?]+(?:\s+|$)|(?:\S+[ \t]+){15}\S+(?:\s+|$)|\S+(?:[ \t]+\S+)*\s*|\s+') AS s FROM documents),
-n AS (SELECT doc_id, list_transform(s, lambda x: trim(regexp_replace(lower(x), '\s+', ' ', 'g'))) AS s FROM d WHERE len(s) > 0),
-p AS (
-  SELECT doc_id, i, array_to_string(s[i:i+1], ' ') AS span
-  FROM (SELECT doc_id, s, unnest(range(1, greatest(1, len(s) - 1) + 1)) AS i FROM n)),
+WITH t AS (
+  SELECT doc_id, i, tok, translate(regexp_extract(tok, '[^\x20\x09-\x0D]+'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w
+  FROM (SELECT doc_id, unnest(x) AS tok, generate_subscripts(x, 1) AS i
+        FROM (SELECT doc_id, regexp_extract_all(text, '^[\x20\x09-\x0D]+$|(?:^[\x20\x09-\x0D]+)?[^\x20\x09-\x0D]+[\x20\x09-\x0D]*') AS x FROM documents))),
+b AS (SELECT *, list_sum(list_transform(regexp_extract_all(hex(encode(w)), '..'), lambda h: ('0x' || h)::INT)) AS s FROM t),
+e AS (
+  SELECT *, CASE WHEN regexp_matches(w, '[.!?]$') OR regexp_matches(tok, '[^\x20\x09-\x0D][\x20\x09-\x0D]*\x0A')
+                      OR (s + lag(s, 1, 0) OVER (PARTITION BY doc_id ORDER BY i)) % 12 = 0 THEN 1 ELSE 0 END AS stop FROM b),
+n AS (SELECT *, CAST(coalesce(sum(stop) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS u FROM e),
+u AS (SELECT doc_id, u, min(i) AS a, max(i) AS z, string_agg(tok, '' ORDER BY i) AS tok FROM n GROUP BY doc_id, u),
+l AS (SELECT doc_id, list(w ORDER BY i) AS ws, CAST(max(u) AS BIGINT) AS last, max(i) AS m FROM n WHERE w <> '' GROUP BY doc_id),
 r AS (
-  SELECT doc_id, i, row_number() OVER (PARTITION BY span ORDER BY doc_id, i) AS k FROM p WHERE len(string_split(span, ' ')) >= 12),
-c AS (SELECT DISTINCT doc_id, unnest([i, i + 1]) AS j FROM r WHERE k > 1),
-l AS (SELECT doc_id, unnest(s) AS x, generate_subscripts(s, 1) AS j FROM d)
-SELECT d.doc_id, CAST(len(d.s) AS BIGINT) AS n_sentences, coalesce(g.n_removed, 0) AS n_removed, coalesce(g.text, '') AS text
-FROM d LEFT JOIN (
-  SELECT l.doc_id, count(c.j) AS n_removed, string_agg(l.x, '' ORDER BY l.j) FILTER (c.j IS NULL) AS text
-  FROM l LEFT JOIN c ON l.doc_id = c.doc_id AND l.j = c.j GROUP BY l.doc_id) g ON g.doc_id = d.doc_id
+  SELECT a.doc_id, a.u, CASE WHEN b.u IS NOT NULL THEN greatest(b.u, a.u + 1) WHEN a.u = 0 THEN 1000000000 END AS v
+  FROM u a ASOF LEFT JOIN u b ON a.doc_id = b.doc_id AND a.a + 15 <= b.z),
+q AS (
+  SELECT r.doc_id, r.u, least(v, l.last) AS v, row_number() OVER (PARTITION BY array_to_string(ws[x.a:y.z], ' ') ORDER BY r.doc_id, r.u) AS k
+  FROM r JOIN l USING (doc_id) JOIN u x ON x.doc_id = r.doc_id AND x.u = r.u JOIN u y ON y.doc_id = r.doc_id AND y.u = least(v, l.last)
+  WHERE v <= l.last OR r.u = 0),
+c AS (SELECT DISTINCT doc_id, unnest(range(u, v + 1)) AS u FROM q WHERE k > 1),
+s AS (
+  SELECT u.doc_id, count(*) AS n_sentences, count(c.u) AS n_removed, string_agg(tok, '' ORDER BY u.u) FILTER (c.u IS NULL) AS text
+  FROM u LEFT JOIN c ON c.doc_id = u.doc_id AND c.u = u.u GROUP BY u.doc_id)
+SELECT d.doc_id, coalesce(n_sentences, 0) AS n_sentences, coalesce(n_removed, 0) AS n_removed, coalesce(s.text, '') AS text
+FROM documents d LEFT JOIN s USING (doc_id)
 """,
 }
