@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from cinderframe.llm._frames import Scratch
@@ -33,69 +35,82 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most: int)
     return out.withColumn("level", level).select("source", "source_size", F.least(F.coalesce(F.col("level") * F.col("weight"), F.col("cap").cast("double")), F.col("cap").cast("double")).alias("target"))
 
 
-def mix_passes(docs: DataFrame, size: Column, id_col: str = "doc_id", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), share: float = 1.0, most: int = 3, seed: str = "mix", bucket_rows: int = 2_000) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Passes of the mix, source targets, and the sized documents (doc_id, source, size, copies).
-
-    Passes: (doc_id, source, size, copies, pass, finish, words): in pass 0, 1, .. of its shuffled source, a
-    document with the virtual finish time finish, source words up to its end over the target, takes `words`
-    words; passes are those in service before virtual time 1, and the one in service then is cut there. As
-    every source is then served its target, sorting all passes by finish and cutting the running total at the
-    total budget is the same cut; mix_order makes that global order.
-
-    The shuffle is the order of md5(seed, doc_id), in each source; running totals are taken inside hash
-    buckets of about bucket_rows rows and offset by the totals of earlier buckets, so no source is one task.
-    Rows with equal doc_id, source and size are copies: one row here, their number in `copies`, queued
-    one behind the other, with words for all of them.
+def before_each(sums: DataFrame, keys: list[str], group: str, part: str, value: str) -> DataFrame:
+    """sums (one row per keys, group and part) with `before`: the value of all earlier parts of the keys, in order of group
+    and part. Totals are taken inside a group and over the groups, so no task sees all parts."""
+    inside = Window.partitionBy(*keys, group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    over = Window.partitionBy(*keys).orderBy(group).rowsBetween(Window.unboundedPreceding, -1)
+    groups = sums.groupBy(*keys, group).agg(F.sum(value).alias("group_sum"))
+    groups = groups.select(*[F.col(k).alias(f"{k}_g") for k in (*keys, group)], F.coalesce(F.sum("group_sum").over(over), F.lit(0)).alias("group_before"))
+    same = F.lit(True)
+    for k in (*keys, group):
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}_g"))
+    out = sums.withColumn("part_before", F.coalesce(F.sum(value).over(inside), F.lit(0))).join(groups, same)
+    return out.select(*sums.columns, (F.col("part_before") + F.col("group_before")).alias("before"))
+
+
+def mix(docs: DataFrame, size: Column, id_col: str = "doc_id", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), share: float = 1.0, most: int = 3, seed: str = "mix", bucket_rows: int = 2_000, quantum: int = 100) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What the mix takes, source targets, and the sized documents (doc_id, source, size, copies).
+
+    Every source is shuffled (by md5 of seed and doc_id) and queued up to `most` times over. Its documents are
+    served in quanta of at most `quantum` words, and each quantum has a virtual finish time: the words of the
+    source's queue up to its end over the source's target. All quanta of all sources are range-sorted by that
+    time, and the running total is cut at the total budget, inside a quantum if need be. The first frame has
+    (doc_id, source, size, copies, pass, taken, position): the words that a document's pass has before the cut
+    and the place of its first one in the global order. Since sources finish words in proportion to their
+    targets, each comes within about a quantum of its own.
+
+    Quanta that begin at virtual time 1 or later lie behind the cut and are not made: those before hold the
+    budget already. Running totals are taken inside hash buckets of about bucket_rows documents, and inside
+    ranges of finish time with about as many quanta, and offset by those of earlier ones, in two steps: no
+    source, bucket or range is one task. Rows with equal doc_id, source and size are copies: one row here,
+    their number in `copies`, queued one behind the other.
     """
     scratch = Scratch(docs.sparkSession, "mix")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size")).groupBy("doc_id", "source", "size").agg(F.count("*").alias("copies"))
-    rows = scratch.cut(rows.withColumn("key", F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))))
+    total = F.col("size") * F.col("copies")
+    rows = scratch.cut(rows.withColumns({"key": F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), "total": total}))
     n = rows.count()
     digits = 1
     while n > bucket_rows * 16**digits and digits < 7:
         digits += 1
-    rows = rows.withColumn("bucket", F.left("key", F.lit(digits)))
-    sums = scratch.cut(rows.groupBy("source", "bucket").agg(F.sum(F.col("size") * F.col("copies")).alias("bucket_size")))
+    rows = rows.withColumns({"group": F.left("key", F.lit(max(0, digits - 2))), "part": F.left("key", F.lit(digits))})
+    sums = scratch.cut(rows.groupBy("source", "group", "part").agg(F.sum("total").alias("bucket_size")))
     goal = scratch.cut(targets(sums.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, share, most))
-    earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("source", "bucket", F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0)).alias("offset"))
-    offsets = offsets.join(goal.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    offsets = offsets.withColumnsRenamed({"source": "s", "bucket": "b"})
-    placed = rows.join(offsets, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).drop("s", "b")
-    inside = Window.partitionBy("source", "bucket").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = placed.withColumn("begin", F.col("offset") + F.sum(F.col("size") * F.col("copies")).over(inside) - F.col("size") * F.col("copies"))
-    passes = placed.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(most - 1)))).withColumn("begin", F.col("begin") + F.col("pass") * F.col("source_size"))
-    whole = F.floor(F.col("target") + 0.5).cast("long")
-    total = F.col("size") * F.col("copies")
-    passes = passes.withColumn("words", F.least(total, whole - F.col("begin"))).filter("words > 0")
-    return passes.select("doc_id", "source", "size", "copies", "pass", "begin", "target", ((F.col("begin") + total) / F.col("target")).alias("finish"), "words"), goal, rows.select("doc_id", "source", "size", "copies")
-
-
-def mix_order(passes: DataFrame, buckets: int = 4096) -> DataFrame:
-    """The passes in global order of finish time, as the number of words before each: column position.
-
-    Finish times are cut into ranges; totals of the ranges are summed once and each range is sorted in itself.
-    """
-    passes = passes.withColumn("range", F.least(F.floor(F.col("finish") * buckets), F.lit(2 * buckets)).cast("int"))
-    sums = passes.groupBy("range").agg(F.sum("words").alias("n"))
-    sums = sums.select(F.col("range").alias("r"), F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("range").orderBy("finish", "source", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return passes.join(sums, F.col("range") == F.col("r")).withColumn("position", F.col("before") + F.sum("words").over(inside) - F.col("words")).drop("range", "r", "before")
+    budget = math.floor((goal.agg(F.sum("target")).first()[0] or 0.0) + 0.5)
+    offsets = before_each(sums, ["source"], "group", "part", "bucket_size").join(goal.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
+    offsets = offsets.select(F.col("source").alias("s"), F.col("part").alias("p"), F.col("before").alias("offset"), "source_size", "target")
+    placed = rows.join(offsets, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p"))).drop("s", "p", "group")
+    inside = Window.partitionBy("source", "part").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = placed.withColumn("begin", F.col("offset") + F.sum("total").over(inside) - F.col("total"))
+    passes = placed.filter("total > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(most - 1)))).withColumn("begin", F.col("begin") + F.col("pass") * F.col("source_size")).filter("begin < target")
+    quanta = passes.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("total") - 1, F.ceil(F.col("target") - F.col("begin")).cast("long") - 1), F.lit(quantum).cast("long"))))
+    quanta = quanta.withColumn("words", F.least(F.lit(quantum).cast("long"), F.col("total") - F.col("at")))
+    quanta = quanta.select("doc_id", "source", "size", "copies", "pass", "at", "words", ((F.col("begin") + F.col("at") + F.col("words")) / F.col("target")).alias("finish"))
+
+    ranges = max(64, (budget // quantum + n) // bucket_rows)
+    part = F.least(F.floor(F.col("finish") * ranges), F.lit(2 * ranges)).cast("long")
+    quanta = quanta.withColumns({"part": part, "group": F.shiftright(part, 10)})
+    starts = before_each(quanta.groupBy("group", "part").agg(F.sum("words").alias("n")), [], "group", "part", "n").select(F.col("part").alias("p"), "before")
+    by_finish = Window.partitionBy("part").orderBy("finish", "source", "doc_id", "size", "pass", "at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ordered = quanta.join(starts, F.col("part") == F.col("p")).withColumn("position", F.col("before") + F.sum("words").over(by_finish) - F.col("words"))
+    taken = ordered.filter(F.col("position") < budget).groupBy("doc_id", "source", "size", "copies", "pass").agg(F.sum(F.least("words", F.lit(budget) - F.col("position"))).alias("taken"), F.min("position").alias("position"))
+    return taken, goal, rows.select("doc_id", "source", "size", "copies")
 
 
 def mix_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), share: float = 1.0, most: int = 3) -> DataFrame:
     """What the mix takes from each document: id_col, size, source_size, target, taken and first_position.
 
-    Sizes are word counts; see mix_passes for the queueing and targets for the targets. taken counts the
-    words of all passes, a cut last one included; first_position is the place in words of the document's
-    first pass in the global order, -1 if it is not taken.
+    Sizes are word counts; see mix for the queueing and targets for the targets. taken counts the words of all
+    passes; first_position is the place in words of the document's first taken word in the global order, -1 if
+    it is not taken.
 
     Null texts have size 0 and take nothing. A null source is a source, last in order. Rows with equal id,
     source and size are copies and get equal shares, rounded so that they add up; null ids share one place
     in the shuffle. Sources of no words have target 0. Other columns are not read; empty in, empty out.
     """
-    passes, goal, rows = mix_passes(docs, word_count(F.col(text_col)), id_col, source_col, weights, share, most)
-    took = mix_order(passes, max(4096, rows.count() // 2_000)).groupBy("doc_id", "source", "size").agg(F.sum("words").alias("words"), F.min("position").alias("first_position"))
+    took, goal, rows = mix(docs, word_count(F.col(text_col)), id_col, source_col, weights, share, most)
+    took = took.groupBy("doc_id", "source", "size").agg(F.sum("taken").alias("words"), F.min("position").alias("first_position"))
     took = took.select(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("size").alias("z"), "words", "first_position")
     out = rows.join(took, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")), "left")
     out = out.join(goal.withColumnRenamed("source", "g"), F.col("source").eqNullSafe(F.col("g")))
@@ -107,10 +122,13 @@ def mix_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), share: float = 1.0, most: int = 3) -> DataFrame:
-    """The documents of the mix with their columns: each whole, once per pass of which at least half is in service."""
-    passes, _, _ = mix_passes(docs, word_count(F.col(text_col)), id_col, source_col, weights, share, most)
-    # a cut pass counts if half of it fits; copies take turns, so each gets the passes of all over their number
-    times = passes.groupBy("doc_id", "source", "size").agg(F.sum((F.col("words") * 2 >= F.col("size") * F.col("copies")).cast("int")).alias("times")).filter("times > 0")
+    """The documents of the mix with their columns: each whole, once per pass of which at least half is before the cut.
+
+    Documents without words are in no mix; copies (see mix) take turns. Nulls, ties and empty tables: see mix_report.
+    """
+    took, _, _ = mix(docs, word_count(F.col(text_col)), id_col, source_col, weights, share, most)
+    # copies take turns, so each gets the passes of all over their number
+    times = took.groupBy("doc_id", "source", "size").agg(F.sum((F.col("taken") * 2 >= F.col("size") * F.col("copies")).cast("int")).alias("times")).filter("times > 0")
     times = times.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("times").alias("_times"))
     names = docs.columns
     sized = docs.withColumn("_size", word_count(F.col(text_col)))
@@ -140,13 +158,14 @@ p AS (
          CAST(sum(size) OVER (PARTITION BY d.source ORDER BY k, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - size AS b
   FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
 q AS (
-  SELECT p.*, n, b + n * source_size AS begin, least(size, floor(target + 0.5)::BIGINT - b - n * source_size) AS words,
-         CAST(b + n * source_size + size AS DOUBLE) / target AS finish
-  FROM p, (VALUES (0), (1), (2)) v(n)),
+  SELECT p.*, n, b + n * source_size AS begin FROM p, (VALUES (0), (1), (2)) v(n) WHERE size > 0 AND b + n * source_size < target),
+z AS (SELECT *, unnest(range(0, least(size - 1, ceil(target - begin)::BIGINT - 1) + 1, 100)) AS pos FROM q),
+y AS (SELECT *, least(100, size - pos) AS words, CAST(begin + pos + least(100, size - pos) AS DOUBLE) / target AS finish FROM z),
 o AS (
-  SELECT *, CAST(sum(words) OVER (ORDER BY finish, source NULLS FIRST, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - words AS position
-  FROM q WHERE words > 0),
-t AS (SELECT doc_id, sum(words) AS taken, min(position) AS first_position FROM o GROUP BY doc_id)
+  SELECT *, CAST(sum(words) OVER (ORDER BY finish, source NULLS FIRST, doc_id NULLS FIRST, size, n, pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - words AS position FROM y),
+t AS (
+  SELECT doc_id, sum(least(words, budget - position)) AS taken, min(position) AS first_position
+  FROM o, (SELECT floor(sum(target) + 0.5)::BIGINT AS budget FROM g) WHERE position < budget GROUP BY doc_id)
 SELECT p.doc_id, CAST(p.size AS BIGINT) AS size, p.source_size, p.target, CAST(coalesce(taken, 0) AS BIGINT) AS taken, coalesce(first_position, -1) AS first_position
 FROM p LEFT JOIN t ON p.doc_id = t.doc_id
 """,
