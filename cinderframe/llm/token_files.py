@@ -28,9 +28,9 @@ from cinderframe.llm._frames import shared_folder
 
 MAGIC = b"CFTOKEN1"
 #: Ids per block, and ids after which a task starts a new file.
-BLOCK_IDS, FILE_IDS = 4096, 16 << 20
-#: Pieces of text whose ids a worker remembers before it starts anew.
-REMEMBERED = 700_000
+BLOCK_IDS, FILE_IDS = 4096, 2 << 20
+#: Bytes of pieces and their ids that a worker remembers twice: those new since the last time it was full, and those before.
+REMEMBERED, ENTRY = 32 << 20, 180
 
 
 def width(vocabulary: int) -> int:
@@ -97,30 +97,39 @@ def _byte_signs() -> list[str]:
 
 
 class _Pieces(dict):
-    """Ids, as bytes, of pieces of text between single spaces; misses are encoded by the tokenizer."""
+    """Ids, as bytes, of pieces of text between single spaces; misses are encoded by the tokenizer.
+
+    When REMEMBERED bytes are full, pieces not asked for since the time before are forgotten.
+    """
 
     #: Signs that are a piece of their own after a letter, whatever follows.
     TAIL = '.,;:!?*$%&#"()'
 
     def __init__(self, encode: Callable[[str], bytes], word: Callable[[str], bytes], lead: str):
         self.encode, self.word, self.lead = encode, word, lead
+        self.before: dict[str, bytes] = {}
+        self.held = 0
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= REMEMBERED:
+        if self.held > REMEMBERED:
+            self.before, self.held = dict(self), 0
             self.clear()
-        if piece == "\n":
-            out = self.encode(piece)
-        elif "\n" in piece:  # rarely seen again, so not remembered
-            first, *rest = piece.split("\n")
-            return self[first] + b"".join(self.bare["\n"] + self.bare[x] for x in rest)
-        elif piece.isalpha() and max(piece) < "ɐ":  # one word of the tokenizer's pattern
-            out = self.word(self.lead + piece)
-        else:
-            core = piece.rstrip(self.TAIL)
-            if core != piece and core and core[-1].isalpha() and core[-1] < "ɐ":
-                out = self[core] + self.bare[piece[len(core) :]]
+        out = self.before.get(piece)
+        if out is None:
+            if piece == "\n":
+                out = self.encode(piece)
+            elif "\n" in piece:  # rarely seen again, so not remembered
+                first, *rest = piece.split("\n")
+                return self[first] + b"".join(self.bare["\n"] + self.bare[x] for x in rest)
+            elif piece.isalpha() and max(piece) < "ɐ":  # one word of the tokenizer's pattern
+                out = self.word(self.lead + piece)
             else:
-                out = self.encode(self.lead + piece)
+                core = piece.rstrip(self.TAIL)
+                if core != piece and core and core[-1].isalpha() and core[-1] < "ɐ":
+                    out = self[core] + self.bare[piece[len(core) :]]
+                else:
+                    out = self.encode(self.lead + piece)
+        self.held += len(piece) + len(out) + ENTRY
         self[piece] = out
         return out
 
@@ -173,6 +182,11 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def store_of(folder: str) -> tuple[fs.FileSystem, str]:
+    """The file system and path of a folder, whose name may be one of Hadoop's for an S3 store."""
+    return fs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", folder))
+
+
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, partitions: int | None = None) -> DataFrame:
     """Encode every document, add end_id, and write ids to files in ascending order of id_col, nulls first.
 
@@ -188,7 +202,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, id_col: str
     rows = rows.repartitionByRange(n, F.col("id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("id").asc_nulls_first(), F.xxhash64("text"), "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = fs.FileSystem.from_uri(folder)
+        store, root = store_of(folder)
         encode, context = encoder(tokenizer), TaskContext.get()
         bits, end = width(max(encode.vocabulary, end_id + 1)), np.array([end_id], "<u4").tobytes()
         part, made = context.partitionId(), []
@@ -231,7 +245,7 @@ def read_token_files(manifest: DataFrame, folder: str, with_ids: bool = True) ->
     fields += [T.StructField("ids", T.ArrayType(T.LongType()))] * with_ids
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = fs.FileSystem.from_uri(folder)
+        store, root = store_of(folder)
         for batch in batches:
             for path, start in zip(batch.column("path").to_pylist(), batch.column("start").to_pylist(), strict=True):
                 with store.open_input_file(f"{root}/{path}") as source:
