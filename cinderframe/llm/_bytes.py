@@ -6,6 +6,7 @@ block of texts; no step loops over words in Python.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -76,6 +77,15 @@ class Words:
         return self.doc[:n][whole], h[whole]
 
 
+def release() -> None:
+    """Give what numpy and Arrow have freed back to the system: workers stay alive between stages, and memory that
+    each of them keeps for itself is missing elsewhere in the executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BLOCK) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Batches cut into runs of whole rows with about limit bytes of text; a null text is empty."""
     for batch in batches:
@@ -90,3 +100,4 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
                 size += len(t)
         if held:
             yield batch.slice(first), held
+    release()
