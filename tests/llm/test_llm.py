@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import Row, functions as F, types as T
 
-from cinderframe.llm import chat_format, decontaminate, fingerprints, language_id, lm_score, near_dedup, source_mix, substring_dedup, token_files, url_filter
+from cinderframe.llm import _seating, chat_format, decontaminate, fingerprints, language_id, lm_score, near_dedup, source_mix, substring_dedup, token_files, url_filter
 from oracle import compare, connect
 
 SF = "/root/testdata/sf0.001"
@@ -49,23 +49,32 @@ def test_query_equals_sql(spark, module):
 # substring dedup
 
 
-def brute_spans(docs, run=2, least=12):
-    def parts(t):
-        return [m[0] for m in re.finditer(substring_dedup.SENTENCE, t or "", re.A)]
-
+def brute_spans(docs, least=16):
+    """Spans word by word: sentences, then from each the fewest, two at least, with `least` words."""
     seen, out = set(), {}
-    for i, t in sorted(docs):
-        s = parts(t)
-        assert "".join(s) == (t or "")
-        plain = [re.sub(r"\s+", " ", x.lower(), flags=re.A).strip(" ") for x in s]
-        gone = set()
-        for k in range(max(1, len(s) - run + 1) if s else 0):
-            span = " ".join(plain[k : k + run])
-            if len(span.split(" ")) >= least:
+    for i, t in sorted(docs, key=lambda x: (x[0] is None, x[0] or 0, hashlib.md5((x[1] or "").encode()).hexdigest())):
+        found = list(re.finditer(r"[^\x20\x09-\x0D]+", t or ""))
+        words = [m[0].encode().lower() for m in found]
+        first, before = [0], 0
+        for k, (m, w) in enumerate(zip(found, words, strict=True)):
+            gap = t[m.end() : found[k + 1].start()] if k + 1 < len(found) else "\n"
+            own = sum(w)
+            if w[-1:] in b".!?" or "\n" in gap or (own + before) % 12 == 0:
+                first.append(k + 1)
+            before = own
+        n, gone = len(first) - 1, set()
+        for x in range(n):
+            y = next((y for y in range(x + 2, n + 1) if first[y] - first[x] >= least), None)
+            if y is None and x == 0:
+                y = n
+            if y is not None:
+                span = tuple(words[first[x] : first[y]])
                 if span in seen:
-                    gone |= set(range(k, min(len(s), k + run)))
+                    gone |= set(range(x, y))
                 seen.add(span)
-        out[i] = (len(s), len(gone), "".join(x for k, x in enumerate(s) if k not in gone))
+        cuts = [0, *(found[k].start() for k in first[1:-1]), len(t or "")] if n else []
+        kept = "".join(t[cuts[k] : cuts[k + 1]] for k in range(n) if k not in gone) if n else t or ""
+        out[i] = (n or int(bool(t)), len(gone), kept)
     return out
 
 
@@ -75,6 +84,11 @@ def test_spans_against_brute_force(spark):
     assert {r.doc_id: (r.n_sentences, r.n_removed, r.text) for r in got} == brute_spans(docs)
 
 
+def test_frequent_spans_are_joined_apart(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "HOT", 50)  # spans with more than a fiftieth of the places go by broadcast
+    test_spans_against_brute_force(spark)
+
+
 def test_repeated_passage_goes_from_all_but_the_first(spark):
     passage = " ".join(f"word{i}" for i in range(60)) + "."
     docs = spark.createDataFrame([(i, f"Own start of number {i} here.\n{passage}\nOwn end {i}.") for i in range(5)], "doc_id long, text string")
@@ -82,6 +96,35 @@ def test_repeated_passage_goes_from_all_but_the_first(spark):
         assert ("word59" in r.text) == (r.doc_id == 0) and f"Own end {r.doc_id}." in r.text
 
 
+def test_passage_of_fifty_words_behind_any_lead_in(spark):
+    """A passage without stops, in the middle of a line, behind 0 to 15 other words: most of it goes from all but the first."""
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), 6))
+    passage = [word() for _ in range(50)]
+    rows = [(100 * p + k, " ".join([*(word() for _ in range(k)), *(x + str(p) for x in passage), *(word() for _ in range(20))])) for p in range(8) for k in range(16)]
+    got = {r.doc_id: r.text for r in substring_dedup.drop_repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    left = []
+    for i, t in rows:
+        p = i // 100
+        own = sum(w in got[i].split() for w in (x + str(p) for x in passage))
+        if i % 100 == 0:
+            assert got[i] == t
+        else:
+            assert len(got[i].split()) >= i % 100 + 20  # words around the passage stay
+            left.append(own)
+    assert max(left) <= 30 and sum(left) / len(left) <= 15
+
+
+def test_spans_of_odd_rows(spark, odd, none):
+    got = substring_dedup.drop_repeated_spans(odd).collect()
+    assert len(got) == odd.count() and substring_dedup.drop_repeated_spans(none).count() == 0
+    by_id = {r.doc_id: r for r in got}
+    assert {(by_id[i].n_sentences, by_id[i].n_removed, by_id[i].text) for i in (0, 1)} == {(0, 0, "")} and by_id[2].text == "   \n\t" and by_id[2].n_sentences == 1
+    assert [(r.n_removed, r.text) for r in got if r.doc_id == 4] == [(0, "One two three.")] * 3  # one document, repeated
+    assert by_id[8].n_removed == by_id[8].n_sentences and by_id[8].text == ""  # a copy of it under another id
+    assert by_id[5].n_removed == 0 and by_id[6].text.endswith("more words here") and by_id[6].n_removed >= by_id[6].n_sentences - 4
+
+
 # near duplicates
 
 
@@ -305,19 +348,84 @@ def test_round_trip_of_control_strings(spark):
 # language model
 
 
-def test_seating_has_the_expected_number_of_tables():
-    """Means of sampled tables against the exact distribution of one dish with a fixed weight of opening a table."""
-    c, new, d = 60, 3.0, 0.5
-    p = {1: 1.0}
-    for n in range(1, c):
-        q: dict[int, float] = {}
-        for t, w in p.items():
-            open_ = new / (new + n - d * t)
-            q[t + 1], q[t] = q.get(t + 1, 0) + w * open_, q.get(t, 0) + w * (1 - open_)
-        p = q
-    mean = sum(t * w for t, w in p.items())
-    got = lm_score.seat(np.full(4000, c), np.full(4000, new), d, np.random.default_rng(0))
-    assert got.mean() == pytest.approx(mean, rel=0.06) and got.min() >= 1 and (lm_score.seat(np.array([0, 1]), np.array([1.0, 1.0]), d, np.random.default_rng(0)) == [0, 1]).all()
+def test_seating_has_the_exact_distribution():
+    """Tables of a dish of five customers, alone in its restaurant, after many Gibbs steps against all seatings."""
+    c, d, strength, parent, n = 5, 0.6, 0.8, 0.3, 20_000
+    stirling = {(0, 0): 1.0}
+    for k in range(1, c + 1):
+        for t in range(1, k + 1):
+            stirling[k, t] = stirling.get((k - 1, t - 1), 0.0) + (k - 1 - d * t) * stirling.get((k - 1, t), 0.0)
+    weight = np.array([stirling[c, t] * parent**t * math.prod(strength + d * i for i in range(t)) for t in range(1, c + 1)])
+    level = _seating.Level(np.arange(n, dtype=np.uint64) << np.uint64(8), d, strength)
+    rng = np.random.default_rng(3)
+    level.follow(np.full(n, c), np.full(n, parent), rng)
+    for _ in range(6):
+        level.move(c, np.full(n, parent), rng)
+    assert level.c.tolist() == [c] * n and level.size.sum() == c * n and level.t.sum() == len(level.size)
+    assert np.bincount(level.t, minlength=c + 1)[1:] / n == pytest.approx(weight / weight.sum(), abs=0.012)
+    level.follow(np.arange(n) % 3, np.full(n, parent), rng)
+    assert (level.c == np.arange(n) % 3).all() and ((level.t > 0) == (level.c > 0)).all()
+
+
+class BruteModel:
+    """One customer at a time: every byte of every training text leaves and sits down anew, with tables as lists."""
+
+    def __init__(self, order, discount, strength, seed):
+        self.order, self.d, self.s, self.rng, self.rooms = order, discount, strength, np.random.default_rng(seed), {}
+
+    def p(self, context, x):
+        base = self.p(context[1:], x) if context else 1 / lm_score.SYMBOLS
+        return self.given(context, x, base)
+
+    def given(self, context, x, base):
+        room = self.rooms.get(context, {})
+        tables, seated = sum(map(len, room.values())), sum(map(sum, room.values()))
+        own = room.get(x, [])
+        return (sum(own) - self.d * len(own) + (self.s + self.d * tables) * base) / (self.s + seated)
+
+    def sit(self, context, x):
+        base = self.p(context[1:], x) if context else 1 / lm_score.SYMBOLS
+        room = self.rooms.setdefault(context, {})
+        own = room.setdefault(x, [])
+        weights = np.array([*(n - self.d for n in own), (self.s + self.d * sum(map(len, room.values()))) * base])
+        k = self.rng.choice(len(weights), p=weights / weights.sum())
+        if k < len(own):
+            own[k] += 1
+        else:
+            own.append(1)
+            if context:
+                self.sit(context[1:], x)
+
+    def leave(self, context, x):
+        own = self.rooms[context][x]
+        k = self.rng.choice(len(own), p=np.array(own) / sum(own))
+        own[k] -= 1
+        if not own[k]:
+            own.pop(k)
+            if context:
+                self.leave(context[1:], x)
+
+
+def test_scores_against_one_customer_at_a_time(spark):
+    rng = np.random.default_rng(2)
+    docs = [(i, " ".join("".join(rng.choice(list("abc"), 3, p=[0.6, 0.3, 0.1])) for _ in range(4 + i % 3))) for i in range(20)]
+    kept = {i: zlib.crc32(str(i).encode()) % 7 != 2 for i, _ in docs}
+    assert 0 < sum(kept.values()) < 20
+    places = {i: [(tuple(x[k - 2 : k]), x[k]) for x in [b"\t\t" + lm_score.symbols(t.encode())] for k in range(2, len(x))] for i, t in docs}
+    model, sums, n = BruteModel(2, 0.5, 1.0, 0), Counter(), 60
+    train = [x for i, _ in docs if kept[i] for x in places[i]]
+    for x in train:
+        model.sit(*x)
+    for sweep in range(n + 20):
+        for x in train:
+            model.leave(*x)
+            model.sit(*x)
+        if sweep >= 20:
+            for x in {x for own in places.values() for x in own}:
+                sums[x] += model.p(*x) / n
+    got = {r.doc_id: r.score for r in lm_score.score_documents(spark.createDataFrame(docs, "doc_id long, text string"), sweeps=120, burn_in=20, sampled=False, order=2).collect()}
+    want = {i: sum(math.log10(sums[x]) for x in own) for i, own in places.items()}
+    assert got == pytest.approx(want, rel=0.02)
 
 
 def test_scores(spark):
@@ -333,15 +441,20 @@ def test_scores(spark):
         w = tokens[r.doc_id]
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(count[x] > 0 for x in w), n)
         assert r.base_score == pytest.approx(sum(math.log10((count[x] + 1) / (n + v + 1)) for x in w)) and r.score < 0
-    assert sum(r.score for r in rows if r.held_out) > sum(r.base_score for r in rows if r.held_out)
+    for some in ([r for r in rows if not r.held_out], [r for r in rows if r.held_out and r.n_known == r.n_tokens]):
+        assert some and sum(r.score for r in some) > sum(r.base_score for r in some)
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    want = {r.doc_id: r for r in lm_score.score_documents(docs.repartition(4)).collect()}
+    assert {r.doc_id: r for r in lm_score.score_documents(docs.repartition(7)).collect()} == want
 
 
-def test_scores_of_odd_rows(spark, odd, none, monkeypatch):
+def test_scores_of_odd_rows(spark, odd, none):
     rows = lm_score.score_documents(odd).collect()
     assert len(rows) == odd.count() and {r.n_tokens for r in rows if r.doc_id in (0, 1, 2)} == {1}
-    monkeypatch.setattr(lm_score, "BROADCAST_ROWS", 0)
-    joined = lm_score.score_documents(odd).collect()
-    assert sum(r.base_score for r in joined) == pytest.approx(sum(r.base_score for r in rows))
+    assert len({r.score for r in rows if r.doc_id == 4}) == 1 and all(r.score < 0 for r in rows)
     assert lm_score.score_documents(none).count() == 0
 
 
