@@ -59,7 +59,7 @@ def brute_spans(docs, least=16):
         for k, (m, w) in enumerate(zip(found, words, strict=True)):
             gap = t[m.end() : found[k + 1].start()] if k + 1 < len(found) else "\n"
             own = sum(w)
-            if w[-1:] in b".!?" or "\n" in gap or (own + before) % 12 == 0:
+            if w[-1:] in b".!?" or "\n" in gap or (own + before) % 6 == 0:
                 first.append(k + 1)
             before = own
         n, gone = len(first) - 1, set()
@@ -191,6 +191,32 @@ def test_matches_of_odd_rows(spark, odd, none, bench):
     assert decontaminate.decontaminate(odd, bench.limit(0)).count() == odd.count()
 
 
+def test_matches_against_brute_force(spark):
+    """Texts of three words, so that windows overlap, repeat and end inside items: hits, items and longest matches."""
+    rng = np.random.default_rng(11)
+    text = lambda n: " ".join(rng.choice(["a", "b", "c"], n, p=[0.6, 0.3, 0.1]))
+    docs = [(i, text(int(rng.integers(0, 60)))) for i in range(40)]
+    items = [(i, text(int(n))) for i, n in enumerate([3, 5, 8, 9, 12, 12, 20, 0])]
+    items += [(8, items[4][1]), (9, " ".join(docs[0][1].split()[2:20]))]
+    frame = lambda rows, name: spark.createDataFrame(rows, f"{name} long, text string")
+    tests = [(str(i), t.split()) for i, t in items if t]
+    for r in decontaminate.find_matches(frame(docs, "doc_id"), frame(items, "item_id"), window=6).collect():
+        w = dict(docs)[r.doc_id].split()
+        hit, found, best = set(), set(), {}
+        for name, t in tests:
+            m = min(6, len(t))
+            for j in range(len(t) - m + 1):
+                for p in range(len(w) - m + 1):
+                    if w[p : p + m] == t[j : j + m]:
+                        hit |= set(range(p, p + m))
+                        found.add(name)
+                        n = next(k for k in range(m, len(w) + 1) if p + k == len(w) or j + k == len(t) or w[p + k] != t[j + k])
+                        best[p] = max(best.get(p, 0), n)
+        assert (r.n_words, r.n_hit, r["items"]) == (len(w), len(hit), sorted(found))
+        assert [(s.doc_word, s.n_words) for s in r.spans] == [(p, n) for p, n in sorted(best.items()) if not (p - 1 in best and n <= best[p - 1] - 1)]
+        assert all(w[s.doc_word : s.doc_word + s.n_words] == dict(tests)[s.item_id][s.item_word : s.item_word + s.n_words] for s in r.spans)
+
+
 def test_passes_add_up(spark, odd, bench, monkeypatch):
     one = decontaminate.find_matches(odd, bench).drop("spans").collect()
     monkeypatch.setattr(decontaminate, "PASS_BYTES", 20)
@@ -425,7 +451,7 @@ def test_scores_against_one_customer_at_a_time(spark):
                 sums[x] += model.p(*x) / n
     got = {r.doc_id: r.score for r in lm_score.score_documents(spark.createDataFrame(docs, "doc_id long, text string"), sweeps=120, burn_in=20, sampled=False, order=2).collect()}
     want = {i: sum(math.log10(sums[x]) for x in own) for i, own in places.items()}
-    assert got == pytest.approx(want, rel=0.02)
+    assert got == pytest.approx(want, rel=0.04)  # the few restaurants behind one byte are sampled from one seating
 
 
 def test_scores(spark):
