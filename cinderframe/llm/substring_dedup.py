@@ -14,7 +14,7 @@ from cinderframe.llm._frames import Scratch
 SPACE_WORDS = byte_class(r"[^\x20\x09-\x0D]")
 STOPS = np.isin(np.arange(256), [ord(x) for x in ".!?"])
 #: A long sentence is also cut behind a word whose bytes, with those of the word before, add up to a multiple of this.
-CUT = 12
+CUT = 6
 #: Of all spans, this many hashes at most can each hold more than this part; they are joined without a shuffle.
 HOT = 10_000
 
@@ -180,7 +180,7 @@ WITH t AS (
 b AS (SELECT *, list_sum(list_transform(regexp_extract_all(hex(encode(w)), '..'), lambda h: ('0x' || h)::INT)) AS s FROM t),
 e AS (
   SELECT *, CASE WHEN regexp_matches(w, '[.!?]$') OR regexp_matches(tok, '[^\x20\x09-\x0D][\x20\x09-\x0D]*\x0A')
-                      OR (s + lag(s, 1, 0) OVER (PARTITION BY doc_id ORDER BY i)) % 12 = 0 THEN 1 ELSE 0 END AS stop FROM b),
+                      OR (s + lag(s, 1, 0) OVER (PARTITION BY doc_id ORDER BY i)) % 6 = 0 THEN 1 ELSE 0 END AS stop FROM b),
 n AS (SELECT *, CAST(coalesce(sum(stop) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS u FROM e),
 u AS (SELECT doc_id, u, min(i) AS a, max(i) AS z, string_agg(tok, '' ORDER BY i) AS tok FROM n GROUP BY doc_id, u),
 l AS (SELECT doc_id, list(w ORDER BY i) AS ws, CAST(max(u) AS BIGINT) AS last, max(i) AS m FROM n WHERE w <> '' GROUP BY doc_id),
