@@ -13,14 +13,20 @@ from cinderframe.llm.token_files import token_table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that have a language; null, letterless and unrecognisable texts go. Without labelled text to train on, every text with a letter stays."""
+    """Documents that have a language; null, letterless and unrecognisable texts go.
+
+    Without labelled text to train on, every text with a letter stays. Each row is judged by its text alone, so
+    repeated rows and rows with a null id stay or go together; other columns pass unread. Empty in, empty out.
+    """
     return keep_languages(docs, train(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each near-duplicate group: that with the smallest id (nulls last), then text digest.
 
-    Of rows with equal id and text one stays, that with the smallest other columns. A text without words is in no group.
+    Of rows with equal id and text one stays, that with the smallest other columns; null and empty text are one
+    text. A text without words is in no group and stays. Rows with a null id are rows like others: they are told
+    apart by their text. Empty in, empty out.
     """
     rows = near_groups(docs).groupBy("id", "text_key").agg(F.first("label").alias("label"), F.count("*").alias("n"))
     best = rows.filter("label is not null").groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_key")).alias("best"))
@@ -33,17 +39,27 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark window occurs."""
+    """Documents in which no benchmark window occurs; null texts have no words and stay, repeated rows stay or go together.
+
+    An empty benchmark, or items without words, remove nothing. Empty in, empty out.
+    """
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of the weighted mix, one row for each time that the mix takes them."""
+    """Documents of the weighted mix, one row for each time that the mix takes them (at most three).
+
+    A null source is a source, last in order; texts without words are never taken; rows with equal id, source and
+    size take turns. Empty in, empty out.
+    """
     return mixed_documents(docs)
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files written and read back: doc_id, start, n_tokens and ids_crc32."""
+    """Token files written and read back: doc_id, start, n_tokens and ids_crc32, a row per row.
+
+    Null ids come first, null texts hold the end alone, rows with equal ids follow each other by text. Empty in, empty out.
+    """
     return token_table(docs)
 
 
