@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where that is unset (local tests), a new temporary one."""
+    """The folder named in spark.checkpoint.dir; where that is unset in local mode (tests), a new temporary one."""
     conf = spark.sparkContext.getConf()
     found = conf.get("spark.checkpoint.dir") or spark.conf.get("cinderframe.scratch.dir", "")
     if not found:
+        if not (conf.get("spark.master") or "").split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("cinderframe.scratch.dir", found)
     return found.rstrip("/")

@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ MAGIC = b"CFTOKEN1"
 #: Ids per block, and ids after which a task starts a new file.
 BLOCK_IDS, FILE_IDS = 4096, 2 << 20
 #: Bytes of pieces and their ids that a worker remembers twice: those new since the last time it was full, and those before.
-REMEMBERED, ENTRY = 32 << 20, 180
+REMEMBERED, ENTRY = 48 << 20, 180
 
 
 def width(vocabulary: int) -> int:
@@ -121,7 +122,7 @@ class _Pieces(dict):
             elif "\n" in piece:  # rarely seen again, so not remembered
                 first, *rest = piece.split("\n")
                 return self[first] + b"".join(self.bare["\n"] + self.bare[x] for x in rest)
-            elif piece.isalpha() and max(piece) < "ɐ":  # one word of the tokenizer's pattern
+            elif piece.isalpha() and (piece.isascii() or max(piece) < "ɐ"):  # one word of the tokenizer's pattern
                 out = self.word(self.lead + piece)
             else:
                 core = piece.rstrip(self.TAIL)
@@ -142,8 +143,6 @@ class Encoder:
     white space at their ends or side by side, or with signs of a special token, are encoded as a whole.
     """
 
-    WHOLE = re.compile(r"^\s|\s$|\s\s|<\|")
-
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -160,12 +159,14 @@ class Encoder:
     def word(self, word: str) -> bytes:
         """ids of one word of the tokenizer's pattern: the merges alone, without the search for words."""
         shown = word.encode().decode("latin-1").translate(self.table)
-        return np.array([x.id for x in self.model.tokenize(shown)], "<u4").tobytes()
+        return array("I", [x.id for x in self.model.tokenize(shown)]).tobytes()
 
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
-        if self.WHOLE.search(text):
+        words, gaps = text.split(), text.count(" ") + text.count("\n")
+        single = gaps == len(words) - 1 and gaps + sum(map(len, words)) == len(text)  # all white space, one between two words
+        if not single or "<|" in text:
             return self.encode(text)
         first, *rest = text.split(" ")
         return self.bare[first] + b"".join(map(self.spaced.__getitem__, rest))
