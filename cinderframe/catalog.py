@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cinderframe.plans import audit_queries, fleet_queries, observation_queries, profile_queries, raster_queries, stream_queries, study_queries, time_queries
+from cinderframe.plans import audit_queries, fleet_queries, fuel_queries, observation_queries, profile_queries, raster_queries, stream_queries, study_queries, time_queries
 
-_PLANS = (time_queries, study_queries, raster_queries, audit_queries, stream_queries, profile_queries, observation_queries, fleet_queries)
+_PLANS = (time_queries, study_queries, raster_queries, audit_queries, stream_queries, profile_queries, observation_queries, fleet_queries, fuel_queries)
 FLAGSHIP = "q_asof_interp"
 QUERIES = {name: f for m in _PLANS for name, f in m.QUERIES.items()}
 SQL = {name: sql for m in _PLANS for name, sql in m.SQL.items()}

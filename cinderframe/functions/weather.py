@@ -9,8 +9,8 @@ from pyspark.sql import Column, functions as F
 # Published constants that results depend on.
 #: Magnus form of saturation vapour pressure: Pa, slope, degrees Celsius.
 MAGNUS = (610.94, 17.625, 243.04)
-#: Van Wagner and Pickett's equilibria: factor, power, share of the exponential, for drying and wetting.
-DRYING, WETTING = (0.942, 0.679, 11.0, 0.499), (0.618, 0.753, 10.0, 0.454)
+#: Van Wagner and Pickett's equilibria in percent: factor, power, factor of exp(0.1 humidity), for drying and wetting.
+DRYING, WETTING = (0.942, 0.679, 0.4994e-4), (0.618, 0.753, 0.4540e-4)
 #: Solar declination: amplitude and phase in radians.
 DECLINATION = (0.409, 1.39)
 #: Standard atmosphere: degrees Celsius at sea level, fall per metre, metres of density altitude per degree.
@@ -57,11 +57,33 @@ def circular_mean_deg(angle: Column) -> Column:
     return F.pmod(F.degrees(F.atan2(F.avg(F.sin(F.radians(angle))), F.avg(F.cos(F.radians(angle))))), F.lit(360.0))
 
 
-def equilibrium_moisture_pct(celsius: Column, humidity_pct: Column, wetting: bool = False) -> Column:
-    """Moisture at which a fine fuel neither dries nor wets (Van Wagner and Pickett)."""
-    a, b, c, _ = WETTING if wetting else DRYING
+def moisture_equilibria(celsius: Column, humidity_pct: Column) -> tuple[Column, Column]:
+    """(upper, lower) moisture in kg/kg to which a fine fuel dries and wets; between them it stays as it is."""
     h = clip(humidity_pct, 0.0, 100.0)
-    return a * F.pow(h, F.lit(b)) + c * F.exp((h - 100) / 10) + 0.18 * (21.1 - celsius) * (1 - F.exp(-0.115 * h))
+    heat = 0.18 * (21.1 - celsius) * (1 - F.exp(-0.115 * h))
+    drying, wetting = (a * F.pow(h, F.lit(b)) + c * F.exp(0.1 * h) + heat for a, b, c in (DRYING, WETTING))
+    return clip(F.greatest(drying, wetting) * 0.01, 0.0, 3.0), clip(F.least(drying, wetting) * 0.01, 0.0, 3.0)
+
+
+def moisture_step(moisture: Column, upper: Column, lower: Column, rain_mm_h: Column, lag_hours: float, minutes: Column, saturation: float = 2.5, soaking: float = 14.0, threshold: float = 0.05, full: float = 8.0) -> Column:
+    """Moisture after some minutes: towards the nearer equilibrium with a time lag, or in rain towards saturation, slower."""
+    excess = F.greatest(rain_mm_h - threshold, F.lit(0.0))
+    dry = F.greatest(F.least(moisture, upper), lower)
+    target = F.when(excess > 0, saturation).otherwise(dry)
+    rate = F.when(excess > 0, (1 - F.exp(-excess / full)) / (soaking * lag_hours * 60)).otherwise(1 / (lag_hours * 60))
+    return clip(moisture + (target - moisture) * -F.expm1(-minutes * rate), 0.0, 3.0)
+
+
+def curing_fraction(live_moisture: Column) -> Column:
+    """Share of herbaceous fuel that counts as dead: none above 120 % live moisture, all at 30 %."""
+    return clip((1.20 - live_moisture) / 0.90, 0.0, 1.0)
+
+
+def downscaled(celsius: Column, humidity_pct: Column, elevation: Column, reference: Column, lapse: float = -0.0065) -> tuple[Column, Column]:
+    """(temperature, humidity) at an elevation from those at a reference: a lapse rate, with vapour pressure kept."""
+    there = celsius + lapse * (elevation - reference)
+    vapour = humidity_pct / 100 * saturation_vapour_pressure_pa(celsius)
+    return there, clip(100 * vapour / saturation_vapour_pressure_pa(there), 0.0, 100.0)
 
 
 def half_life(value: Column, elapsed: Column, life: Column) -> Column:

@@ -27,12 +27,12 @@ def partition_audit(cases: DataFrame, case: str, split: str, exclusive: list[str
     return out
 
 
-def split_of(rows: DataFrame, key: str, explicit: dict[int, str], year: Column, years: dict[int, str]) -> DataFrame:
-    """rows with `split`: what the explicit list says, else what the year's list says, else null."""
+def split_of(rows: DataFrame, key: str, explicit: dict[int, str], year: Column, years: dict[int, str], strict: bool = True) -> DataFrame:
+    """rows with `split`: what the explicit list says, else what the year's list says; else it fails when computed, or, if not strict, null."""
     def lookup(value: Column, table: dict[int, str]) -> Column:
         return F.element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), value) if table else F.lit(None).cast("string")
 
-    return rows.withColumn("split", F.coalesce(lookup(F.col(key), explicit), lookup(year, years)))
+    return rows.withColumn("split", F.coalesce(lookup(F.col(key), explicit), lookup(year, years), *([F.raise_error("no split for a row").cast("string")] if strict else [])))
 
 
 def availability(rows: DataFrame, valid: str, available: str, start: Column, end: Column, by: list[str]) -> DataFrame:
@@ -63,11 +63,11 @@ def provenance(text: Column, incident_year: Column) -> Column:
 def latest_admissible(versions: DataFrame, cases: DataFrame, effective: str, at: str, order: list[str], what: str) -> DataFrame:
     """cases with the version that was in force: of those effective at or before, the greatest by order.
 
-    versions is a short list (a product's releases); Spark broadcasts it while it is below its threshold.
+    versions is a short list (a product's releases): it becomes one sorted array, in which each case looks up its own.
     """
-    ids = cases.columns
-    found = cases.join(versions, F.col(effective) <= F.col(at), "left")
-    return found.groupBy(*ids).agg(F.max_by(what, F.struct(effective, *order)).alias(what))
+    table = versions.agg(F.array_sort(F.collect_list(F.struct(F.col(effective).alias("e"), *order, F.col(what).alias("w")))).alias("_t"))
+    found = F.element_at(F.filter("_t", lambda v: v.e <= F.col(at)), -1)
+    return cases.crossJoin(F.broadcast(table)).withColumn("_n", F.size(F.filter("_t", lambda v: v.e <= F.col(at)))).withColumn(what, F.when(F.col("_n") > 0, found["w"])).drop("_t", "_n")
 
 
 def forecast_cycle(issue: Column, horizon_hours: Column, lag_hours: int = 2, short_hours: int = 18, every: int = 6) -> Column:

@@ -149,12 +149,16 @@ def boundary_distances(predicted: DataFrame, observed: DataFrame, grid: DataFram
 
 
 def tolerance(predicted: DataFrame, observed: DataFrame, grid: DataFrame, keys: list[str], radius: float = 1.0) -> DataFrame:
-    """Precision, recall and F1 where a cell within radius of the other side counts as a hit."""
+    """Precision, recall and F1 where a cell within radius of the other side counts as a hit, for every key of the grid.
+
+    Where both sides are empty all three are 1; where one is, they are 0.
+    """
     p, o = predicted.select(*keys, "y", "x"), observed.select(*keys, "y", "x")
     hit = lambda a, b, name: a.join(dilate(b, grid, keys, disc(radius)).withColumn("h", F.lit(1)), [*keys, "y", "x"], "left").groupBy(*keys).agg(F.count("*").alias(f"n_{name}"), F.count("h").alias(f"h_{name}"))
-    out = hit(p, o, "p").join(hit(o, p, "o"), keys, "full")
-    precision = F.coalesce(F.col("h_p") / F.col("n_p"), F.lit(0.0))
-    recall = F.coalesce(F.col("h_o") / F.col("n_o"), F.lit(0.0))
+    out = grid.select(*keys).distinct().join(hit(p, o, "p"), keys, "left").join(hit(o, p, "o"), keys, "left")
+    none = F.col("n_p").isNull() & F.col("n_o").isNull()
+    precision = F.when(none, 1.0).otherwise(F.coalesce(F.col("h_p") / F.col("n_p"), F.lit(0.0)))
+    recall = F.when(none, 1.0).otherwise(F.coalesce(F.col("h_o") / F.col("n_o"), F.lit(0.0)))
     return out.select(*keys, precision.alias("precision"), recall.alias("recall"), (2 * precision * recall / F.greatest(precision + recall, F.lit(1e-12))).alias("f1"))
 
 

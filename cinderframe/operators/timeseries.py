@@ -141,31 +141,55 @@ def ordered(rows: DataFrame, keys: list[str], order: list[str], values: list[str
     return rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, *values))).alias("x"))
 
 
-def lag_fold(x: Column, value: str, initial: float, dry: float, wet: float) -> Column:
-    """Response with a time lag and hysteresis: moves a share `wet` of the way up or `dry` of the way down at each step."""
-    def step(acc: Column, r: Column) -> Column:
-        v = r[value]
-        return acc + F.when(v > acc, F.lit(wet)).otherwise(F.lit(dry)) * (v - acc)
-
-    return F.aggregate(x, F.lit(initial), step)
-
-
-def discounted_return(x: Column, value: str, gamma: float, stop: Column | None = None) -> Column:
-    """Sum of gamma ** k times the k-th value."""
-    start = F.struct(F.lit(0.0).alias("s"), F.lit(1.0).alias("g"))
-    return F.aggregate(x, start, lambda a, r: F.struct((a.s + a.g * r[value]).alias("s"), (a.g * gamma).alias("g")), lambda a: a.s)
+def discounted_return(rows: DataFrame, keys: list[str], chunk: Column, order: list[str], value: str, gamma: float, done: Column | None = None) -> DataFrame:
+    """(keys, ret): sum of gamma ** k times the k-th value of each key in order, up to and with the first row where done holds.
 
+    A key's rows are folded in chunks (of time, say; chunk must not fall in order), each to its own sum, factor and
+    whether it ends; a second fold over the chunks puts these together. So a hot key is many small groups.
+    """
+    stop = F.coalesce(done, F.lit(False)) if done is not None else F.lit(False)
+    x = rows.select(*keys, chunk.alias("_c"), *order, F.col(value).cast("double").alias("_v"), stop.alias("_d"))
+    start = F.struct(F.lit(0.0).alias("s"), F.lit(1.0).alias("g"), F.lit(False).alias("end"))
+    step = lambda a, r: F.struct(F.when(a.end, a.s).otherwise(a.s + a.g * r["_v"]).alias("s"), (a.g * gamma).alias("g"), (a.end | r["_d"]).alias("end"))
+    parts = ordered(x, [*keys, "_c"], order, ["_v", "_d"]).select(*keys, "_c", F.aggregate("x", start, step).alias("f"))
+    both = lambda a, r: F.struct(F.when(a.end, a.s).otherwise(a.s + a.g * r.f.s).alias("s"), (a.g * r.f.g).alias("g"), (a.end | r.f.end).alias("end"))
+    whole = parts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_c", "f"))).alias("x"))
+    return whole.select(*keys, F.aggregate("x", start, both, lambda a: a.s).alias("ret"))
 
-def advantages(x: Column, reward: str, value: str, done: str, gamma: float, lam: float) -> Column:
-    """Generalised advantage of the first step: the reverse fold of temporal differences, reset where done."""
-    start = F.struct(F.lit(0.0).alias("adv"), F.lit(0.0).alias("next"))
 
-    def step(a: Column, r: Column) -> Column:
-        go = F.when(r[done], F.lit(0.0)).otherwise(F.lit(1.0))
-        delta = r[reward] + gamma * a.next * go - r[value]
-        return F.struct((delta + gamma * lam * go * a.adv).alias("adv"), r[value].alias("next"))
+def advantages(rows: DataFrame, keys: list[str], chunk: Column, order: list[str], reward: str, value: str, done: str, gamma: float, lam: float) -> DataFrame:
+    """(keys, order, advantage) of every step: generalised advantages, a reverse recurrence that starts anew where done holds.
 
-    return F.aggregate(F.reverse(x), start, step, lambda a: a.adv)
+    A chunk's fold leaves open the advantage A and the value V of the step behind it: every advantage in it is
+    p + q A + r V. A reverse fold over the chunks finds A and V for each, and only then are the steps written.
+    """
+    x = rows.select(*keys, chunk.alias("_c"), *order, F.col(reward).cast("double").alias("_r"), F.col(value).cast("double").alias("_v"), F.when(F.col(done), 0.0).otherwise(1.0).alias("_go"))
+    parts = ordered(x, [*keys, "_c"], order, ["_r", "_v", "_go"])
+    number = lambda **c: F.struct(*[v.alias(k) for k, v in c.items()])
+
+    def step(a: Column, e: Column) -> Column:
+        pull = gamma * lam * e["_go"]
+        ahead = gamma * e["_go"]
+        return number(p=e["_r"] - e["_v"] + ahead * a.n + pull * a.p, q=pull * a.q, r=ahead * a.m + pull * a.r, n=e["_v"], m=F.lit(0.0))
+
+    start = number(p=F.lit(0.0), q=F.lit(1.0), r=F.lit(0.0), n=F.lit(0.0), m=F.lit(1.0))
+    heads = parts.select(*keys, "_c", F.aggregate(F.reverse("x"), start, step).alias("f"))
+    chain = heads.groupBy(*keys).agg(F.reverse(F.array_sort(F.collect_list(F.struct("_c", "f")))).alias("x"))
+    empty = F.struct(F.lit(0.0).alias("A"), F.lit(0.0).alias("V"))
+    kind = chain.select(F.transform("x", lambda h: F.struct(h["_c"].alias("_c"), F.lit(0.0).alias("A"), F.lit(0.0).alias("V"))).alias("t")).schema["t"].dataType
+    link = lambda a, h: F.struct((h.f.p + h.f.q * a.now.A + h.f.r * a.now.V).alias("A"), h.f.n.alias("V"))
+    walk = lambda a, h: F.struct(link(a, h).alias("now"), F.concat(a.out, F.array(F.struct(h["_c"].alias("_c"), a.now.A.alias("A"), a.now.V.alias("V")))).alias("out"))
+    edges = chain.select(*keys, F.explode(F.aggregate("x", F.struct(empty.alias("now"), F.array().cast(kind).alias("out")), walk, lambda a: a.out)).alias("e"))
+    parts = parts.join(edges.select(*keys, F.col("e._c").alias("_c"), F.col("e.A").alias("A"), F.col("e.V").alias("V")), [*keys, "_c"])
+
+    def back(a: Column, e: Column) -> Column:
+        delta = e["_r"] + gamma * e["_go"] * a.next - e["_v"]
+        adv = delta + gamma * lam * e["_go"] * a.adv
+        return F.struct(adv.alias("adv"), e["_v"].alias("next"), F.concat(a.out, F.array(F.struct(*[e[o].alias(o) for o in order], adv.alias("advantage")))).alias("out"))
+
+    kind = parts.select(F.transform("x", lambda e: F.struct(*[e[o].alias(o) for o in order], F.lit(0.0).alias("advantage"))).alias("t")).schema["t"].dataType
+    begin = F.struct(F.col("A").alias("adv"), F.col("V").alias("next"), F.array().cast(kind).alias("out"))
+    return parts.select(*keys, F.explode(F.aggregate(F.reverse("x"), begin, back, lambda a: a.out)).alias("e")).select(*keys, *[F.col(f"e.{o}").alias(o) for o in order], F.col("e.advantage").alias("advantage"))
 
 
 def overlapping(left: DataFrame, right: DataFrame, keys: list[str], start: str, end: str, width: float) -> DataFrame:

@@ -46,8 +46,10 @@ def q_availability(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_provenance(spark: SparkSession, d: str) -> DataFrame:
-    p = spark.read.parquet(f"{d}/pages.parquet").select(audit.provenance(F.col("url"), F.lit(2000)).alias("status"))
-    return p.groupBy("status").agg(F.count("*").alias("n"))
+    """Sources named after years around the order's own, without a year, and not named."""
+    year = F.year("o_orderdate")
+    name = F.element_at(F.array(F.lit(None).cast("string"), F.lit(""), F.lit("survey"), *[F.concat(F.lit("survey "), (year + k).cast("string")) for k in (-2, 0, 1)]), (F.col("o_orderkey") % 6 + 1).cast("int"))
+    return _orders(spark, d).select(audit.provenance(name, year).alias("status"), year.alias("year")).groupBy("status", "year").agg(F.count("*").alias("n"))
 
 
 def q_version_at(spark: SparkSession, d: str) -> DataFrame:
@@ -171,9 +173,7 @@ g AS (
          coalesce(bool_and(o <= 28406880) FILTER (v BETWEEN 28406880 AND 28409760), false) AS t FROM e GROUP BY user_id)
 SELECT user_id, n_inside, round(coalesce((b - a) / 2880.0::DOUBLE, 0), 6) AS covered, t AS out_in_time,
        CASE WHEN n_inside = 0 THEN 'missing' WHEN t THEN 'operational' WHEN coalesce((b - a) / 2880.0::DOUBLE, 0) >= 0.5 THEN 'retrospective' ELSE 'partial' END AS class FROM g""",
-    "q_provenance": """
-WITH y AS (SELECT url, regexp_extract(url, '((?:19|20)[0-9]{2})', 1) AS y FROM pages)
-SELECT CASE WHEN url IS NULL OR url = '' THEN 'unknown' WHEN y <> '' AND y::INT > 2000 THEN 'after_incident' WHEN y <> '' AND y::INT = 2000 THEN 'same_year' WHEN y <> '' THEN 'before_incident' ELSE 'undated' END AS status, count(*) AS n FROM y GROUP BY 1""",
+    "q_provenance": "SELECT ['unknown', 'unknown', 'undated', 'before_incident', 'same_year', 'after_incident'][(o_orderkey % 6 + 1)::INT] AS status, year(o_orderdate) AS year, count(*) AS n FROM orders GROUP BY ALL",
     "q_version_at": """
 SELECT CASE WHEN o_orderdate >= DATE '1999-01-01' THEN 'v4' WHEN o_orderdate >= DATE '1996-06-01' THEN 'v3' WHEN o_orderdate >= DATE '1993-01-01' THEN 'v1' END AS version, count(*) AS n FROM orders GROUP BY 1""",
     "q_forecast_cycle": """

@@ -18,7 +18,7 @@ K = ["incident"]
 
 
 def _masks(g: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return g.filter("p_size <= 10"), g.filter("p_size <= 12")
+    return g.filter("p_size <= 10"), g.filter("p_size between 6 and 14")
 
 
 def q_confusion(spark: SparkSession, d: str) -> DataFrame:
@@ -67,7 +67,7 @@ def q_slope(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_blur(spark: SparkSession, d: str) -> DataFrame:
-    out = raster.convolve(_grid(spark, d), K, "height", [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1)], [1 / 9.0] * 9, "mean")
+    out = raster.convolve(_grid(spark, d), K, "height", *raster.gaussian(0.8), "mean")
     return out.select("y", "x", F.round("mean", 6).alias("mean"))
 
 
@@ -111,7 +111,7 @@ def q_geo_functions(spark: SparkSession, d: str) -> DataFrame:
     s = spark.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", "s_name", (F.col("s_suppkey") * 3.5 % 360 - 180).alias("lon"), (F.col("s_suppkey") * 1.7 % 160 - 80).alias("lat"))
     mx, my = geo.web_mercator(F.col("lon"), F.col("lat"))
     square = [(-100.0, -40.0), (90.0, -40.0), (90.0, 50.0), (-100.0, 50.0)]
-    return s.select("s_suppkey", F.round(mx, 3).alias("mx"), F.round(my, 3).alias("my"), geo.utm_epsg(F.col("lon"), F.col("lat")).alias("epsg"), geo.slug("s_name").alias("slug"), geo.state_prefix(F.concat(F.lit("CA-"), "s_name")).alias("state"), geo.inside(F.col("lon"), F.col("lat"), square).alias("inside"), F.round(geo.table_lookup(F.col("lat"), [-50.0, 0.0, 30.0], [1.0, 4.0, 2.0]), 6).alias("looked_up"))
+    return s.select("s_suppkey", F.round(mx, 3).alias("mx"), F.round(my, 3).alias("my"), geo.utm_epsg(F.col("lon"), F.col("lat")).alias("epsg"), geo.slug("s_name").alias("slug"), geo.state_prefix(F.concat(F.element_at(F.array(F.lit("CA-"), F.lit("OR_"), F.lit("no-")), (F.col("s_suppkey") % 3 + 1).cast("int")), "s_name")).alias("state"), geo.inside(F.col("lon"), F.col("lat"), square).alias("inside"), F.round(geo.table_lookup(F.col("lat"), [-50.0, 0.0, 30.0], [1.0, 4.0, 2.0]), 6).alias("looked_up"))
 
 
 QUERIES = {f.__name__: f for f in (q_confusion, q_dilate, q_boundary, q_tolerance_f1, q_distance, q_boundary_distance, q_isotropic, q_wind_ellipse, q_slope, q_blur, q_local_maxima, q_drop_footprint, q_spread_step, q_fuel_change, q_components, q_optimal_interpolation, q_geo_functions)}
@@ -121,7 +121,7 @@ _NEAR = "SELECT a.y, a.x, min(sqrt((a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.
 _EDGE = "SELECT m.y, m.x FROM {m} m WHERE (SELECT count(*) FROM {m} n WHERE abs(n.y - m.y) + abs(n.x - m.x) = 1) < 4"
 SQL = {
     "q_confusion": _G
-    + """, n AS (SELECT count(*) FILTER (p_size <= 10) AS p, count(*) FILTER (p_size <= 12) AS o, count(*) FILTER (p_size <= 10) AS hit, count(*) FILTER (p_size <= 12) AS e FROM g)
+    + """, n AS (SELECT count(*) FILTER (p_size <= 10) AS p, count(*) FILTER (p_size BETWEEN 6 AND 14) AS o, count(*) FILTER (p_size BETWEEN 6 AND 10) AS hit, count(*) FILTER (p_size <= 14) AS e FROM g)
 SELECT 'g' AS incident, round(hit / greatest(e, 1), 6) AS iou, round(hit / greatest(p, 1), 6) AS precision, round(hit / greatest(o, 1), 6) AS recall, round((p - o) * 900.0 / 1e6, 6) AS area_bias_km2, e - hit AS difference FROM n""",
     "q_dilate": _G + "SELECT DISTINCT g.y, g.x FROM g JOIN g m ON m.p_size <= 2 AND (g.y - m.y) * (g.y - m.y) + (g.x - m.x) * (g.x - m.x) <= 4",
     "q_boundary": _G + ", m AS (SELECT y, x FROM g WHERE p_size <= 25) " + _EDGE.format(m="m"),
@@ -141,8 +141,8 @@ SELECT 'g' AS incident, round(pr, 6) AS precision, round(re, 6) AS recall, round
 SELECT y, x, round((coalesce(b, height) - coalesce(a, height)) / (30.0 * CASE WHEN a IS NULL OR b IS NULL THEN 1 ELSE 2 END), 6) AS dy, round((coalesce(e, height) - coalesce(c, height)) / (30.0 * CASE WHEN c IS NULL OR e IS NULL THEN 1 ELSE 2 END), 6) AS dx FROM n""",
     "q_blur": _G
     + """, m AS (SELECT max(y) AS my, max(x) AS mx FROM g),
-o AS (SELECT g.y, g.x, greatest(0, least(my, g.y + a)) AS ny, greatest(0, least(mx, g.x + b)) AS nx FROM g, m, range(-1, 2) s(a), range(-1, 2) t(b))
-SELECT o.y, o.x, round(sum(n.height) / 9, 6) AS mean FROM o JOIN g n ON n.y = o.ny AND n.x = o.nx GROUP BY o.y, o.x""",
+o AS (SELECT g.y, g.x, greatest(0, least(my, g.y + a)) AS ny, greatest(0, least(mx, g.x + b)) AS nx, exp(-(a * a + b * b) / (2 * 0.8 * 0.8)::DOUBLE) AS w FROM g, m, range(-3, 4) s(a), range(-3, 4) t(b))
+SELECT o.y, o.x, round(sum(n.height * w) / sum(w), 6) AS mean FROM o JOIN g n ON n.y = o.ny AND n.x = o.nx GROUP BY o.y, o.x""",
     "q_local_maxima": _G
     + """, p AS (SELECT a.y, a.x, a.p_size FROM g a JOIN g b ON abs(a.y - b.y) <= 2 AND abs(a.x - b.x) <= 2 GROUP BY ALL HAVING a.p_size = max(b.p_size))
 SELECT y, x, p_size, row_number() OVER (ORDER BY p_size DESC, y, x) AS rank FROM p QUALIFY rank <= 8""",
@@ -164,6 +164,6 @@ SELECT label, count(*) AS cells FROM l GROUP BY label""",
     "q_geo_functions": """
 WITH s AS (SELECT s_suppkey, s_name, (s_suppkey * 3.5) % 360 - 180 AS lon, (s_suppkey * 1.7) % 160 - 80 AS lat FROM supplier)
 SELECT s_suppkey, round(radians(lon) * 6378137, 3) AS mx, round(ln(tan(pi() / 4 + radians(lat) / 2)) * 6378137, 3) AS my, (CASE WHEN lat >= 0 THEN 32600 ELSE 32700 END + least(59, floor((lon + 180) / 6)) + 1)::INT AS epsg,
-       regexp_replace(regexp_replace(lower(s_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, 'CA' AS state, lon < 90 AND lon >= -100 AND lat >= -40 AND lat < 50 AS inside,
+       regexp_replace(regexp_replace(lower(s_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, ['CA', 'OR', 'UNKNOWN'][(s_suppkey % 3 + 1)::INT] AS state, lon < 90 AND lon >= -100 AND lat >= -40 AND lat < 50 AS inside,
        round(CASE WHEN lat <= -50 THEN 1 WHEN lat <= 0 THEN 1 + (lat + 50) / 50 * 3 WHEN lat <= 30 THEN 4 - lat / 30 * 2 ELSE 2 END, 6) AS looked_up FROM s""",
 }

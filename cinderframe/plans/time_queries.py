@@ -94,20 +94,18 @@ def q_trim_window(spark: SparkSession, d: str) -> DataFrame:
     return out.select("event_id", F.round("rebased", 6).alias("rebased"))
 
 
-def q_moisture_fold(spark: SparkSession, d: str) -> DataFrame:
-    x = ts.ordered(spark.read.parquet(f"{d}/events.parquet"), ["user_id"], ["ts", "event_id"], ["value"])
-    return x.select("user_id", F.round(ts.lag_fold(F.col("x"), "value", 10.0, 0.1, 0.3), 6).alias("state"))
-
-
 def q_discounted_return(spark: SparkSession, d: str) -> DataFrame:
-    x = ts.ordered(spark.read.parquet(f"{d}/events.parquet"), ["user_id"], ["ts", "event_id"], ["value"])
-    return x.select("user_id", F.round(ts.discounted_return(F.col("x"), "value", 0.9), 6).alias("ret"))
+    """Returns up to the first error, and without a stop."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    one = lambda done: ts.discounted_return(e, ["user_id"], F.to_date("ts"), ["ts", "event_id"], "value", 0.9, done)
+    both = one(F.col("event_type") == "error").join(one(None).withColumnRenamed("ret", "unstopped"), "user_id")
+    return both.select("user_id", F.round("ret", 6).alias("ret"), F.round("unstopped", 6).alias("unstopped"))
 
 
 def q_gae(spark: SparkSession, d: str) -> DataFrame:
-    e = spark.read.parquet(f"{d}/events.parquet").withColumn("done", F.col("event_type") == "error").withColumn("guess", F.lit(50.0))
-    x = ts.ordered(e, ["user_id"], ["ts", "event_id"], ["value", "guess", "done"])
-    return x.select("user_id", F.round(ts.advantages(F.col("x"), "value", "guess", "done", 0.99, 0.95), 6).alias("advantage"))
+    e = spark.read.parquet(f"{d}/events.parquet").withColumn("done", F.col("event_type") == "error").withColumn("guess", 50.0 + F.col("event_id") % 7)
+    out = ts.advantages(e, ["user_id"], F.to_date("ts"), ["ts", "event_id"], "value", "guess", "done", 0.99, 0.95)
+    return out.select("user_id", "event_id", F.round("advantage", 6).alias("advantage"))
 
 
 def q_interval_overlap(spark: SparkSession, d: str) -> DataFrame:
@@ -128,7 +126,7 @@ def q_nearest_point(spark: SparkSession, d: str) -> DataFrame:
     return nearest_point(c, s, "c_custkey", "s_suppkey", 4.0).select("c_custkey", "s_suppkey", F.round("distance", 6).alias("distance"))
 
 
-QUERIES = {f.__name__: f for f in (q_asof_last, q_asof_interp, q_nearest_time, q_overlay, q_band_join, q_cadence, q_gaps, q_islands, q_contiguous_blocks, q_monotone_fraction, q_first_frame, q_daily_rolling, q_growing_season, q_trim_window, q_moisture_fold, q_discounted_return, q_gae, q_interval_overlap, q_nearest_point)}
+QUERIES = {f.__name__: f for f in (q_asof_last, q_asof_interp, q_nearest_time, q_overlay, q_band_join, q_cadence, q_gaps, q_islands, q_contiguous_blocks, q_monotone_fraction, q_first_frame, q_daily_rolling, q_growing_season, q_trim_window, q_discounted_return, q_gae, q_interval_overlap, q_nearest_point)}
 
 _M = "epoch_us(ts) / 60000000.0"
 _BRACKET = f"""
@@ -139,7 +137,6 @@ b AS (
   FROM q ASOF LEFT JOIN s x ON q.user_id = x.user_id AND q.t >= x.t
          ASOF LEFT JOIN s y ON q.user_id = y.user_id AND q.t < y.t)
 """
-_ORDERED = "SELECT user_id, list(value ORDER BY ts, event_id) AS x FROM events GROUP BY user_id"
 SQL = {
     "q_asof_last": f"""
 WITH s AS (SELECT user_id, ts, value FROM events WHERE event_type = 'view')
@@ -204,15 +201,19 @@ WITH e AS (SELECT event_id, user_id, {_M} AS t FROM events),
 k AS (SELECT user_id, coalesce(max(t) FILTER (t <= 28406880), min(t)) AS a, coalesce(min(t) FILTER (t >= 28411200), max(t)) AS b FROM e GROUP BY user_id)
 SELECT event_id, round(t - 28406880, 6) AS rebased FROM e JOIN k USING (user_id) WHERE t BETWEEN a AND b
 """,
-    "q_moisture_fold": f"WITH o AS ({_ORDERED}) SELECT user_id, round(list_reduce(list_prepend(10.0::DOUBLE, x), lambda a, v: a + CASE WHEN v > a THEN 0.3::DOUBLE ELSE 0.1::DOUBLE END * (v - a)), 6) AS state FROM o",
-    "q_discounted_return": "WITH o AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS k FROM events) SELECT user_id, round(sum(value * pow(0.9, k)), 6) AS ret FROM o GROUP BY user_id",
-    "q_gae": """
+    "q_discounted_return": """
 WITH o AS (
-  SELECT user_id, event_type = 'error' AS done, value, row_number() OVER w AS k, coalesce(lead(50.0) OVER w, 0) AS nxt FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
-t AS (
-  SELECT user_id, k, value + 0.99 * nxt * (NOT done)::INT - 50.0 AS delta,
-         coalesce(sum(done::INT) OVER (PARTITION BY user_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended FROM o)
-SELECT user_id, round(sum(CASE WHEN ended = 0 THEN delta * pow(0.99 * 0.95, k - 1) ELSE 0 END), 6) AS advantage FROM t GROUP BY user_id
+  SELECT user_id, value, row_number() OVER w - 1 AS k, coalesce(sum((event_type = 'error')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT user_id, round(sum(CASE WHEN ended = 0 THEN value * pow(0.9, k) ELSE 0 END), 6) AS ret, round(sum(value * pow(0.9, k)), 6) AS unstopped FROM o GROUP BY user_id
+""",
+    "q_gae": """
+WITH RECURSIVE o AS (
+  SELECT user_id, event_id, (event_type <> 'error')::INT AS go, value, 50.0::DOUBLE + event_id % 7 AS v, coalesce(lead(50.0::DOUBLE + event_id % 7) OVER w, 0) AS nxt,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+t AS (SELECT user_id, event_id, k, go, value + 0.99::DOUBLE * nxt * go - v AS delta FROM o),
+a AS (SELECT user_id, event_id, k, delta AS adv FROM t WHERE k = 1 UNION ALL SELECT t.user_id, t.event_id, t.k, t.delta + 0.99::DOUBLE * 0.95::DOUBLE * t.go * a.adv FROM a JOIN t ON t.user_id = a.user_id AND t.k = a.k + 1)
+SELECT user_id, event_id, round(adv, 6) AS advantage FROM a
 """,
     "q_interval_overlap": f"""
 WITH e AS (SELECT event_id, user_id, event_type, {_M} AS a, {_M} + 30 * CAST(json_extract_string(props, '$.k') AS DOUBLE) AS b FROM events)

@@ -54,10 +54,48 @@ def test_trim_keeps_one_sample_each_side(spark):
     assert values(timeseries.trim(rows, ["k"], "t", F.lit(210.0), F.lit(330.0)), "rebased") == [(-30.0,), (30.0,), (90.0,), (150.0,)]
 
 
-def test_folds(spark):
-    x = timeseries.ordered(spark.createDataFrame([("a", 0, 1.0, False), ("a", 1, 2.0, True), ("a", 2, 4.0, False)], "k string, t int, v double, d boolean"), ["k"], ["t"], ["v", "d"])
-    r = x.select(timeseries.discounted_return(F.col("x"), "v", 0.5).alias("r"), timeseries.lag_fold(F.col("x"), "v", 0.0, 0.5, 0.5).alias("s")).first()
-    assert r.r == 1 + 1 + 1 and r.s == ((0.5 + 2) / 2 + 4) / 2
+@pytest.mark.parametrize("size", [1, 2, 100])
+def test_folds_do_not_depend_on_chunks(spark, size):
+    rows = spark.createDataFrame([("a", i, float(v), d, g) for i, (v, d, g) in enumerate([(1, False, 2.0), (2, False, 1.0), (4, True, 3.0), (8, False, 0.5), (16, False, 1.0)])], "k string, t int, v double, d boolean, g double")
+    chunk = F.floor(F.col("t") / size)
+    assert values(timeseries.discounted_return(rows, ["k"], chunk, ["t"], "v", 0.5, F.col("d")), "ret") == [(3.0,)]
+    assert values(timeseries.discounted_return(rows, ["k"], chunk, ["t"], "v", 0.5), "ret") == [(5.0,)]
+    want, adv, ahead = [], 0.0, 0.0
+    for v, d, g in reversed([(1, 0, 2.0), (2, 0, 1.0), (4, 1, 3.0), (8, 0, 0.5), (16, 0, 1.0)]):
+        adv = v + 0.9 * ahead * (not d) - g + 0.9 * 0.5 * (not d) * adv
+        ahead = g
+        want.insert(0, round(adv, 9))
+    got = timeseries.advantages(rows, ["k"], chunk, ["t"], "v", "g", "d", 0.9, 0.5)
+    assert [(t, round(x, 9)) for t, x in values(got, "t", "advantage")] == list(enumerate(want))
+
+
+def test_dead_moisture_keeps_still_dries_and_soaks(spark):
+    from cinderframe.operators import fuel
+
+    rows = [(k, 60.0 * i, 25.0, 35.0, 2.0 if k == "rain" else 0.0) for k in ("still", "dry", "rain") for i in range(2)]
+    df = spark.createDataFrame(rows, "k string, t double, c double, h double, r double")
+    upper, lower = df.limit(1).select(*weather.moisture_equilibria(F.col("c"), F.col("h"))).first()
+    step = lambda start: dict(values(fuel.dead_moisture(df, ["k"], "t", "c", "h", "r", 1.0, start).filter("t = 60"), "k", "moisture"))
+    assert step((upper + lower) / 2)["still"] == pytest.approx((upper + lower) / 2)
+    assert step(0.01)["dry"] == pytest.approx(0.01 + (lower - 0.01) * (1 - math.exp(-1)))
+    assert step(0.01)["rain"] == pytest.approx(0.01 + (2.5 - 0.01) * (1 - math.exp(-(1 - math.exp(-1.95 / 8)) / 14)))
+
+
+def test_rows_without_a_split_fail(spark):
+    rows = spark.createDataFrame([(1, 2000), (2, 1900)], "k int, y int")
+    assert audit.split_of(rows, "k", {}, F.col("y"), {2000: "a"}, strict=False).filter("split is null").count() == 1
+    with pytest.raises(Exception, match="no split"):
+        audit.split_of(rows, "k", {}, F.col("y"), {2000: "a"}).collect()
+
+
+def test_strict_pairs_fail_on_other_keys(spark):
+    from cinderframe.operators import profile
+
+    df = lambda *k: spark.createDataFrame([(x, 1.0) for x in k], "k string, v double")
+    assert profile.strictly_paired(df("a", "b"), df("b", "a"), ["k"], "v").count() == 2
+    for other in (df("a"), df("a", "b", "c"), df("a", "b", "b")):
+        with pytest.raises(Exception, match="differ"):
+            profile.strictly_paired(df("a", "b"), other, ["k"], "v").collect()
 
 
 def test_signed_pairs_keep_single_arms(spark):
