@@ -51,14 +51,14 @@ def bootstrap(clusters: DataFrame, value: str, order: str, replicates: int = 200
     """(replicate, mean) of clusters drawn with replacement.
 
     clusters has one row per cluster. Clusters are numbered in `order` by ranges; a replicate draws as many as
-    there are. Draws are counted by cluster before they meet the values, so what is joined has at most
-    clusters x replicates rows and each side is spread over all clusters.
+    there are. Draws meet the values by number, through Spark's own choice of join, and are added up by replicate
+    before they are shuffled.
     """
-    ranked = numbered(clusters.select(order, value), order)
+    ranked = numbered(clusters.select(order, value).persist(), order).persist()
     n = ranked.count()
     draws = ranked.select(F.col("number").alias("slot"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-    draws = draws.select("replicate", draw(F.col("replicate"), F.col("slot"), F.lit(n), seed).alias("number")).groupBy("replicate", "number").agg(F.count("*").alias("times"))
-    return draws.join(ranked, "number").groupBy("replicate").agg((F.sum(F.col("times") * F.col(value)) / F.sum("times")).alias("mean"))
+    draws = draws.select("replicate", draw(F.col("replicate"), F.col("slot"), F.lit(n), seed).alias("number"))
+    return draws.join(ranked.select("number", value), "number").groupBy("replicate").agg(F.avg(value).alias("mean"))
 
 
 def interval(means: DataFrame, low: float = 0.025, high: float = 0.975) -> DataFrame:
