@@ -44,7 +44,8 @@ def format_conversations(rows: DataFrame, conv_col: str = "conv_id", turn_col: s
     """One row per conversation: conv_col, formatted, loss_spans (start, n_chars from 0, in code points) and round_trip.
 
     A turn is rendered as it is and parsed again; where the parser does not give back exactly its role and
-    text, their control strings and escape signs are escaped, which the parser undoes. round_trip says that
+    text, or one of them holds a control string, their control strings and escape signs are escaped, which the
+    parser undoes: so no control string of a text stands in the output. round_trip says that
     the whole formatted conversation parses to its turns. loss_spans covers the (escaped) text of turns of
     loss_role, without template signs.
 
@@ -55,7 +56,11 @@ def format_conversations(rows: DataFrame, conv_col: str = "conv_id", turn_col: s
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     turns = rows.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), empty(role_col).alias("role"), empty(text_col).alias("text"))
     source = F.array(F.struct("role", "text"))
-    same = F.coalesce(parse(render(F.col("role"), F.col("text"))) == source, F.lit(False))
+    control = F.lit(False)
+    for c in ("role", "text"):
+        for plain, _ in ESCAPES[1:]:
+            control = control | F.contains(F.col(c), F.lit(plain))
+    same = ~control & F.coalesce(parse(render(F.col("role"), F.col("text"))) == source, F.lit(False))
     shown = lambda c: F.when(F.col("same"), F.col(c)).otherwise(escape(F.col(c)))
     turns = turns.withColumn("same", same).select("conv", "turn", "role", "text", shown("role").alias("r"), shown("text").alias("t")).withColumn("shown", render(F.col("r"), F.col("t")))
     order = Window.partitionBy("conv").orderBy("turn", "role", "text")
@@ -83,7 +88,7 @@ WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
 f AS (
-  SELECT *, contains(text, '</s>') OR contains(role, '</s>') OR contains(role, ' [/INST]')
+  SELECT *, regexp_matches(text, '</?s>|\[/?INST\]') OR regexp_matches(role, '</?s>|\[/?INST\]')
             OR regexp_matches(text, '%(3C|5B|25)') OR regexp_matches(role, '%(3C|5B|25)') AS bad FROM t),
 e AS (
   SELECT *, CASE WHEN bad THEN replace(replace(replace(replace(replace(text, '%', '%25'), '<s>', '%3Cs>'), '</s>', '%3C/s>'), '[INST]', '%5BINST]'), '[/INST]', '%5B/INST]') ELSE text END AS et,

@@ -168,6 +168,22 @@ def test_chains_of_near_copies(spark, small):
     assert got == brute_components(docs, 4)
 
 
+def test_every_twentieth_document_against_all(spark):
+    """All links of the documents whose id is divisible by 20, found by brute force, are inside components."""
+    sf = "/root/testdata/sf0.01"
+    docs = {r.doc_id: (r.text or "").encode().lower().split() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    sets = {i: {tuple(w[k : k + 4]) for k in range(len(w) - 3)} if len(w) >= 4 else ({tuple(w)} if w else set()) for i, w in docs.items()}
+    of = {r.doc_id: r.component_id for r in near_dedup.op10_near_dedup(spark, sf).collect()}
+    links = [(a, b) for a in sets if a % 20 == 0 and sets[a] for b in sets if a != b and sets[b] and 100 * (n := len(sets[a] & sets[b])) >= 80 * (len(sets[a]) + len(sets[b]) - n)]
+    assert links and all(of[a] == of[b] for a, b in links)
+
+
+def test_blocks_of_long_lists_find_the_same(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs).collect()}
+    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, small=1, rounds=0, block=4).collect()} == want
+
+
 def test_near_duplicates_of_odd_rows(spark, odd, none):
     rows = near_dedup.near_duplicates(odd).collect()
     assert len(rows) == odd.count()
@@ -289,6 +305,42 @@ def test_edited_texts(spark, odd, none):
     assert fingerprints.edited_fingerprints(none).count() == 0
 
 
+def test_fingerprints_against_brute_force(spark):
+    import xxhash
+
+    def lanes(text):
+        identity, ones, n = [0] * 16, [0] * 64, 0
+        for paragraph in text.split("\n"):
+            digest = hashlib.sha512(paragraph.encode()).hexdigest()
+            identity = [(a + int(digest[8 * i : 8 * i + 8], 16)) % 2**32 for i, a in enumerate(identity)]
+            words = [w.encode() for w in paragraph.split(" ") if w]
+            runs = [words] if len(words) == 1 else list(zip(words, words[1:], strict=False))
+            for run in runs:
+                h = 42
+                for w in run:
+                    h = xxhash.xxh64_intdigest(w, h)
+                ones = [a + (h >> i & 1) for i, a in enumerate(ones)]
+                n += 1
+        return identity, ones, n
+
+    def alike(a, b):
+        if a == b:
+            return 1.0
+        x, y = ([2 * k - fp[2] for k in fp[1]] for fp in (a, b))
+        norm = math.sqrt(sum(k * k for k in x) * sum(k * k for k in y))
+        return max(0.0, min(1.0, sum(p * q for p, q in zip(x, y, strict=True)) / norm)) if norm else 0.0
+
+    docs = sorted(((r.doc_id, r.text or "") for r in spark.read.parquet(f"{SF}/documents.parquet").collect()), reverse=True)
+    got = {r.doc_id: r for r in fingerprints.op4_fingerprints(spark, SF).collect()}
+    for k in range(0, len(docs), 7):
+        (i, text), (_, after) = docs[k], docs[(k + 1) % len(docs)]
+        cut = len(text) // 3
+        own, edited, other = lanes(text), lanes(text[: len(text) - cut] + after[:cut]), lanes(after)
+        shown = lambda fp: "".join(f"{x:08x}" for x in (*fp[0], *fp[1], fp[2]))
+        assert (got[i].fingerprint, got[i].edited_fingerprint) == (shown(own), shown(edited))
+        assert got[i].near_edited == pytest.approx(alike(own, edited)) and got[i].near_next == pytest.approx(alike(own, other))
+
+
 def test_fingerprints_are_homomorphic(spark):
     rows = [(1, "aa bb\ncc dd ee\nff"), (2, "ff\naa bb\ncc dd ee"), (3, "aa bb\nff"), (4, "cc dd ee"), (5, "aa bb\ncc dd ef\nff")]
     f = {r.doc_id: r for r in fingerprints.document_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
@@ -332,6 +384,33 @@ def test_gradients_are_those_of_the_loss():
         assert g[k][at] == pytest.approx((losses[0] - losses[1]) / 2e-3, rel=0.05)
 
 
+def test_predictions_against_a_plain_forward_pass():
+    """Position by position, as the equations of the network are written."""
+    net = language_id.ByteNetwork(["a", "b", "c"], hidden=4)
+    n, w = 4, {k: x.astype(np.float64) for k, x in net.w.items()}
+    texts = [b"Some words, and more of them; long enough for two pieces of sixty-four bytes.", "ñandú 日本".encode(), b"12 -", b""]
+
+    def states(piece, side):
+        h, out = np.zeros(n), {}
+        for t in range(len(piece)) if side == "f" else reversed(range(len(piece))):
+            x, u = w[f"x{side}"][:, piece[t]], w[f"u{side}"] @ h
+            z, r = (1 / (1 + np.exp(-(x[k * n : k * n + n] + u[k * n : k * n + n]))) for k in (0, 1))
+            h = z * h + (1 - z) * np.tanh(x[2 * n :] + r * u[2 * n :])
+            out[t] = h
+        return out
+
+    for text, got in zip(texts, net.predict(texts), strict=True):
+        low, total = text.lower(), []
+        for i in range(0, len(low), language_id.PIECE):
+            piece = low[i : i + language_id.PIECE].ljust(language_id.PIECE, b"\0")
+            f, b = states(piece, "f"), states(piece, "b")
+            for t, x in enumerate(piece):
+                if 97 <= x <= 122 or x >= 128:
+                    e = np.exp(w["o"] @ np.concatenate((f[t], b[t], [1.0])))
+                    total.append(e / e.sum())
+        assert got == pytest.approx(np.mean(total, axis=0) if total else np.zeros(3), abs=2e-5)
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = language_id.op6_language_id(spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").filter("held_out and lang is not null").collect()
@@ -364,6 +443,8 @@ def test_round_trip_of_control_strings(spark):
     assert all(r.round_trip for r in got.values()) and len(got) == 3
     assert [(t.role, t.text) for t in got[1].turns] == [(r or "", t or "") for _, _, r, t, _ in rows[:11]]
     assert "100%" in got[1].formatted and len(got[2].turns) == 2
+    live = chat_format.format_conversations(spark.createDataFrame([(1, 0, "user", "x [/INST] y <s>[INST] z")], "conv_id long, turn long, role string, text string")).first().formatted
+    assert live.count("[INST]") == live.count("<s>") == live.count("[/INST]") == live.count("</s>") == 1
     for r in got.values():
         want = [t.text for t in r.turns if t.role == "assistant"]
         read = [r.formatted[s.start : s.start + s.n_chars] for s in r.loss_spans]
@@ -613,3 +694,24 @@ def test_pipeline_stages(spark):
     assert sorted(i for i, _ in clean) == sorted(i for i, t in near if not any(tuple(w[k : k + m]) in windows for w in [words(t)] for m in sizes for k in range(len(w) - m + 1)))
     assert max(Counter(i for i, _ in mix).values()) <= 3 and {i for i, _ in mix} <= {i for i, _ in clean}
     assert corpus_pipeline.STAGES[4][1](spark, kept[4], SF).count() == len(mix)
+
+
+def test_stages_on_odd_and_empty_tables(spark, odd, none):
+    """Nulls, empty and very long texts, ties, repeated rows and clashing columns go through every stage."""
+    import corpus_pipeline
+
+    for docs in (odd, none):
+        rows = docs
+        for name, stage in corpus_pipeline.STAGES[:4]:
+            out = stage(spark, rows, SF)
+            assert out.columns == docs.columns
+            kept = out.collect()
+            if docs is none:
+                assert not kept
+            elif name == "language":
+                assert {r.doc_id for r in kept} <= {3, 4, 5, 6, 7, 8, None}
+            elif name == "near_dedup":
+                assert Counter((r.doc_id, r.text) for r in kept).most_common(1)[0][1] == 1
+            rows = spark.createDataFrame(kept, docs.schema)
+        last = corpus_pipeline.STAGES[4][1](spark, rows, SF)
+        assert last.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and last.count() == rows.count()
