@@ -62,23 +62,26 @@ def greedy_matching(pairs: DataFrame, case: list[str], resource: str, task: str,
     return taken.select(*case, F.col("p.r").alias(resource), F.col("p.t").alias(task), (-F.col("p.v")).alias(value))
 
 
-def _best(resource: str, task: str, value: str, case: list[str]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def _best(resource: str, task: str, value: str, capacity: str | None, case: list[str]) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """The pairs of greatest total value with each resource and each task at most once, resource by resource over sets of taken tasks."""
-        tasks = sorted(pdf[task].unique())
-        bit = {t: 1 << i for i, t in enumerate(tasks)}
-        best: dict[int, tuple[float, tuple]] = {0: (0.0, ())}
+        """Pairs of greatest total value, resource by resource over what is left of the tasks' capacities; of equal totals
+        the picks that come first in order."""
+        room = pdf.groupby(task)[capacity].max().astype(int) if capacity else pdf.groupby(task)[task].size() * 0 + 1
+        tasks = list(room.index)
+        at = {t: i for i, t in enumerate(tasks)}
+        best: dict[tuple, tuple[float, tuple]] = {tuple(room): (0.0, ())}
         for r, own in pdf.sort_values([resource, task]).groupby(resource, sort=True):
             step = dict(best)
-            for used, (total, picks) in best.items():
+            for left, (total, picks) in best.items():
                 for t, v in zip(own[task], own[value], strict=True):
-                    if not used & bit[t]:
-                        new = (total + v, (*picks, (r, t, v)))
-                        old = step.get(used | bit[t])
-                        if old is None or new[0] > old[0] + 1e-12:
-                            step[used | bit[t]] = new
+                    if left[at[t]] > 0:
+                        state = tuple(n - (i == at[t]) for i, n in enumerate(left))
+                        new = (round(total + v, 9), (*picks, (r, t, v)))
+                        old = step.get(state)
+                        if old is None or (-new[0], new[1]) < (-old[0], old[1]):
+                            step[state] = new
             best = step
-        picks = max(best.values(), key=lambda x: x[0])[1]
+        picks = min(best.values(), key=lambda x: (-x[0], x[1]))[1]
         out = pd.DataFrame(picks, columns=[resource, task, value])
         for c in reversed(case):
             out.insert(0, c, pdf[c].iloc[0])
@@ -87,7 +90,12 @@ def _best(resource: str, task: str, value: str, case: list[str]) -> Callable[[pd
     return run
 
 
-def best_matching(pairs: DataFrame, case: list[str], resource: str, task: str, value: str) -> DataFrame:
-    """The assignment of greatest total value in each case (a decision with at most some twenty tasks)."""
-    kinds = pairs.select(*case, resource, task, F.col(value).cast("double").alias(value))
-    return kinds.groupBy(*case).applyInPandas(_best(resource, task, value, case), kinds.schema)
+def best_matching(pairs: DataFrame, case: list[str], resource: str, task: str, value: str, capacity: str | None = None) -> DataFrame:
+    """The assignment of greatest total value in each case: a resource takes one task at most, a task as many resources as
+    its capacity (one without the column). Of equal totals, the picks first in order of resource and task.
+
+    A case is one decision, with at most some twenty tasks: the search goes over what is left of their capacities.
+    """
+    kinds = pairs.select(*case, resource, task, F.col(value).cast("double").alias(value), *([capacity] if capacity else []))
+    out = kinds.drop(capacity) if capacity else kinds
+    return kinds.groupBy(*case).applyInPandas(_best(resource, task, value, capacity, case), out.schema)

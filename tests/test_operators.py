@@ -161,13 +161,47 @@ def test_blur_repeats_the_edge(spark):
     assert all(v == pytest.approx(2) for (v,) in values(raster.convolve(flat, ["k"], "v", at, w, "b"), "b"))
 
 
-def test_best_matching_beats_or_equals_every_other(spark):
-    table = {(r, t): (7 * r + 5 * t * t + r * t) % 11 for r in range(4) for t in range(4)}
-    pairs = spark.createDataFrame([(1, r, t, float(v)) for (r, t), v in table.items()], "c int, r int, t int, v double")
-    got = selection.best_matching(pairs, ["c"], "r", "t", "v").agg(F.sum("v")).first()[0]
-    assert got == max(sum(table[r, t] for r, t in enumerate(p)) for p in itertools.permutations(range(4)))
-    greedy = selection.greedy_matching(pairs, ["c"], "r", "t", "v")
-    assert len({r.t for r in greedy.collect()}) == greedy.count() == 4
+@pytest.mark.parametrize("seed", range(6))
+def test_best_matching_against_every_assignment(spark, seed):
+    """Values with many ties, capacities of 0 to 2: the picks are the first of those with the greatest total."""
+    import random
+
+    rnd = random.Random(seed)
+    table = {(r, t): float(rnd.randint(0, 3)) for r in range(4) for t in range(3) if rnd.random() < 0.8}
+    room = {t: rnd.randint(0, 2) for t in range(3)}
+    pairs = spark.createDataFrame([(1, r, t, v, room[t]) for (r, t), v in table.items()], "c int, r int, t int, v double, n int")
+    got = [(x.r, x.t, x.v) for x in selection.best_matching(pairs, ["c"], "r", "t", "v", "n").orderBy("r").collect()]
+    every = []
+    for choice in itertools.product([None, 0, 1, 2], repeat=4):
+        picks = tuple((r, t, table.get((r, t))) for r, t in enumerate(choice) if t is not None)
+        if all(v is not None for *_, v in picks) and all(choice.count(t) <= room[t] for t in room):
+            every.append((-sum(v for *_, v in picks), picks))
+    assert tuple(got) == min(every)[1]
+
+
+def test_greedy_matching_takes_the_best_left(spark):
+    table = {(r, t): float((7 * r + 5 * t * t + r * t) % 11) for r in range(4) for t in range(4)}
+    pairs = spark.createDataFrame([(1, r, t, v) for (r, t), v in table.items()], "c int, r int, t int, v double")
+    taken = []
+    for r in range(4):
+        t = min((t for t in range(4) if t not in [x for _, x in taken]), key=lambda t: (-table[r, t], t))
+        taken.append((r, t))
+    assert values(selection.greedy_matching(pairs, ["c"], "r", "t", "v"), "r", "t") == taken
+
+
+def test_optimal_interpolation_against_the_equations(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    cells = [("a", int(y), int(x)) for y in range(6) for x in range(5)]
+    obs = [("a", int(y), int(x), float(rng.normal())) for y, x in {(1, 1), (4, 3), (2, 0)}]
+    got = raster.optimal_interpolation(spark.createDataFrame(obs, "k string, oy int, ox int, innovation double"), spark.createDataFrame(cells, "k string, y int, x int"), ["k"], 2.0, 0.3, blocks=3)
+    near = lambda a, b: math.exp(-((a[0] - b[0]) ** 2 + (a[1] - b[1]) ** 2) / 8)
+    places = [(o[1], o[2]) for o in obs]
+    inverse = np.linalg.inv([[near(p, q) + 0.09 * (p == q) for q in places] for p in places])
+    for r in got.collect():
+        cross = np.array([near((r.y, r.x), p) for p in places])
+        assert r.correction == pytest.approx(cross @ inverse @ [o[3] for o in obs]) and r.sd == pytest.approx(math.sqrt(max(0, 1 - cross @ inverse @ cross)))
 
 
 def test_round_robin_and_quartiles(spark):
