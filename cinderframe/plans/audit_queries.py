@@ -155,12 +155,12 @@ QUERIES = {f.__name__: f for f in (q_split_rule, q_partition_audit, q_validation
 _SPLIT = "WITH s AS (SELECT *, CASE WHEN o_custkey = 1 THEN 'tune' WHEN o_custkey = 2 THEN 'test' WHEN year(o_orderdate) BETWEEN 1990 AND 1996 THEN 'tune' WHEN year(o_orderdate) BETWEEN 1997 AND 2009 THEN 'test' END AS split FROM orders)"
 _OFFERS = "WITH o AS (SELECT l_orderkey % 500 AS \"case\", l_suppkey % 5 AS resource, l_partkey % 6 AS task, sum(l_quantity) AS value FROM lineitem GROUP BY ALL)"
 
-_OFFERS = 'o AS (SELECT l_orderkey % 500 AS k, l_suppkey % 5 AS r, l_partkey % 6 AS t, sum(l_quantity) AS v FROM lineitem GROUP BY ALL)'
+_MATCH = 'o AS (SELECT l_orderkey % 500 AS k, l_suppkey % 5 AS r, l_partkey % 6 AS t, sum(l_quantity) AS v FROM lineitem GROUP BY ALL)'
 
 
 def _best_sql() -> str:
     """Resource by resource, for every set of taken tasks the picks of greatest total, of equal totals the first in order."""
-    steps = [f"WITH {_OFFERS}, s0 AS (SELECT DISTINCT k, 0 AS used, 0.0::DOUBLE AS total, []::BIGINT[] AS picks FROM o)"]
+    steps = [f"WITH {_MATCH}, s0 AS (SELECT DISTINCT k, 0 AS used, 0.0::DOUBLE AS total, []::BIGINT[] AS picks FROM o)"]
     for r in range(5):
         steps.append(f"""a{r} AS (SELECT * FROM s{r} UNION ALL SELECT s.k, used | (1 << t)::INT, total + v, list_append(picks, {r * 10} + t) FROM s{r} s JOIN o ON o.k = s.k AND o.r = {r} AND (used >> t) & 1 = 0),
 s{r + 1} AS (SELECT k, used, total, picks FROM a{r} QUALIFY row_number() OVER (PARTITION BY k, used ORDER BY total DESC, picks) = 1)""")
@@ -225,7 +225,7 @@ SELECT event_type, user_id, age FROM e QUALIFY row_number() OVER (PARTITION BY e
 WITH v AS (SELECT user_id, event_id, epoch_us(ts) / 60000000.0 AS t, epoch_us(ts) / 60000000.0 + CAST(json_extract_string(props, '$.k') AS DOUBLE) AS o FROM events WHERE event_type = 'view')
 SELECT p.event_id, coalesce((SELECT arg_max(v.event_id, (v.t, v.event_id)) FROM v WHERE v.user_id = p.user_id AND v.o <= epoch_us(p.ts) / 60000000.0), -1) AS known FROM events p WHERE p.event_type = 'purchase'""",
     "q_greedy_matching": f"""
-WITH RECURSIVE {_OFFERS}, g(k, r, used, n, total) AS (
+WITH RECURSIVE {_MATCH}, g(k, r, used, n, total) AS (
   SELECT DISTINCT k, 0, 0, 0, 0.0::DOUBLE FROM o UNION ALL
   SELECT g.k, g.r + 1, used | coalesce(1 << x.t, 0)::INT, n + (x.t IS NOT NULL)::INT, total + coalesce(x.v, 0)
   FROM g LEFT JOIN LATERAL (SELECT t, v FROM o WHERE o.k = g.k AND o.r = g.r AND (g.used >> t) & 1 = 0 ORDER BY v DESC, t LIMIT 1) x ON true WHERE g.r < 5)

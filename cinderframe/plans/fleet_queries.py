@@ -231,7 +231,7 @@ SELECT p_type, round(sum((b::INT + a::INT) * w), 6) AS loss, round(avg(b::INT),
 """,
     "q_pooled": "SELECT p_partkey // 40 // 5 AS y, p_partkey % 40 // 5 AS x, round(avg(p_size), 6) AS mean, max(p_size) AS top FROM part GROUP BY ALL",
     "q_projected": """
-SELECT s_suppkey, s_nationkey, CASE WHEN s_suppkey % 3 = 0 THEN 99.5 WHEN n_nationkey <> 4 THEN n_regionkey + 0.5 END AS speed, CASE WHEN n_nationkey <> 4 THEN n_nationkey END AS bays FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey
+SELECT s_suppkey, s_nationkey, CASE WHEN s_suppkey % 3 = 0 THEN 99.5::DOUBLE WHEN n_nationkey <> 4 THEN n_regionkey + 0.5::DOUBLE END AS speed, CASE WHEN n_nationkey <> 4 THEN n_nationkey END AS bays FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey
 """,
     "q_greedy_pairs": f"""
 WITH RECURSIVE {_PAIRS}, p AS (SELECT r // 2 AS k, r, t, round(value - travel, 6) AS v FROM x WHERE t % 4 = 0),

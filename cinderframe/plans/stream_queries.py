@@ -10,9 +10,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from cinderframe.streaming import observations as ob
 
 
-def _folder(spark: SparkSession) -> str:
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{shared.rstrip('/') if shared else tempfile.mkdtemp(prefix='spark-')}/stream-{uuid.uuid4().hex}"
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the one that spark.checkpoint.dir names; where that is unset in local mode, in a temporary one."""
+    conf = spark.sparkContext.getConf()
+    shared = conf.get("spark.checkpoint.dir")
+    if not shared and not (conf.get("spark.master") or "").split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{shared.rstrip('/') if shared else tempfile.mkdtemp(prefix='spark-')}/{name}-{uuid.uuid4().hex}"
 
 
 def _stream(spark: SparkSession, d: str) -> DataFrame:
@@ -22,7 +26,7 @@ def _stream(spark: SparkSession, d: str) -> DataFrame:
 
 def q_stream_windows(spark: SparkSession, d: str) -> DataFrame:
     """Daily windows of the event stream, as the sink holds them when all input is read."""
-    folder = _folder(spark)
+    folder = scratch_folder(spark, "stream")
     counts = ob.windows(_stream(spark, d), "ts", ["event_type"], "value", "1 day", "1 hour")
 
     def keep(batch: DataFrame, number: int) -> None:
@@ -35,7 +39,7 @@ def q_stream_windows(spark: SparkSession, d: str) -> DataFrame:
 
 def q_stream_last_wins(spark: SparkSession, d: str) -> DataFrame:
     """The newest event of every user and kind after the stream has been merged batch by batch."""
-    folder = _folder(spark)
+    folder = scratch_folder(spark, "stream")
     keys = ["user_id", "event_type"]
     query = _stream(spark, d).writeStream.foreachBatch(ob.last_wins(f"{folder}/out", keys, "ts")).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()

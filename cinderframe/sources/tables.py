@@ -54,6 +54,29 @@ def bounding_box(geometry: Column) -> Column:
     return F.array(F.array_min(numbers), F.array_min(other), F.array_max(numbers), F.array_max(other))
 
 
+def read_items(spark: SparkSession, path: str) -> DataFrame:
+    """Assets of item documents {id, properties, assets: {name: {href}}}: path, item_id, properties, asset, href."""
+    kind = "id string, properties map<string,string>, assets map<string, struct<href: string>>"
+    docs = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.from_json("value", kind).alias("d"))
+    out = docs.select("path", F.col("d.id").alias("item_id"), "d.properties", F.explode("d.assets").alias("asset", "link"))
+    return out.select("path", "item_id", "properties", "asset", F.col("link.href").alias("href"))
+
+
+def asset_status(items: DataFrame, files: DataFrame) -> DataFrame:
+    """items with `status`: escapes, where href leaves the item's folder, missing, where no file (path relative to the folder) has
+    its name, else found."""
+    depth = F.aggregate(F.split("href", "/"), F.struct(F.lit(0).alias("d"), F.lit(0).alias("low")), lambda a, p: F.struct((a.d + F.when(p == "..", -1).when(p.isin("", "."), 0).otherwise(1)).alias("d"), F.least(a.low, a.d + F.when(p == "..", -1).otherwise(0)).alias("low")), lambda a: a.low)
+    leaves = F.coalesce(F.startswith("href", F.lit("/")) | F.contains("href", F.lit("://")) | (depth < 0), F.lit(True))
+    found = items.join(files.select(F.col("path").alias("href"), F.lit(True).alias("_f")).distinct(), "href", "left")
+    return found.select(*items.columns, F.when(leaves, "escapes").when(F.col("_f"), "found").otherwise("missing").alias("status"))
+
+
+def write_landscape(cells: DataFrame, path: str) -> None:
+    """Cells with the rasters' types as Parquet, by path; rasters that are not there are null."""
+    have = set(cells.columns)
+    cells.select("path", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), *[(F.col(c) if c in have else F.lit(None)).cast(t).alias(c) for c, t in LANDSCAPE.items()]).write.partitionBy("path").parquet(path)
+
+
 def read_hourly(spark: SparkSession, path: str, fields: list[str], fill: float = -999.0) -> DataFrame:
     """Hours that all series of JSON payloads {field: {yyyymmddHH: value}} have, without those that hold the fill value."""
     docs = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.from_json("value", "map<string, map<string, double>>").alias("d"))
@@ -106,5 +129,8 @@ def checkpoint_folder(spark: SparkSession) -> None:
     """Set a folder for checkpoint() where the session has none: on a cluster spark.checkpoint.dir names it."""
     import tempfile
 
-    if not spark.sparkContext.getConf().get("spark.checkpoint.dir") and spark._jsc.sc().getCheckpointDir().isEmpty():
+    conf = spark.sparkContext.getConf()
+    if not conf.get("spark.checkpoint.dir") and not (conf.get("spark.master") or "").split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not conf.get("spark.checkpoint.dir") and spark._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
