@@ -70,11 +70,14 @@ def convolve(grid: DataFrame, keys: list[str], value: str, offsets: list[tuple[i
     return out.withColumnsRenamed({"cy": "y", "cx": "x"})
 
 
-def gaussian(sigma: float) -> tuple[list[tuple[int, int]], list[float]]:
+def blur(grid: DataFrame, keys: list[str], value: str, sigma: float, name: str) -> DataFrame:
+    """Gaussian blur, cut at three sigma, with the nearest cell beyond the edge: one pass along y, one along x."""
     r = math.ceil(3 * sigma)
-    at = [(a, b) for a in range(-r, r + 1) for b in range(-r, r + 1)]
-    w = [math.exp(-(a * a + b * b) / (2 * sigma * sigma)) for a, b in at]
-    return at, [x / sum(w) for x in w]
+    at = list(range(-r, r + 1))
+    w = [math.exp(-a * a / (2 * sigma * sigma)) for a in at]
+    w = [x / sum(w) for x in w]
+    once = convolve(grid, keys, value, [(a, 0) for a in at], w, "_once")
+    return convolve(once, keys, "_once", [(0, b) for b in at], w, name)
 
 
 def local_maxima(grid: DataFrame, keys: list[str], value: str, radius: int, k: int) -> DataFrame:
@@ -85,35 +88,36 @@ def local_maxima(grid: DataFrame, keys: list[str], value: str, radius: int, k: i
     return peaks.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(value), "y", "x"))).filter(F.col("rank") <= k)
 
 
-def _row_envelope(keys: list[str]) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def run(row: pd.DataFrame) -> pd.DataFrame:
-        """Squared distance along one grid row from each column's squared vertical distance: a lower envelope of parabolas."""
-        row = row.sort_values("x")
-        x, f = row["x"].to_numpy(float), row["g2"].to_numpy(float)
-        out = np.full(len(x), np.inf)
-        have = np.flatnonzero(np.isfinite(f))
-        if len(have):
-            v, z = [have[0]], [-np.inf]
-            for q in have[1:]:
-                while True:
-                    p = v[-1]
-                    s = (f[q] + x[q] ** 2 - f[p] - x[p] ** 2) / (2 * x[q] - 2 * x[p])
-                    if s > z[-1]:
-                        break
-                    v.pop(), z.pop()
-                v.append(q), z.append(s)
-            k = np.searchsorted(np.array(z[1:]), x, "left")
-            at = np.array(v)[k]
-            out = f[at] + (x - x[at]) ** 2
-        return row[[*keys, "y", "x"]].assign(d2=out)
-
-    return run
+def _along_row(x: np.ndarray, f: np.ndarray) -> np.ndarray:
+    """Squared distance along one grid row from each column's squared vertical distance f (infinite without a cell)."""
+    out, have = np.full(len(x), np.inf), np.flatnonzero(np.isfinite(f))
+    if not len(have):
+        return out
+    if len(have) <= 256:  # all against all in one step
+        for i in range(0, len(x), 4096):
+            out[i : i + 4096] = ((x[i : i + 4096, None] - x[have]) ** 2 + f[have]).min(axis=1)
+        return out
+    v, z = [have[0]], [-np.inf]  # wide rows: the lower envelope of the columns' parabolas
+    for q in have[1:]:
+        while True:
+            p = v[-1]
+            s = (f[q] + x[q] ** 2 - f[p] - x[p] ** 2) / (2 * x[q] - 2 * x[p])
+            if s > z[-1]:
+                break
+            v.pop(), z.pop()
+        v.append(q), z.append(s)
+    at = np.array(v)[np.searchsorted(np.array(z[1:]), x, "left")]
+    return f[at] + (x - x[at]) ** 2
+
+
+def _row_distances(row: pd.Series, value: pd.Series) -> pd.Series:
+    return pd.Series([_along_row(np.asarray(x, float), np.asarray(f, float)) for x, f in zip(row, value, strict=True)])
 
 
 def distance(mask: DataFrame, grid: DataFrame, keys: list[str]) -> DataFrame:
     """Exact Euclidean distance, in cells, of every cell of a full grid to the nearest cell of the mask; null without one.
 
-    First along columns, by windows; then along rows, one grid row a group, by the lower envelope of parabolas.
+    First along columns, by windows; then along rows, each grid row as an array.
     """
     cells = grid.select(*keys, "y", "x").join(mask.select(*keys, "y", "x", F.col("y").alias("m")), [*keys, "y", "x"], "left")
     w = Window.partitionBy(*keys, "x").orderBy("y")
@@ -121,9 +125,11 @@ def distance(mask: DataFrame, grid: DataFrame, keys: list[str]) -> DataFrame:
     down = F.first("m", True).over(w.rowsBetween(0, Window.unboundedFollowing))
     gap = F.least(F.coalesce(F.col("y") - up, down - F.col("y")), F.coalesce(down - F.col("y"), F.col("y") - up))
     cells = cells.withColumn("g2", F.coalesce((gap * gap).cast("double"), F.lit(float("inf")))).select(*keys, "y", "x", "g2")
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cells.schema.fields if f.name != "g2")
-    out = cells.groupBy(*keys, "y").applyInPandas(_row_envelope(keys), f"{kinds}, d2 double")
-    return out.select(*keys, "y", "x", F.when(F.col("d2") < float("inf"), F.sqrt("d2")).alias("d"))
+    rows = cells.groupBy(*keys, "y").agg(F.array_sort(F.collect_list(F.struct("x", "g2"))).alias("r"))
+    found = F.pandas_udf(_row_distances, "array<double>")
+    out = rows.select(*keys, "y", F.col("r.x").alias("x"), found(F.col("r.x"), F.col("r.g2")).alias("d2"))
+    out = out.select(*keys, "y", F.explode(F.arrays_zip("x", "d2")).alias("c"))
+    return out.select(*keys, "y", F.col("c.x").alias("x"), F.when(F.col("c.d2") < float("inf"), F.sqrt("c.d2")).alias("d"))
 
 
 def signed_distance(mask: DataFrame, grid: DataFrame, keys: list[str]) -> DataFrame:

@@ -67,7 +67,7 @@ def q_slope(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_blur(spark: SparkSession, d: str) -> DataFrame:
-    out = raster.convolve(_grid(spark, d), K, "height", *raster.gaussian(0.8), "mean")
+    out = raster.blur(_grid(spark, d), K, "height", 0.8, "mean")
     return out.select("y", "x", F.round("mean", 6).alias("mean"))
 
 

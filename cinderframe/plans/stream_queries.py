@@ -46,8 +46,19 @@ def q_stream_last_wins(spark: SparkSession, d: str) -> DataFrame:
     return ob.current(spark.read.parquet(f"{folder}/out"), keys, "ts").select("user_id", "event_type", "event_id", "value")
 
 
-QUERIES = {f.__name__: f for f in (q_stream_windows, q_stream_last_wins)}
+def q_stream_coalesced(spark: SparkSession, d: str) -> DataFrame:
+    """Events of one user and hour as one, with whether any of them is an error."""
+    folder = scratch_folder(spark, "stream")
+    hours = _stream(spark, d).withColumn("hour", F.date_trunc("hour", "ts")).withColumn("bad", F.col("event_type") == "error")
+    merged = ob.coalesced(hours, "hour", ["user_id"], "bad", "1 day")
+    keep = lambda batch, number: batch.write.mode("overwrite").parquet(f"{folder}/out")
+    merged.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("user_id", F.date_format("hour", "yyyy-MM-dd HH").alias("hour"), "bad", "n_sources")
+
+
+QUERIES = {f.__name__: f for f in (q_stream_windows, q_stream_last_wins, q_stream_coalesced)}
 SQL = {
+    "q_stream_coalesced": "SELECT user_id, strftime(ts, '%Y-%m-%d %H') AS hour, bool_or(event_type = 'error') AS bad, count(*) AS n_sources FROM events GROUP BY ALL",
     "q_stream_windows": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     "q_stream_last_wins": "SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC) = 1",
 }

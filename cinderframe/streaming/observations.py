@@ -43,11 +43,26 @@ def delivered(stream: DataFrame, key: str, sensed: str, available: str, value: s
     return rows.groupBy("key").applyInPandasWithState(_deliver, "key string, sensed_ms long, available_ms long, value double", "sensed array<long>, available array<long>, value array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def last_wins(path: str, keys: list[str], order: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink: each batch keeps its last row per key; `current` reads the last over all batches."""
+def last_wins(path: str, keys: list[str], order: str, compact: int = 20) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink: each batch keeps its last row per key; `current` reads the last over all batches.
+
+    Every `compact`-th batch holds the last rows over all so far, and those before it are deleted. A batch that
+    runs again replaces itself; batches that could not be deleted change nothing, as the last row wins.
+    """
     def sink(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
         newest = batch.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))).filter("_r = 1").drop("_r")
-        newest.write.mode("overwrite").parquet(f"{path}/batch={number}")  # a batch that runs again replaces itself
+        old = []
+        if number and number % compact == 0:
+            root = spark._jvm.org.apache.hadoop.fs.Path(path)
+            files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+            old = [x.getPath() for x in files.listStatus(root) if x.getPath().getName().startswith("batch=") and int(x.getPath().getName()[6:]) < number] if files.exists(root) else []
+            if old:
+                before = spark.read.option("basePath", path).schema(f"{newest._jdf.schema().toDDL()}, batch int").parquet(*[str(x) for x in old])
+                newest = current(before.unionByName(newest.withColumn("batch", F.lit(number))), keys, order)
+        newest.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        for x in old:
+            files.delete(x, True)
 
     return sink
 

@@ -127,6 +127,16 @@ def grid(spark, h, w):
     return spark.createDataFrame([("g", y, x, float(10 * y + x)) for y in range(h) for x in range(w)], "k string, y int, x int, v double")
 
 
+def test_wide_rows_by_envelope_and_at_once_agree():
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    x, f = np.arange(1500.0), np.where(rng.random(1500) < 0.5, rng.integers(0, 60, 1500) ** 2.0, np.inf)
+    have = np.flatnonzero(np.isfinite(f))
+    assert raster._along_row(x, f) == pytest.approx(((x[:, None] - x[have]) ** 2 + f[have]).min(axis=1))
+    assert np.isinf(raster._along_row(x, np.full(1500, np.inf))).all()
+
+
 def test_distance_is_exact(spark):
     g = grid(spark, 9, 11)
     mask = [(0, 0), (3, 7), (8, 2)]
@@ -156,9 +166,8 @@ def test_footprint_keeps_the_volume(spark):
 
 
 def test_blur_repeats_the_edge(spark):
-    at, w = raster.gaussian(1.0)
     flat = grid(spark, 4, 4).withColumn("v", F.lit(2.0))
-    assert all(v == pytest.approx(2) for (v,) in values(raster.convolve(flat, ["k"], "v", at, w, "b"), "b"))
+    assert all(v == pytest.approx(2) for (v,) in values(raster.blur(flat, ["k"], "v", 1.0, "b"), "b"))
 
 
 @pytest.mark.parametrize("seed", range(6))

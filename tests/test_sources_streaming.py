@@ -63,3 +63,15 @@ def test_delayed_observations_wait(spark, tmp_path):
     src = src.select("k", F.to_timestamp("s").alias("s"), F.to_timestamp("a").alias("a"), "v")
     got = [(r.key, r.value) for r in run(spark, ob.delivered(src, "k", "s", "a", "v", "0 seconds"), tmp_path)]
     assert ("b", 3.0) not in got and {("a", 1.0), ("a", 2.0)} <= set(got)
+
+
+def test_last_wins_compacts(spark, tmp_path):
+    """Five batches, compacted at every second: the same last rows, and only few batches left."""
+    for k in range(5):
+        spark.createDataFrame([("a", k, 10 * k), (f"k{k}", k, k)], "k string, t int, v int").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    src = spark.readStream.schema("k string, t int, v int").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = str(tmp_path / "out")
+    src.writeStream.foreachBatch(ob.last_wins(out, ["k"], "t", 2)).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    got = {r.k: r.v for r in ob.current(spark.read.parquet(out), ["k"], "t").collect()}
+    assert got == {"a": 40, "k0": 0, "k1": 1, "k2": 2, "k3": 3, "k4": 4}
+    assert sorted(x.name for x in (tmp_path / "out").iterdir() if x.name.startswith("batch=")) == ["batch=4"]
