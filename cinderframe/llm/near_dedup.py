@@ -95,26 +95,42 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             return labels.select("node", "label")
 
 
-def _block_links(percent: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """A confirmed link from each class on the left to each other component on the right, in a pair of blocks."""
+class _Lists:
+    """Posting lists of a block's values: which members hold each."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(x) for x in sets])
+        values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.sizes)
+        order = np.argsort(values, kind="stable")
+        self.values, self.owner = values[order], owner[order]
+
+    def common(self, own: np.ndarray) -> np.ndarray:
+        """How many values each member shares with own."""
+        lo, hi = np.searchsorted(self.values, own, "left"), np.searchsorted(self.values, own, "right")
+        lo, n = lo[hi > lo], (hi - lo)[hi > lo]
+        at = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if len(n) else np.zeros(0, int)
+        return np.bincount(self.owner[at], minlength=len(self.sizes))
+
+
+def _block_links(percent: int, agree: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """A confirmed link from each class on the left to each other component on the right, in a pair of blocks.
+
+    Collisions of coordinates are counted first; a class without `agree` of them with any of another component skips the rest.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
         out: list[tuple[int, int]] = []
         if len(left) and len(right):
-            sets = [np.asarray(x) for x in right["shingles"]]
-            sizes = np.array([len(x) for x in sets])
-            owner = np.repeat(np.arange(len(sets)), sizes)
-            values = np.concatenate(sets)
-            order = np.argsort(values, kind="stable")
-            values, owner = values[order], owner[order]
+            posts, lists = _Lists([np.asarray(x) for x in right["tokens"]]), None
             nodes, labels = right["node"].to_numpy(), right["label"].to_numpy()
-            for node, label, own in zip(left["node"], left["label"], left["shingles"], strict=True):
-                lo, hi = np.searchsorted(values, own, "left"), np.searchsorted(values, own, "right")
-                lo, n = lo[hi > lo], (hi - lo)[hi > lo]
-                at = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if len(n) else np.zeros(0, int)
-                common = np.bincount(owner[at], minlength=len(sets))
-                linked = (100 * common >= percent * (len(own) + sizes - common)) & (labels != label) & (nodes != node)
+            for node, label, tokens, own in zip(left["node"], left["label"], left["tokens"], left["shingles"], strict=True):
+                near = (posts.common(np.asarray(tokens)) >= agree) & (labels != label) & (nodes != node)
+                if not near.any():
+                    continue
+                lists = lists or _Lists([np.asarray(x) for x in right["shingles"]])
+                common = lists.common(np.asarray(own))
+                linked = near & (100 * common >= percent * (len(own) + lists.sizes - common))
                 for k in np.unique(labels[linked], return_index=True)[1]:  # one link to a component is enough
                     x = nodes[linked][k]
                     out.append((min(node, x), max(node, x)))
@@ -137,8 +153,8 @@ def near_groups(
     coordinates must share one among the rarest of each (prefix), so only these are joined and frequent
     coordinates are skipped. In every posting list first a head is compared with the members (`rounds`
     times, each with other heads); what then still lies in different components of one list is compared in
-    full: short lists as pairs whose collisions are counted, long ones in pairs of blocks of at most about `block`
-    classes of that list, which emit confirmed links only. Classes that share no list are never compared.
+    full: short lists as pairs, long ones in blocks of `block` classes, where collisions are counted by merging
+    posting lists, classes with too few skip the rest, and confirmed links only come out.
     At similarity 0.8, 40 coordinates agree in fewer than 19 places in about one pair of a million.
 
     text_key is the text's MD5 (that of no bytes for null), label names the group whatever its ids. A null or
@@ -204,7 +220,7 @@ def near_groups(
     many = rest.filter(F.col("size") > small)
     more = confirmed(pairs)
     if not many.isEmpty():
-        more = more.union(_between_blocks(many, sets, percent, block))
+        more = more.union(_between_blocks(many, sets.join(listed, "node"), scratch, percent, agree, block))
     joined(more)
 
     low = classes.join(labels, "node", "left").select("digest", "low", F.coalesce("label", "node").alias("label"))
@@ -224,23 +240,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def _between_blocks(rest: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
-    """Links between classes that share a long posting list (token) and lie in different components so far.
-
-    A list's largest component is cut into major blocks, the rest of it into minor ones; minor blocks meet each
-    other and the major ones, major ones do not meet. Each pair of blocks is one group of at most 2 * block classes.
-    """
-    main = rest.groupBy("token", "label").count().groupBy("token").agg(F.max_by("label", "count").alias("main"), F.max("count").alias("n_main"), F.sum("count").alias("n"))
+def _between_blocks(rest: DataFrame, sets: DataFrame, scratch: Scratch, percent: int, agree: int, block: int) -> DataFrame:
+    """Links between classes of long posting lists that lie in different components so far."""
+    groups = components(rest.select(F.col("node").alias("a"), F.col("head").alias("b")), scratch)
+    nodes = scratch.cut(rest.select("node", "label").distinct().join(groups.select("node", F.col("label").alias("grp")), "node"))
+    main = nodes.groupBy("grp", "label").count().groupBy("grp").agg(F.max_by("label", "count").alias("main"), F.max("count").alias("n_main"), F.sum("count").alias("n"))
     blocks_of = lambda n: F.greatest(F.lit(1), F.ceil(n / block)).cast("int")
-    main = main.select("token", "main", blocks_of(F.col("n_main")).alias("majors"), blocks_of(F.col("n") - F.col("n_main")).alias("minors"))
-    nodes = rest.select("token", "node", "label").join(main, "token").withColumn("major", F.col("label") == F.col("main"))
+    main = main.select("grp", "main", blocks_of(F.col("n_main")).alias("majors"), blocks_of(F.col("n") - F.col("n_main")).alias("minors"))
+    nodes = nodes.join(main, "grp").withColumn("major", F.col("label") == F.col("main"))
     own = F.pmod(F.xxhash64("node", F.lit("block")), F.when(F.col("major"), F.col("majors")).otherwise(F.col("minors")))
     nodes = nodes.withColumn("own", own.cast("int"))
     # pairs of blocks: a minor block i (left) with minor blocks j >= i and with every major block (j from minors on)
-    left = nodes.filter("not major").withColumn("j", F.explode(F.sequence(F.col("own"), F.col("minors") + F.col("majors") - 1))).select("token", F.col("own").alias("i"), "j", "node", "label", F.lit(0).alias("side"))
-    right = nodes.withColumn("i", F.explode(F.sequence(F.lit(0), F.when(F.col("major"), F.col("minors") - 1).otherwise(F.col("own"))))).select("token", "i", F.when(F.col("major"), F.col("own") + F.col("minors")).otherwise(F.col("own")).alias("j"), "node", "label", F.lit(1).alias("side"))
+    left = nodes.filter("not major").withColumn("j", F.explode(F.sequence(F.col("own"), F.col("minors") + F.col("majors") - 1))).select("grp", F.col("own").alias("i"), "j", "node", "label", F.lit(0).alias("side"))
+    right = nodes.withColumn("i", F.explode(F.sequence(F.lit(0), F.when(F.col("major"), F.col("minors") - 1).otherwise(F.col("own"))))).select("grp", "i", F.when(F.col("major"), F.col("own") + F.col("minors")).otherwise(F.col("own")).alias("j"), "node", "label", F.lit(1).alias("side"))
     both = left.union(right).join(sets, "node")
-    return both.groupBy("token", "i", "j").applyInPandas(_block_links(percent), "a long, b long").distinct()
+    return both.groupBy("grp", "i", "j").applyInPandas(_block_links(percent, agree), "a long, b long").distinct()
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
