@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules with QUERIES (name to a function of session and table folder) and SQL.
-MODULES = ("substring_dedup", "decontaminate", "token_files", "fingerprints", "url_filter", "language_id", "chat_format", "lm_score", "source_mix", "near_dedup")
+MODULES = ("substring_dedup", "decontaminate", "token_files", "fingerprints", "url_filter", "language_id", "chat_format", "lm_score", "source_mix", "near_dedup", "simhash", "centroids", "turn_repair")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
