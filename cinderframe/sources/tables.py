@@ -88,6 +88,33 @@ def read_hourly(spark: SparkSession, path: str, fields: list[str], fill: float =
     return out.withColumn("valid", F.to_timestamp("hour", "yyyyMMddHH"))
 
 
+def read_surfaces(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Performance surfaces from JSON documents: (surface, altitude, load, true_airspeed_m_s, endurance_multiplier) for
+    every corner, and (surface, altitude, maximum_payload_fraction); surface is the source that a document names.
+
+    A document of another version, without a source, with axes that are short or do not rise, with loads outside 0
+    to 1, with tables of another shape, or with values that are not positive (payloads above 1) is an error.
+    """
+    axis, table = "array<double>", "array<array<double>>"
+    kind = f"schema_version int, density_altitude_m {axis}, payload_fraction {axis}, true_airspeed_m_s {table}, endurance_multiplier {table}, maximum_payload_fraction {axis}, metadata map<string,string>"
+    d = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.from_json("value", kind).alias("d")).select("path", "d.*")
+    a, b, top = F.col("density_altitude_m"), F.col("payload_fraction"), F.col("maximum_payload_fraction")
+    rises = lambda x: (F.size(x) >= 2) & F.forall(F.sequence(F.lit(1), F.greatest(F.size(x) - 1, F.lit(1))), lambda i: F.get(x, i) > F.get(x, i - 1))
+    good = lambda v: v.isNotNull() & (v > 0) & (v < float("inf"))
+    full = lambda t: (F.size(t) == F.size(a)) & F.forall(t, lambda r: (F.size(r) == F.size(b)) & F.forall(r, good))
+    source = F.trim(F.element_at("metadata", "source"))
+    rules = {
+        "version": F.col("schema_version") == 1, "source": source != "", "axes": rises(a) & rises(b) & (b[0] >= 0) & (F.element_at(b, -1) <= 1),
+        "tables": full(F.col("true_airspeed_m_s")) & full(F.col("endurance_multiplier")), "payload": (F.size(top) == F.size(a)) & F.forall(top, lambda v: good(v) & (v <= 1)),
+    }
+    broken = F.array_join(F.filter(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in rules.items()]), lambda x: x.isNotNull()), ", ")
+    d = d.withColumn("surface", F.when(broken != "", F.raise_error(F.concat("path", F.lit(" breaks rules: "), broken)).cast("string")).otherwise(source))
+    rows = d.select("surface", "payload_fraction", "endurance_multiplier", "true_airspeed_m_s", "maximum_payload_fraction", F.posexplode("density_altitude_m").alias("i", "altitude"))
+    corners = rows.select("surface", "altitude", F.get("true_airspeed_m_s", F.col("i")).alias("speed"), F.get("endurance_multiplier", F.col("i")).alias("more"), F.posexplode("payload_fraction").alias("j", "load"))
+    corners = corners.select("surface", "altitude", "load", F.get("speed", F.col("j")).alias("true_airspeed_m_s"), F.get("more", F.col("j")).alias("endurance_multiplier"))
+    return corners, rows.select("surface", "altitude", F.get("maximum_payload_fraction", F.col("i")).alias("maximum_payload_fraction"))
+
+
 def read_catalog(text: str) -> dict:
     """A JSON object in which no key may occur twice."""
     def unique(pairs: list[tuple[str, object]]) -> dict:
