@@ -65,13 +65,18 @@ def moisture_equilibria(celsius: Column, humidity_pct: Column) -> tuple[Column,
     return clip(F.greatest(drying, wetting) * 0.01, 0.0, 3.0), clip(F.least(drying, wetting) * 0.01, 0.0, 3.0)
 
 
-def moisture_step(moisture: Column, upper: Column, lower: Column, rain_mm_h: Column, lag_hours: float, minutes: Column, saturation: float = 2.5, soaking: float = 14.0, threshold: float = 0.05, full: float = 8.0) -> Column:
-    """Moisture after some minutes: towards the nearer equilibrium with a time lag, or in rain towards saturation, slower."""
+def rain_response(rain_mm_h: Column, lag_hours: float, saturation: float = 2.5, soaking: float = 14.0, threshold: float = 0.05, full: float = 8.0) -> tuple[Column, Column]:
+    """(moisture that rain leads to, null without rain; rate a minute at which fuel nears its target)."""
     excess = F.greatest(rain_mm_h - threshold, F.lit(0.0))
-    dry = F.greatest(F.least(moisture, upper), lower)
-    target = F.when(excess > 0, saturation).otherwise(dry)
     rate = F.when(excess > 0, (1 - F.exp(-excess / full)) / (soaking * lag_hours * 60)).otherwise(1 / (lag_hours * 60))
-    return clip(moisture + (target - moisture) * -F.expm1(-minutes * rate), 0.0, 3.0)
+    return F.when(excess > 0, saturation), rate
+
+
+def moisture_step(moisture: Column, upper: Column, lower: Column, rain_mm_h: Column, lag_hours: float, minutes: Column) -> Column:
+    """Moisture after some minutes: towards the nearer equilibrium with a time lag, or in rain towards saturation, slower."""
+    target, rate = rain_response(rain_mm_h, lag_hours)
+    dry = F.greatest(F.least(moisture, upper), lower)
+    return clip(moisture + (F.coalesce(target, dry) - moisture) * -F.expm1(-minutes * rate), 0.0, 3.0)
 
 
 def curing_fraction(live_moisture: Column) -> Column:

@@ -81,9 +81,25 @@ def band_join(left: DataFrame, right: DataFrame, keys: list[str], time: str, wid
     return x.join(r, [*keys, "_b"]).filter(F.abs(F.col(f"l.{time}") - F.col(f"r.{time}")) <= width).select("l", "r")
 
 
+def lagged(rows: DataFrame, keys: list[str], time: str, ties: list[str], values: list[str], chunk: float = 43_200.0, ahead: bool = False) -> DataFrame:
+    """rows with `_c`, their chunk of time, and `_prev`, a struct of the values in the row before in (time, ties) of their key,
+    null for the first; with ahead, `_next` of the row behind.
+
+    Only rows of a chunk are sorted together; the row before a chunk's first comes from a row per key and chunk. So a
+    key that holds most of all rows is many sorted groups.
+    """
+    x = rows.withColumn("_c", F.floor(F.col(time) / chunk)).withColumn("_v", F.struct(*values)).withColumn("_o", F.struct(time, *ties))
+    ends = x.groupBy(*keys, "_c").agg(F.max_by("_v", "_o").alias("hi"), F.min_by("_v", "_o").alias("lo"))
+    beside = lambda c, w: (F.lead if ahead else F.lag)(c).over(w)
+    ends = ends.select(*keys, "_c", beside("lo" if ahead else "hi", Window.partitionBy(*keys).orderBy("_c")).alias("_edge"))
+    name = "_next" if ahead else "_prev"
+    x = x.withColumn(name, beside("_v", Window.partitionBy(*keys, "_c").orderBy("_o"))).join(ends, [*keys, "_c"])
+    return x.withColumn(name, F.coalesce(name, "_edge")).drop("_v", "_o", "_edge")
+
+
 def with_gap(rows: DataFrame, keys: list[str], time: str, tie: str) -> DataFrame:
     """rows with `gap`, the time since the row before, null for the first of its key."""
-    return rows.withColumn("gap", F.col(time) - F.lag(time).over(Window.partitionBy(*keys).orderBy(time, tie)))
+    return lagged(rows, keys, time, [tie], [time]).withColumn("gap", F.col(time) - F.col(f"_prev.{time}")).drop("_c", "_prev")
 
 
 def cadence(rows: DataFrame, keys: list[str], time: str, tie: str) -> DataFrame:
