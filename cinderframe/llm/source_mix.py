@@ -129,11 +129,11 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     took, _, _ = mix(docs, word_count(F.col(text_col)), id_col, source_col, weights, share, most)
     # copies take turns, so each gets the passes of all over their number
     times = took.groupBy("doc_id", "source", "size").agg(F.sum((F.col("taken") * 2 >= F.col("size") * F.col("copies")).cast("int")).alias("times")).filter("times > 0")
-    times = times.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("times").alias("_times"))
-    names = docs.columns
-    sized = docs.withColumn("_size", word_count(F.col(text_col)))
-    out = sized.join(times, F.col(id_col).eqNullSafe(F.col("_d")) & F.col(source_col).eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z")))
-    return out.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*names)
+    times = times.select(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("size").alias("z"), "times")
+    # the rows are kept whole in a struct, so that no helper meets one of their columns
+    sized = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+    out = sized.join(times, F.col("id").eqNullSafe(F.col("d")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")))
+    return out.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("row.*")
 
 
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
