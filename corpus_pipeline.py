@@ -24,7 +24,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each near-duplicate group: that with the smallest id (nulls last), then text digest.
 
-    Of rows with equal id and text one stays, that with the smallest other columns; null and empty text are one
+    Of rows with equal id and text one stays, that with the smallest other columns, written as JSON; null and empty text are one
     text. A text without words is in no group and stays. Rows with a null id are rows like others: they are told
     apart by their text. Empty in, empty out.
     """
@@ -34,7 +34,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     marked = rows.join(best, "label", "left").select(F.col("id").alias("m_id"), F.col("text_key").alias("m_key"), gone.alias("m_gone"), "n").filter("m_gone or n > 1")
     marked = Scratch(spark, "near_rows").cut(marked)
     same = docs.doc_id.eqNullSafe(marked.m_id) & (F.md5(F.coalesce(docs.text.cast("binary"), F.lit(b""))) == marked.m_key)
-    repeated = docs.join(marked.filter("not m_gone"), same, "left_semi").groupBy("doc_id", F.coalesce("text", F.lit("")).alias("same")).agg(F.min(F.struct(*docs.columns)).alias("x"))
+    others = F.to_json(F.struct(F.lit(0).alias("0"), *[c for c in docs.columns if c not in ("doc_id", "text")]))  # columns of any type, maps too
+    repeated = docs.join(marked.filter("not m_gone"), same, "left_semi").groupBy("doc_id", F.coalesce("text", F.lit("")).alias("same")).agg(F.min_by(F.struct(*docs.columns), F.struct(others, F.col("text").isNull())).alias("x"))
     return docs.join(marked, same, "left_anti").union(repeated.select("x.*"))
 
 
