@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from cinderframe.operators.statistics import quantiles
+
 
 def profile(rows: DataFrame, by: list[str], sums: list[str], filled: list[str]) -> DataFrame:
     """Per group, a null key being one too: n, the sum of each of sums, and of each of filled its values, distinct values and share."""
@@ -49,14 +51,18 @@ def latency(rows: DataFrame, by: list[str], seconds: str, accuracy: int = 10_000
 def summary(rows: DataFrame, by: list[str], cluster: str, value: str) -> DataFrame:
     """n, clusters, mean, median and the mean of the clusters' means."""
     each = rows.groupBy(*by, cluster).agg(F.avg(value).alias("_m")).groupBy(*by).agg(F.count("*").alias("n_clusters"), F.avg("_m").alias("weighted_mean"))
-    plain = rows.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.median(value).alias("median"))
-    return plain.join(each, by) if by else plain.crossJoin(each)  # one row each
+    plain = rows.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"))
+    middle = quantiles(rows, by, value, {"median": 0.5})
+    if not by:  # one row each
+        return plain.crossJoin(middle).crossJoin(each).select("n", "mean", "median", "n_clusters", "weighted_mean")
+    return plain.join(middle, by, "left").join(each, by).select(*by, "n", "mean", "median", "n_clusters", "weighted_mean")
 
 
 def cluster_spread(rows: DataFrame, by: list[str], cluster: str, value: str) -> DataFrame:
     """Mean, median and population deviation of the clusters' means."""
     each = rows.groupBy(*by, cluster).agg(F.avg(value).alias("_m"))
-    return each.groupBy(*by).agg(F.count("*").alias("n_clusters"), F.avg("_m").alias("mean"), F.median("_m").alias("median"), F.stddev_pop("_m").alias("sd"))
+    out = each.groupBy(*by).agg(F.count("*").alias("n_clusters"), F.avg("_m").alias("mean"), F.stddev_pop("_m").alias("sd"))
+    return out.join(quantiles(each, by, "_m", {"median": 0.5}), by).select(*by, "n_clusters", "mean", "median", "sd")
 
 
 def strictly_paired(control: DataFrame, candidate: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -109,7 +115,7 @@ def listed(rows: DataFrame, by: list[str], value: str) -> DataFrame:
 
 def step_quantiles(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """Mean, 10 % and 90 % quantiles of value by group."""
-    return rows.groupBy(*by).agg(F.avg(value).alias("mean"), F.percentile(value, F.array(F.lit(0.1), F.lit(0.9))).alias("_q")).select(*by, "mean", F.col("_q")[0].alias("q10"), F.col("_q")[1].alias("q90"))
+    return rows.groupBy(*by).agg(F.avg(value).alias("mean")).join(quantiles(rows, by, value, {"q10": 0.1, "q90": 0.9}), by)
 
 
 def filled_segments(loads: DataFrame, segments: DataFrame, keys: list[str], amount: str, room: str) -> DataFrame:

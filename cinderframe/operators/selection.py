@@ -7,6 +7,8 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from cinderframe.operators.statistics import quantiles
+
 
 def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row per key, the first in order (give a total order)."""
@@ -21,8 +23,8 @@ def round_robin(rows: DataFrame, strata: list[str], order: list[str], n: int) ->
 
 def quartile(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """rows with `quartile` (0 to 3) of value inside its group."""
-    q = rows.groupBy(*by).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
-    return rows.join(q, by).withColumn("quartile", sum((F.when(F.col(value) > F.col("_q")[i], 1).otherwise(0) for i in range(3)), F.lit(0))).drop("_q")
+    q = quantiles(rows, by, value, {"_q1": 0.25, "_q2": 0.5, "_q3": 0.75})
+    return rows.join(q, by).withColumn("quartile", sum((F.when(F.col(value) > F.col(f"_q{i}"), 1).otherwise(0) for i in (1, 2, 3)), F.lit(0))).drop("_q1", "_q2", "_q3")
 
 
 def systematic(n_frames: Column, wanted: int) -> Column:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from cinderframe.sources.tables import checkpoint_folder
+
 
 def paired(control: DataFrame, candidate: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Rows that both sides have, with control, candidate and delta (candidate - control)."""
@@ -47,18 +49,34 @@ def draw(replicate: Column, slot: Column, n: Column, seed: str) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long"), n)
 
 
-def bootstrap(clusters: DataFrame, value: str, order: str, replicates: int = 200, seed: str = "b") -> DataFrame:
-    """(replicate, mean) of clusters drawn with replacement.
+def mixed_bits(x: Column) -> Column:
+    """A 32-bit number mixed into another, in arithmetic that every SQL engine has (xor, shift, multiplication modulo 2^32)."""
+    x = x % (1 << 32)
+    for _ in range(2):
+        x = x.bitwiseXOR(F.shiftright(x, 16)) * 73244475 % (1 << 32)
+    return x.bitwiseXOR(F.shiftright(x, 16))
+
+
+def bootstrap(clusters: DataFrame, value: str, order: str, replicates: int = 200, seed: int = 1, block: int = 4096) -> DataFrame:
+    """(replicate, mean) of clusters drawn with replacement, as many as there are.
 
-    clusters has one row per cluster. Clusters are numbered in `order` by ranges; a replicate draws as many as
-    there are. Draws meet the values by number, through Spark's own choice of join, and are added up by replicate
-    before they are shuffled.
+    clusters has one row per cluster; a drawn cluster without a value adds nothing. Clusters are numbered in `order`
+    and cut into blocks, each one array of values. Every draw first falls on a block (by a number drawn from all
+    clusters), and only counts are kept, added up before they are shuffled; then each block draws so many of its own
+    values. So a row per block and replicate is shuffled, not a row per cluster and replicate.
     """
-    ranked = numbered(clusters.select(order, value).persist(), order).persist()
-    n = ranked.count()
-    draws = ranked.select(F.col("number").alias("slot"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-    draws = draws.select("replicate", draw(F.col("replicate"), F.col("slot"), F.lit(n), seed).alias("number"))
-    return draws.join(ranked.select("number", value), "number").groupBy("replicate").agg(F.avg(value).alias("mean"))
+    ranked = numbered(clusters.select(order, value), order)
+    blocks = ranked.groupBy(F.floor(F.col("number") / block).alias("block")).agg(F.sort_array(F.collect_list(F.struct("number", F.col(value).cast("double").alias("v")))).alias("x"))
+    blocks = blocks.select("block", F.col("x.v").alias("v"), F.size("x").alias("m"))
+    n = clusters.count()
+    slots = blocks.select("block", "m", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
+    to = lambda j: F.floor(mixed_bits((F.col("block") * block + j) * 7919 + F.col("replicate") * 104729 + seed) % n / block)
+    hits = slots.select("replicate", F.explode(F.transform(F.sequence(F.lit(0), F.col("m") - 1), to)).alias("block"))
+    hits = hits.groupBy("replicate", "block").agg(F.count("*").alias("k"))
+    pick = lambda j: F.get(F.col("v"), (mixed_bits(mixed_bits(j * 15485863 + F.col("replicate")) + F.col("block") * 32452843 + seed) % F.col("m")).cast("int"))
+    added = F.aggregate(F.sequence(F.lit(1).cast("long"), F.col("k")), F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("c")), lambda a, j: F.struct((a.s + F.coalesce(pick(j), F.lit(0.0))).alias("s"), (a.c + F.when(pick(j).isNull(), 0).otherwise(1)).alias("c")))
+    sums = hits.join(blocks, "block").select("replicate", added.alias("a"))
+    return sums.groupBy("replicate").agg((F.sum("a.s") / F.sum("a.c")).alias("mean"))
 
 
 def interval(means: DataFrame, low: float = 0.025, high: float = 0.975) -> DataFrame:
@@ -66,17 +84,67 @@ def interval(means: DataFrame, low: float = 0.025, high: float = 0.975) -> DataF
     return means.agg(F.percentile("mean", F.array(F.lit(low), F.lit(high))).alias("q"), F.avg((F.col("mean") > 0).cast("double")).alias("above_zero")).select(F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), "above_zero")
 
 
-def numbered(rows: DataFrame, order: str, buckets: int = 256) -> DataFrame:
-    """rows with `number` from 0 in order of a unique column, counted by hash-free ranges of that column's digits."""
-    spark = rows.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = rows.agg(F.percentile_approx(order, F.array(*[F.lit(i / n) for i in range(1, n)]) if n > 1 else F.array(F.lit(0.5)))).first()[0]
-    edges = sorted(set(bounds or []))
-    bucket = sum((F.when(F.col(order) > e, 1).otherwise(0) for e in edges), F.lit(0))
-    rows = rows.withColumn("_b", bucket)
-    before = rows.groupBy("_b").agg(F.count("*").alias("_n"))
-    before = before.select("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
-    return rows.join(before, "_b").withColumn("number", F.col("_o") + F.row_number().over(Window.partitionBy("_b").orderBy(order)) - 1).drop("_b", "_o")
+def numbered(rows: DataFrame, order: str | list[str], by: list[str] | None = None) -> DataFrame:
+    """rows with `number` from 0 in order of columns that together are unique, within `by`.
+
+    Rows are range-sorted and numbered inside each range; what stands in ranges before comes from a row per range and
+    group. So no group is sorted by one task.
+    """
+    by, order = by or [], [order] if isinstance(order, str) else order
+    ranged = rows.repartitionByRange(*by, *order).withColumn("_p", F.spark_partition_id())
+    before = ranged.groupBy(*by, "_p").agg(F.count("*").alias("_n"))
+    before = before.select(*by, "_p", (F.sum("_n").over(Window.partitionBy(*by).orderBy("_p")) - F.col("_n")).alias("_o"))
+    inside = Window.partitionBy(*by, "_p").orderBy(*order)
+    both = ranged.withColumn("_r", F.row_number().over(inside))
+    same = (both["_p"] == before["_p"]) if not by else None
+    for c in by:
+        same = both[c].eqNullSafe(before[c]) if same is None else same & both[c].eqNullSafe(before[c])
+    same = same & (both["_p"] == before["_p"])
+    return both.join(before, same).select(*[both[c] for c in rows.columns], (F.col("_o") + F.col("_r") - 1).alias("number"))
+
+
+def quantiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, float], most: int = 100_000, buckets: int = 1024) -> DataFrame:
+    """Exact quantiles by group: by and a column for each name in shares, interpolated between the two nearest ranks.
+
+    No group is brought together. Values are counted in `buckets` equal parts of the group's range; for each rank that
+    is wanted only the part that holds it goes on, cut again while it has more than `most` rows that are not all
+    equal. What is sorted in the end is such a part. Null and not-a-number values are left out; a group of none has
+    no row.
+    """
+    checkpoint_folder(rows.sparkSession)
+    key = F.struct(F.lit(0).alias("_0"), *by)  # nulls are groups like others
+    x = rows.select(key.alias("k"), F.col(value).cast("double").alias("v")).filter("v is not null and not isnan(v)")
+    spans = x.groupBy("k").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    at = {name: F.lit(float(p)) * (F.col("n") - 1) for name, p in shares.items()}
+    ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(a), F.ceil(a)) for a in at.values()])))
+    wanted = spans.withColumn("before", F.lit(0).cast("long")).withColumn("rank", F.explode(ranks)).withColumn("size", F.col("n"))
+    while True:
+        wanted = wanted.checkpoint()
+        large = (F.col("size") > most) & (F.col("lo") < F.col("hi"))
+        open_ = wanted.filter(large)
+        if open_.isEmpty():
+            break
+        parts = open_.select("k", "lo", "hi", "before").distinct()
+        inside = x.join(parts, "k").filter(F.col("v").between(F.col("lo"), F.col("hi")))
+        share = (F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)  # halves stay in range
+        counts = inside.groupBy("k", "lo", "hi", "before", F.least(F.floor(share * buckets), F.lit(buckets - 1)).alias("b")).agg(F.count("*").alias("c"), F.min("v").alias("least"), F.max("v").alias("most"))
+        w = Window.partitionBy("k", "lo").orderBy("b")
+        counts = counts.withColumn("until", F.col("before") + F.sum("c").over(w)).select("k", "lo", "c", "least", "most", "until")
+        found = open_.drop("size", "before").join(counts, ["k", "lo"]).filter((F.col("rank") < F.col("until")) & (F.col("rank") >= F.col("until") - F.col("c")))
+        found = found.select("k", "n", F.col("least").alias("lo"), F.col("most").alias("hi"), (F.col("until") - F.col("c")).alias("before"), "rank", F.col("c").alias("size"))
+        wanted = wanted.filter(~large).unionByName(found)
+    parts = wanted.filter("lo < hi").select("k", "lo", "hi", "before").distinct()
+    inside = x.join(parts, "k").filter(F.col("v").between(F.col("lo"), F.col("hi")))
+    inside = inside.withColumn("rank", F.col("before") + F.row_number().over(Window.partitionBy("k", "lo").orderBy("v")) - 1)
+    ranked = inside.join(wanted.filter("lo < hi").select("k", "n", "lo", "rank"), ["k", "lo", "rank"]).select("k", "n", "rank", "v")
+    ranked = ranked.union(wanted.filter("lo = hi").select("k", "n", "rank", F.col("lo").alias("v")))
+    values = ranked.groupBy("k", "n").agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("m"))  # two ranks a share
+
+    def between(a: Column) -> Column:
+        low = F.element_at("m", F.floor(a))
+        return low + (a - F.floor(a)) * (F.element_at("m", F.ceil(a)) - low)
+
+    return values.select(*[F.col(f"k.{c}").alias(c) for c in by], *[between(a).alias(name) for name, a in at.items()])
 
 
 def matrix(rows: DataFrame, by: list[str], values: list[str]) -> DataFrame:
@@ -108,6 +176,21 @@ def resample(rows: DataFrame, keys: list[str], order: str, weight: str, n: int,
     return x.withColumn("times", (F.least(at("_hi"), F.lit(n)) - F.greatest(at("_lo"), F.lit(0))).cast("long")).drop("_hi", "_lo")
 
 
+def aggregate_skill(rows: DataFrame, by: list[str], score: str, reference: str) -> DataFrame:
+    """(by, skill): 1 - mean score / mean reference over each group; a reference of zero gives infinity or not a number, as
+    division does, and is not hidden."""
+    s, r = F.avg(F.col(score).cast("double")), F.avg(F.col(reference).cast("double"))
+    ratio = F.when(r != 0, s / r).when(s > 0, float("inf")).when(s < 0, float("-inf")).otherwise(float("nan"))
+    return rows.groupBy(*by).agg((1 - ratio).alias("skill"))
+
+
+def interval_coverage(rows: DataFrame, by: list[str], low: str, high: str, observed: str) -> DataFrame:
+    """Per group, n, the share of observations inside [low, high], the intervals' mean width, and the shares below and above."""
+    o, a, b = F.col(observed), F.col(low), F.col(high)
+    share = lambda c: F.avg(c.cast("double"))
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), share(o.between(a, b)).alias("covered"), F.avg(b - a).alias("width"), share(o < a).alias("below"), share(o > b).alias("above"))
+
+
 def skill(score: Column, reference: Column) -> Column:
     """1 - score / reference, null unless the reference is positive."""
     return F.when(reference > 0, 1 - score / reference)

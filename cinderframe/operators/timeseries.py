@@ -104,19 +104,34 @@ def with_gap(rows: DataFrame, keys: list[str], time: str, tie: str) -> DataFrame
 
 def cadence(rows: DataFrame, keys: list[str], time: str, tie: str) -> DataFrame:
     """Per key, of the gaps in hours: number, median, tenths, and shares up to 18 and 30 and above 36."""
+    from cinderframe.operators.statistics import quantiles
+
     hours = with_gap(rows, keys, time, tie).select(*keys, (F.col("gap") / 60).alias("h")).filter("h is not null")
     share = lambda cond: F.avg(cond.cast("double"))
-    q = F.percentile("h", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    out = hours.groupBy(*keys).agg(F.count("*").alias("n"), q.alias("q"), share(F.col("h") <= 18).alias("le18"), share(F.col("h") <= 30).alias("le30"), share(F.col("h") > 36).alias("gt36"))
-    return out.select(*keys, "n", F.col("q")[0].alias("q10"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q90"), "le18", "le30", "gt36")
+    q = quantiles(hours, keys, "h", {"q10": 0.1, "median": 0.5, "q90": 0.9})
+    out = hours.groupBy(*keys).agg(F.count("*").alias("n"), share(F.col("h") <= 18).alias("le18"), share(F.col("h") <= 30).alias("le30"), share(F.col("h") > 36).alias("gt36"))
+    return out.join(q, keys).select(*keys, "n", "q10", "median", "q90", "le18", "le30", "gt36")
+
 
+def longest_run(rows: DataFrame, keys: list[str], time: str, tie: str, low: float, high: float, chunk: float = 43_200.0) -> DataFrame:
+    """Per key, the longest run of consecutive gaps in [low, high] (minutes), the first of equals: run, start.
 
-def longest_run(rows: DataFrame, keys: list[str], time: str, tie: str, low: float, high: float) -> DataFrame:
-    """Per key, the longest run of consecutive gaps in [low, high] (minutes), the first of equals: run, start."""
-    order = Window.partitionBy(*keys).orderBy(time, tie)
-    x = with_gap(rows, keys, time, tie).withColumn("idx", F.row_number().over(order)).withColumn("ok", F.coalesce(F.col("gap").between(low, high), F.lit(False)))
-    x = x.withColumn("island", F.sum((~F.col("ok")).cast("int")).over(order))
-    runs = x.filter("ok").groupBy(*keys, "island").agg(F.count("*").alias("run"), F.min("idx").alias("start"))
+    Each chunk of time gives its runs; a run that reaches a chunk's end goes on in the next, which a second pass over
+    a row per chunk and run puts together.
+    """
+    x = lagged(rows, keys, time, [tie], [time], chunk).withColumn("gap", F.col(time) - F.col(f"_prev.{time}"))
+    x = x.withColumn("ok", F.coalesce(F.col("gap").between(low, high), F.lit(False)))
+    w = Window.partitionBy(*keys, "_c").orderBy(time, tie)
+    x = x.withColumn("_n", F.row_number().over(w)).withColumn("_breaks", F.sum((~F.col("ok")).cast("long")).over(w))
+    parts = x.groupBy(*keys, "_c", "_breaks").agg(F.count_if("ok").alias("run"), F.min(F.when(F.col("ok"), F.col("_n"))).alias("first"))
+    size = x.groupBy(*keys, "_c").agg(F.count("*").alias("_rows"))
+    over = Window.partitionBy(*keys).orderBy("_c")
+    size = size.select(*keys, "_c", (F.sum("_rows").over(over) - F.col("_rows")).alias("_before"))
+    parts = parts.join(size, [*keys, "_c"])
+    # a break opens every part but a chunk's first (0 breaks), which belongs to the last part before it
+    order = Window.partitionBy(*keys).orderBy("_c", "_breaks")
+    parts = parts.withColumn("island", F.sum((F.col("_breaks") > 0).cast("long")).over(order))
+    runs = parts.groupBy(*keys, "island").agg(F.sum("run").alias("run"), F.min(F.col("_before") + F.col("first")).alias("start")).filter("run > 0")
     return runs.groupBy(*keys).agg(F.max(F.struct("run", -F.col("start"))).alias("m")).select(*keys, F.col("m.run").alias("run"), (-F.col("m")["col2"]).cast("long").alias("start"))
 
 

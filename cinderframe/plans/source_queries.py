@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from cinderframe.operators import audit, scoring, statistics as st, timeseries as ts
 from cinderframe.plans.raster_queries import CELL, K, _grid
 from cinderframe.plans.stream_queries import scratch_folder
+from cinderframe.plans.study_queries import bootstrap_sql
 from cinderframe.sources import tables
 
 
@@ -78,7 +79,7 @@ def q_landscape(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_row_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    out = st.interval(st.bootstrap(spark.read.parquet(f"{d}/supplier.parquet"), "s_acctbal", "s_suppkey", 50, "rows"))
+    out = st.interval(st.bootstrap(spark.read.parquet(f"{d}/supplier.parquet"), "s_acctbal", "s_suppkey", 50, 2, 16))
     return out.select(F.round("low", 3).alias("low"), F.round("high", 3).alias("high"), "above_zero")
 
 
@@ -145,8 +146,7 @@ SELECT 'a' AS path, unnest(['elevation', 'fuel_load', 'asset', 'canopy']) AS rul
 """,
     "q_row_bootstrap": """
 WITH k AS (SELECT s_acctbal AS m, row_number() OVER (ORDER BY s_suppkey) - 1 AS number FROM supplier),
-r AS (SELECT replicate, ('0x' || substr(md5(replicate || ':' || number || ':rows'), 1, 8))::BIGINT % (SELECT count(*) FROM k) AS pick FROM k, range(50) t(replicate)),
-s AS (SELECT replicate, avg(k.m) AS mean FROM r JOIN k ON r.pick = k.number GROUP BY replicate)
+""" + bootstrap_sql(2, 16, 50) + """
 SELECT round(quantile_cont(mean, 0.025), 3) AS low, round(quantile_cont(mean, 0.975), 3) AS high, avg((mean > 0)::INT) AS above_zero FROM s
 """,
     "q_asof_circular": """

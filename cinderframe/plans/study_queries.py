@@ -94,7 +94,7 @@ def q_resample(spark: SparkSession, d: str) -> DataFrame:
 def q_bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     t = _trials(spark, d)
     clusters = st.paired(_arm(t, "O"), _arm(t, "F"), PAIR, "loss").groupBy("o_custkey").agg(F.avg("delta").alias("m"))
-    out = st.interval(st.bootstrap(clusters, "m", "o_custkey", 200, "b"))
+    out = st.interval(st.bootstrap(clusters, "m", "o_custkey", 200, 1, 256))
     return out.select(F.round("low", 3).alias("low"), F.round("high", 3).alias("high"), F.round("above_zero", 6).alias("above_zero"))
 
 
@@ -144,6 +144,22 @@ WITH f AS (SELECT doc_id, lang, least(1.0, n_chars / 20000.0) AS p0, quality, to
 g AS (SELECT *, greatest(1e-6, least(1 - 1e-6, p0)) AS p, quality::DOUBLE AS y FROM f),
 h AS (SELECT *, least(9, (SELECT count(*) FROM range(1, 10) e(i) WHERE p >= i / 10.0::DOUBLE)) AS bin FROM g)
 """
+
+
+def _mixed(x: str) -> str:
+    step = "list_transform({0}, lambda v: xor(v, v >> 16) * 73244475 % 4294967296)"
+    return f"list_transform({step.format(step.format(f'[({x}) % 4294967296]'))}, lambda v: xor(v, v >> 16))[1]"
+
+
+def bootstrap_sql(seed: int, block: int, replicates: int) -> str:
+    """CTEs from k (m, number) to s (replicate, mean)."""
+    to, pick = _mixed(f"number * 7919 + replicate * 104729 + {seed}"), _mixed(f"{_mixed('j * 15485863 + replicate')} + h.block * 32452843 + {seed}")
+    return f"""z AS (SELECT number // {block} AS block, count(*) AS m FROM k GROUP BY 1),
+h AS (SELECT replicate, {to} % (SELECT count(*) FROM k) // {block} AS block, count(*) AS n FROM k, range({replicates}) t(replicate) GROUP BY ALL),
+r AS (SELECT replicate, h.block * {block} + {pick} % z.m AS pick FROM (SELECT *, unnest(range(1, n + 1)) AS j FROM h) h JOIN z ON z.block = h.block),
+s AS (SELECT replicate, avg(k.m) AS mean FROM r JOIN k ON r.pick = k.number GROUP BY replicate)"""
+
+
 SQL = {
     "q_paired_policy": _TRIALS + "SELECT sum(n)::BIGINT AS n_pairs, count(*) AS n_clusters, round(sum(c) / sum(n), 4) AS candidate_mean, round(avg(m), 4) AS mean_improvement, round(sum(won) / sum(n), 6) AS share_won FROM c",
     "q_paired_missing": _TRIALS
@@ -180,9 +196,8 @@ SELECT user_id, sum(times)::BIGINT AS drawn, max(times) AS most FROM t GROUP BY
 """,
     "q_bootstrap_ci": _TRIALS
     + """, k AS (SELECT m, row_number() OVER (ORDER BY o_custkey) - 1 AS number FROM c),
-r AS (SELECT replicate, ('0x' || substr(md5(replicate || ':' || number || ':b'), 1, 8))::BIGINT % (SELECT count(*) FROM k) AS pick FROM k, range(200) t(replicate)),
-s AS (SELECT replicate, avg(k.m) AS mean FROM r JOIN k ON r.pick = k.number GROUP BY replicate)
-SELECT round(quantile_cont(mean, 0.025), 3) AS low, round(quantile_cont(mean, 0.975), 3) AS high, round(avg((mean > 0)::INT), 6) AS above_zero FROM s""",
+""" + bootstrap_sql(1, 256, 200)
+    + """ SELECT round(quantile_cont(mean, 0.025), 3) AS low, round(quantile_cont(mean, 0.975), 3) AS high, round(avg((mean > 0)::INT), 6) AS above_zero FROM s""",
     "q_brier": _FORECAST
     + """, b AS (SELECT lang, bin, count(*) AS n, avg(p) AS mp, avg(y) AS f FROM h GROUP BY ALL),
 e AS (SELECT lang, sum(n * abs(mp - f)) / sum(n) AS ece FROM b GROUP BY lang)
