@@ -9,6 +9,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from cinderframe.operators.statistics import quantiles
+
 FOUR = [(-1, 0), (1, 0), (0, -1), (0, 1)]
 EIGHT = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]
 
@@ -80,11 +82,60 @@ def blur(grid: DataFrame, keys: list[str], value: str, sigma: float, name: str)
     return convolve(once, keys, "_once", [(0, b) for b in at], w, name)
 
 
+def sliding(grid: DataFrame, keys: list[str], value: str, size: int, how: str, name: str) -> DataFrame:
+    """grid with `name`: the maximum, minimum, sum or mean of value over the size x size window around each cell.
+
+    One pass along y, one along x, each a frame of `size` values of the coordinate, so work does not grow with the
+    window's area. Cells outside the grid do not take part; `mean` counts them as zeros (size * size in all), `inner`
+    is the mean of those inside. size is odd.
+    """
+    if size % 2 == 0:
+        raise ValueError("the size of a window must be odd")
+    r = size // 2
+    one = {"max": F.max, "min": F.min}.get(how, F.sum)
+    out = grid.withColumns({"_v": F.col(value), "_n": F.lit(1)})
+    for axis, other in (("y", "x"), ("x", "y")):
+        w = Window.partitionBy(*keys, other).orderBy(axis).rangeBetween(-r, r)
+        out = out.withColumns({"_v": one("_v").over(w), "_n": F.sum("_n").over(w)})
+    result = F.col("_v") / (size * size) if how == "mean" else F.col("_v") / F.col("_n") if how == "inner" else F.col("_v")
+    return out.withColumn(name, result).drop("_v", "_n")
+
+
+def _targets(axis: str, old: int, new: int, method: str) -> Column:
+    """(to, w): the target cells of a source cell along an axis and its weight in each."""
+    c, scale = F.col(axis), old / new
+    if method == "area":  # overlap of [c, c + 1) with [to, to + 1) * scale
+        to = F.sequence(F.floor(c / scale).cast("int"), F.least(F.lit(new - 1), (F.ceil((c + 1) / scale) - 1).cast("int")))
+        w = lambda t: (F.least(c + 1, (t + 1) * scale) - F.greatest(c.cast("double"), t * scale)) / scale
+    else:
+        to = F.sequence(F.greatest(F.lit(0), F.floor((c - 1) / scale).cast("int") - 1), F.least(F.lit(new - 1), F.ceil((c + 2) / scale).cast("int")))
+        if method == "nearest":
+            w = lambda t: (F.least(F.lit(old - 1), F.floor(t * scale)) == c).cast("double")
+        else:  # bilinear: centres of cells, held at the edges
+            def w(t: Column) -> Column:
+                at = F.greatest(F.lit(0.0), F.least(F.lit(float(old - 1)), (t + 0.5) * scale - 0.5))
+                return F.greatest(F.lit(0.0), 1 - F.abs(at - c))
+    return F.filter(F.transform(to, lambda t: F.struct(t.alias("to"), w(t).alias("w"))), lambda s: s["w"] > 1e-12)
+
+
+def resample(grid: DataFrame, keys: list[str], value: str, old: tuple[int, int], new: tuple[int, int], method: str = "area") -> DataFrame:
+    """(keys, y, x, value) on a grid of another shape (rows, columns), by area of overlap, bilinear or nearest.
+
+    Each source cell gives its share to the target cells that it meets along both axes, which are few; shares are
+    added up before they are shuffled. Targets that no source cell reaches have no row; missing source cells leave
+    the mean to the others.
+    """
+    x = grid
+    for k, axis in enumerate("yx"):
+        x = x.withColumn(f"_{axis}", F.explode(_targets(axis, old[k], new[k], method)))
+    w = F.col("_y.w") * F.col("_x.w")
+    out = x.groupBy(*keys, F.col("_y.to").alias("_ty"), F.col("_x.to").alias("_tx")).agg((F.sum(F.col(value) * w) / F.sum(w)).alias(value))
+    return out.withColumnsRenamed({"_ty": "y", "_tx": "x"})
+
+
 def local_maxima(grid: DataFrame, keys: list[str], value: str, radius: int, k: int) -> DataFrame:
     """The k greatest cells of each key that no cell within radius (a square) exceeds; ties by y, x."""
-    offsets = [(a, b) for a in range(-radius, radius + 1) for b in range(-radius, radius + 1)]
-    top = shifted(grid.select(*keys, "y", "x", value), offsets).groupBy(*keys, "y", "x").agg(F.max(value).alias("_top"))
-    peaks = grid.join(top, [*keys, "y", "x"]).filter(F.col(value) == F.col("_top")).select(*keys, "y", "x", value)
+    peaks = sliding(grid, keys, value, 2 * radius + 1, "max", "_top").filter(F.col(value) == F.col("_top")).select(*keys, "y", "x", value)
     return peaks.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(value), "y", "x"))).filter(F.col("rank") <= k)
 
 
@@ -151,7 +202,7 @@ def boundary_distances(predicted: DataFrame, observed: DataFrame, grid: DataFram
     a, b = boundary(predicted, keys), boundary(observed, keys)
     one = lambda at, to: distance(to, grid, keys).join(at, [*keys, "y", "x"], "left_semi")
     d = one(a, b).union(one(b, a)).withColumn("m", F.col("d") * cell)
-    return d.groupBy(*keys).agg(F.avg("m").alias("mean_m"), F.percentile("m", F.lit(0.95)).alias("q95_m"), F.max("m").alias("max_m"))
+    return d.groupBy(*keys).agg(F.avg("m").alias("mean_m"), F.max("m").alias("max_m")).join(quantiles(d, keys, "m", {"q95_m": 0.95}), keys).select(*keys, "mean_m", "q95_m", "max_m")
 
 
 def tolerance(predicted: DataFrame, observed: DataFrame, grid: DataFrame, keys: list[str], radius: float = 1.0) -> DataFrame:

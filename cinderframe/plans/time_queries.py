@@ -123,7 +123,7 @@ def q_nearest_point(spark: SparkSession, d: str) -> DataFrame:
     checkpoint_folder(spark)
     c = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", (F.col("c_acctbal") / 100).alias("x"), (F.col("c_nationkey") * 4.0).alias("y"))
     s = spark.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", (F.col("s_acctbal") / 100).alias("x"), (F.col("s_nationkey") * 4.0).alias("y"))
-    return nearest_point(c, s, "c_custkey", "s_suppkey", 4.0).select("c_custkey", "s_suppkey", F.round("distance", 6).alias("distance"))
+    return nearest_point(c, s, "c_custkey", "s_suppkey").select("c_custkey", "s_suppkey", F.round("distance", 6).alias("distance"))
 
 
 QUERIES = {f.__name__: f for f in (q_asof_last, q_asof_interp, q_nearest_time, q_overlay, q_band_join, q_cadence, q_gaps, q_islands, q_contiguous_blocks, q_monotone_fraction, q_first_frame, q_daily_rolling, q_growing_season, q_trim_window, q_discounted_return, q_gae, q_interval_overlap, q_nearest_point)}
