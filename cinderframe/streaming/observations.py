@@ -14,9 +14,12 @@ def windows(stream: DataFrame, time: str, by: list[str], value: str, width: str,
     return stream.withWatermark(time, late).groupBy(F.window(time, width), *by).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
 
 
-def coalesced(stream: DataFrame, time: str, by: list[str], flag: str, late: str) -> DataFrame:
-    """Rows of equal group and time as one, with the flags' disjunction and their number."""
-    return stream.withWatermark(time, late).groupBy(*by, time).agg(F.bool_or(flag).alias(flag), F.count("*").alias("n_sources"))
+def coalesced(stream: DataFrame, time: str, by: list[str], flag: str, late: str, kept: list[str] | None = None) -> DataFrame:
+    """Rows of equal group and time as one, with the flags' disjunction, their number, and `kept` columns of the least source
+    (by these columns in order). In append mode a group is written once no row of its time can come, and its state is dropped."""
+    first = F.min(F.struct(*kept)).alias("_k") if kept else F.lit(None).alias("_k")
+    out = stream.withWatermark(time, late).groupBy(*by, time).agg(F.bool_or(flag).alias(flag), F.count("*").alias("n_sources"), first)
+    return out.select(*by, time, flag, "n_sources", *[F.col(f"_k.{c}").alias(c) for c in kept or []])
 
 
 def _deliver(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -43,33 +46,47 @@ def delivered(stream: DataFrame, key: str, sensed: str, available: str, value: s
     return rows.groupBy("key").applyInPandasWithState(_deliver, "key string, sensed_ms long, available_ms long, value double", "sensed array<long>, available array<long>, value array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def last_wins(path: str, keys: list[str], order: str, compact: int = 20) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink: each batch keeps its last row per key; `current` reads the last over all batches.
+def _newest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The row of each key that is greatest by order."""
+    return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order]))).filter("_r = 1").drop("_r")
 
-    Every `compact`-th batch holds the last rows over all so far, and those before it are deleted. A batch that
-    runs again replaces itself; batches that could not be deleted change nothing, as the last row wins.
+
+def last_wins(path: str, keys: list[str], order: str | list[str], compact: int = 20) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink: each batch keeps its last row per key; `current` reads the last over all batches. order is total, so
+    that of two rows of a key one is later.
+
+    Every `compact`-th batch is written aside with the last rows over all so far and put into place by a rename; only
+    then are the batches before it deleted. A batch that runs again replaces itself. If it is a compacting one that is
+    in place already, it holds all that it should and stays; so a replay loses nothing, wherever the first run ended.
     """
+    order = [order] if isinstance(order, str) else order
+
     def sink(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        newest = batch.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))).filter("_r = 1").drop("_r")
-        old = []
-        if number and number % compact == 0:
-            root = spark._jvm.org.apache.hadoop.fs.Path(path)
-            files = root.getFileSystem(spark._jsc.hadoopConfiguration())
-            old = [x.getPath() for x in files.listStatus(root) if x.getPath().getName().startswith("batch=") and int(x.getPath().getName()[6:]) < number] if files.exists(root) else []
+        newest = _newest(batch, keys, order)
+        if not number or number % compact:
+            newest.write.mode("overwrite").parquet(f"{path}/batch={number}")
+            return
+        at = spark._jvm.org.apache.hadoop.fs.Path
+        files = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+        names = [x.getPath().getName() for x in files.listStatus(at(path))] if files.exists(at(path)) else []
+        old = [f"{path}/{n}" for n in names if n.startswith("batch=") and int(n[6:]) < number]
+        if f"batch={number}" not in names:
             if old:
-                before = spark.read.option("basePath", path).schema(f"{newest._jdf.schema().toDDL()}, batch int").parquet(*[str(x) for x in old])
+                before = spark.read.option("basePath", path).schema(f"{newest._jdf.schema().toDDL()}, batch int").parquet(*old)
                 newest = current(before.unionByName(newest.withColumn("batch", F.lit(number))), keys, order)
-        newest.write.mode("overwrite").parquet(f"{path}/batch={number}")
+            newest.write.mode("overwrite").parquet(f"{path}/_compacting-{number}")
+            if not files.rename(at(f"{path}/_compacting-{number}"), at(f"{path}/batch={number}")):
+                raise OSError(f"{path}/batch={number} could not be put into place")
         for x in old:
-            files.delete(x, True)
+            files.delete(at(x), True)
 
     return sink
 
 
-def current(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+def current(rows: DataFrame, keys: list[str], order: str | list[str]) -> DataFrame:
     """The last row per key of a table that last_wins writes."""
-    return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order), F.desc("batch")))).filter("_r = 1").drop("_r", "batch")
+    return _newest(rows, keys, [*([order] if isinstance(order, str) else order), "batch"]).drop("batch")
 
 
 def _until_terminal(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
