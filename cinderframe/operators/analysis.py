@@ -56,6 +56,7 @@ def interpolate_tiles(stations: DataFrame, cells: DataFrame, keys: list[str], fi
         merged = merged.withColumn(f"_t{c}", F.explode(F.sequence(F.floor((F.col(c) - reach) / tile), F.floor((F.col(c) + reach) / tile))))
     tiled = cells.withColumns({f"_t{c}": F.floor(F.col(c) / tile) for c in "yx"})
     group = [*keys, "_ty", "_tx"]
+    merged = merged.join(tiled.select(*group).distinct(), group, "left_semi")  # tiles without cells need no solve
     kinds = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in cells.schema] + [f"c_{f} double, s_{f} double" for f in fields])
     return merged.groupBy(*group).cogroup(tiled.groupBy(*group)).applyInPandas(_tile_solves(fields, length, ratio), kinds)
 

@@ -82,23 +82,30 @@ def blur(grid: DataFrame, keys: list[str], value: str, sigma: float, name: str)
     return convolve(once, keys, "_once", [(0, b) for b in at], w, name)
 
 
+def filled(grid: DataFrame, keys: list[str]) -> DataFrame:
+    """grid with a row for every cell of each key's rectangle; `_there` tells the grid's own cells."""
+    box = grid.groupBy(*keys).agg(*[f(c).alias(f"_{n}{c}") for c in "yx" for n, f in (("a", F.min), ("b", F.max))])
+    cells = box.select(*keys, "_ax", "_bx", F.explode(F.sequence("_ay", "_by")).alias("y")).select(*keys, "y", F.explode(F.sequence("_ax", "_bx")).alias("x"))
+    return cells.join(grid.withColumn("_there", F.lit(True)), [*keys, "y", "x"], "left")
+
+
 def sliding(grid: DataFrame, keys: list[str], value: str, size: int, how: str, name: str) -> DataFrame:
     """grid with `name`: the maximum, minimum, sum or mean of value over the size x size window around each cell.
 
     One pass along y, one along x, each a frame of `size` values of the coordinate, so work does not grow with the
-    window's area. Cells outside the grid do not take part; `mean` counts them as zeros (size * size in all), `inner`
-    is the mean of those inside. size is odd.
+    window's area. Cells outside the grid and nulls do not take part; `mean` counts them as zeros (size * size in all),
+    `inner` is the mean of the others. size is odd.
     """
     if size % 2 == 0:
         raise ValueError("the size of a window must be odd")
     r = size // 2
     one = {"max": F.max, "min": F.min}.get(how, F.sum)
-    out = grid.withColumns({"_v": F.col(value), "_n": F.lit(1)})
+    out = filled(grid, keys).withColumns({"_v": F.col(value), "_n": F.when(F.col(value).isNotNull(), 1)})
     for axis, other in (("y", "x"), ("x", "y")):
         w = Window.partitionBy(*keys, other).orderBy(axis).rangeBetween(-r, r)
         out = out.withColumns({"_v": one("_v").over(w), "_n": F.sum("_n").over(w)})
     result = F.col("_v") / (size * size) if how == "mean" else F.col("_v") / F.col("_n") if how == "inner" else F.col("_v")
-    return out.withColumn(name, result).drop("_v", "_n")
+    return out.filter("_there").withColumn(name, result).select(*grid.columns, name)
 
 
 def _targets(axis: str, old: int, new: int, method: str) -> Column:
