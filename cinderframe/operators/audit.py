@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from cinderframe.operators.timeseries import bracket
+
 
 def violations(rows: DataFrame, by: list[str], rules: dict[str, Column]) -> DataFrame:
     """Per group and rule, how many rows break it; a rule that gives null is broken."""
@@ -53,6 +55,21 @@ def domain_audit(rows: DataFrame, by: list[str], bounds: dict[str, tuple[float,
     return long.groupBy(*by, "field").agg(F.count("*").alias("n"), F.count_if(bad).alias("n_outside")).withColumn("share", F.col("n_outside") / F.col("n"))
 
 
+#: Words of a source's name that make it one of fuels.
+FUEL_TOKENS = ("landfire", "fuel", "vegetation")
+
+
+def names_fuel(name: Column) -> Column:
+    """Whether a source's name speaks of fuels, whatever its case."""
+    low = F.lower(F.coalesce(name, F.lit("")))
+    return sum((F.contains(low, F.lit(t)).cast("int") for t in FUEL_TOKENS), F.lit(0)) > 0
+
+
+def forbidden_tuning(assignments: DataFrame, split: str, use: str, tunable: list[str]) -> DataFrame:
+    """(split, n): assignments that are used for tuning though their split may not be."""
+    return assignments.filter((F.col(use) == "tuning") & ~F.col(split).isin(*tunable)).groupBy(split).agg(F.count("*").alias("n"))
+
+
 def provenance(text: Column, incident_year: Column) -> Column:
     """Status of a source named in text: by the first rule of four that holds."""
     year = F.regexp_extract(text, r"((?:19|20)\d{2})", 1)
@@ -60,14 +77,19 @@ def provenance(text: Column, incident_year: Column) -> Column:
     return F.when(text.isNull() | (text == ""), "unknown").when(when > incident_year, "after_incident").when(when == incident_year, "same_year").when(when.isNotNull(), "before_incident").otherwise("undated")
 
 
-def latest_admissible(versions: DataFrame, cases: DataFrame, effective: str, at: str, order: list[str], what: str) -> DataFrame:
-    """cases with the version that was in force: of those effective at or before, the greatest by order.
+def latest_admissible(versions: DataFrame, cases: DataFrame, effective: str, at: str, order: list[str], what: str, chunk: float = 365.0) -> DataFrame:
+    """cases with the version that was in force: of those effective (a date) at or before, the greatest by date and order; null
+    where there is none.
 
-    versions is a short list (a product's releases): it becomes one sorted array, in which each case looks up its own.
+    An as-of join in chunks of time, so neither versions nor cases need be few.
     """
-    table = versions.agg(F.array_sort(F.collect_list(F.struct(F.col(effective).alias("e"), *order, F.col(what).alias("w")))).alias("_t"))
-    found = F.element_at(F.filter("_t", lambda v: v.e <= F.col(at)), -1)
-    return cases.crossJoin(F.broadcast(table)).withColumn("_n", F.size(F.filter("_t", lambda v: v.e <= F.col(at)))).withColumn(what, F.when(F.col("_n") > 0, found["w"])).drop("_t", "_n")
+    day = lambda c: F.unix_date(F.col(c).cast("date")).cast("double").alias("_at")
+    best = versions.groupBy(day(effective)).agg(F.max(F.struct(*order, F.col(what).alias("_w"))).alias("_v")).withColumn("_k", F.lit(0))
+    plain = [c for c in cases.columns if c != what]
+    queries = cases.select(*plain, F.lit(0).alias("_k"), day(at)).filter(F.col(at).isNotNull())
+    found = bracket(best, queries, ["_k"], "_at", chunk).select(*plain, F.col("before._v._w").alias(what))
+    rest = cases.filter(F.col(at).isNull()).select(*plain, F.lit(None).cast(versions.schema[what].dataType).alias(what))
+    return found.union(rest)
 
 
 def forecast_cycle(issue: Column, horizon_hours: Column, lag_hours: int = 2, short_hours: int = 18, every: int = 6) -> Column:
@@ -98,6 +120,14 @@ def coverage(required: DataFrame, evidence: DataFrame, keys: list[str], domain:
     return out.groupBy(*keys).agg(F.count("*").alias("n_required"), F.count("_s").alias("n_closed"), F.avg(F.coalesce("_s", F.lit(0.0))).alias("score"), F.array_sort(F.collect_list(F.when(F.col("_s").isNull(), F.col(domain)))).alias("open"))
 
 
+def weighted_closure(evidence: DataFrame, keys: list[str], status: str, score: str, weight: str, statuses: list[str]) -> DataFrame:
+    """Per key, the weighted mean score of its evidence (weights that are null count 1, scores that are null 0), whether every piece is
+    closed (has a score), and how many have each status."""
+    w, s = F.coalesce(F.col(weight), F.lit(1.0)), F.coalesce(F.col(score), F.lit(0.0))
+    counts = [F.count_if(F.col(status) == x).alias(f"n_{x}") for x in statuses]
+    return evidence.groupBy(*keys).agg(F.count("*").alias("n"), F.try_divide(F.sum(w * s), F.sum(w)).alias("score"), F.bool_and(F.col(score).isNotNull()).alias("closed"), *counts)
+
+
 def tree_changes(before: DataFrame, after: DataFrame, path: str, digest: str) -> DataFrame:
     """Paths that were changed, removed or added between two lists of digests, with `change`."""
     a, b = before.select(path, F.col(digest).alias("_a")), after.select(path, F.col(digest).alias("_b"))

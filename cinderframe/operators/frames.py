@@ -94,3 +94,27 @@ def area_ratios(cells: DataFrame, polygons: DataFrame, keys: list[str], polygon:
     """(keys, ratio): area of a key's cells over that of the union of its polygons."""
     raster = cells.groupBy(*keys).agg((F.count("*") * cell_area).alias("_r"))
     return union_area(polygons, keys, polygon, height).join(raster, keys, "left").select(*keys, "area", (F.coalesce("_r", F.lit(0.0)) / F.col("area")).alias("ratio"))
+
+
+def radial_errors(cells: DataFrame, keys: list[str], cell: float, expected: Column) -> DataFrame:
+    """Per key of a front that grew from the origin (y, x in cells): its equivalent radius, greatest radius, and how far each is
+    from the expected one, an expression over keys."""
+    r = F.hypot(F.col("y") * cell, F.col("x") * cell)
+    out = cells.groupBy(*keys).agg(F.sqrt(F.count("*") * cell * cell / F.pi()).alias("equivalent_radius"), F.max(r).alias("greatest_radius"))
+    return out.withColumns({"equivalent_error": F.abs(F.col("equivalent_radius") - expected), "greatest_error": F.abs(F.col("greatest_radius") - expected)})
+
+
+def case_atlas(cells: DataFrame, case: str, moment: str, area: float, values: list[str]) -> DataFrame:
+    """Per case and moment: area of its cells, mean and greatest of each value, and growth of the area since the moment before."""
+    out = cells.groupBy(case, moment).agg((F.count("*") * area).alias("area"), *[f(v).alias(f"{n}_{v}") for v in values for n, f in (("mean", F.avg), ("most", F.max))])
+    return out.withColumn("growth", F.col("area") - F.coalesce(F.lag("area").over(Window.partitionBy(case).orderBy(moment)), F.lit(0.0)))
+
+
+def rotation_spread(rows: DataFrame, by: list[str], values: list[str]) -> DataFrame:
+    """Per group over its headings, the coefficient of variation (population) of each value."""
+    return rows.groupBy(*by).agg(*[(F.stddev_pop(v) / F.avg(v)).alias(f"{v}_spread") for v in values])
+
+
+def fractions(cells: DataFrame, by: list[str], flags: dict[str, Column]) -> DataFrame:
+    """Per group, the share of cells for which each flag holds."""
+    return cells.groupBy(*by).agg(*[F.avg(F.coalesce(c, F.lit(False)).cast("double")).alias(n) for n, c in flags.items()])

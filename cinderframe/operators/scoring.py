@@ -25,13 +25,14 @@ def reliability(rows: DataFrame, by: list[str], p: str, y: str, bins: int = 10)
 
 
 def proper_scores(rows: DataFrame, by: list[str], p: str, y: str, bins: int = 10) -> DataFrame:
-    """Brier score, whole and of events and non-events and their mean, log score and expected calibration error."""
+    """Brier score, whole and of events and non-events and their mean, log score, expected calibration error, and the
+    forecasts' mean variance p (1 - p)."""
     x = rows.select(*by, clipped(F.col(p)).alias("p"), F.col(y).cast("double").alias("y"))
     sq = (F.col("p") - F.col("y")) * (F.col("p") - F.col("y"))
     log = -(F.col("y") * F.log("p") + (1 - F.col("y")) * F.log(1 - F.col("p")))
     event = F.avg(F.when(F.col("y") == 1, sq))
     other = F.avg(F.when(F.col("y") == 0, sq))
-    out = x.groupBy(*by).agg(F.count("*").alias("n"), F.avg(sq).alias("brier"), event.alias("brier_event"), other.alias("brier_other"), F.avg(log).alias("log_score"))
+    out = x.groupBy(*by).agg(F.count("*").alias("n"), F.avg(sq).alias("brier"), event.alias("brier_event"), other.alias("brier_other"), F.avg(log).alias("log_score"), F.avg(F.col("p") * (1 - F.col("p"))).alias("variance"))
     table = reliability(rows, by, p, y, bins)
     ece = table.groupBy(*by).agg((F.sum(F.col("n") * F.abs(F.col("mean_p") - F.col("freq"))) / F.sum("n")).alias("ece"))
     out = out.join(ece, by) if by else out.crossJoin(ece)  # one row each

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from cinderframe.functions.weather import wind_components, wind_from
+
 
 def minutes(ts: str | Column) -> Column:
     """Minutes since 1970 of a timestamp, as a double."""
@@ -54,6 +56,17 @@ def asof_linear(samples: DataFrame, queries: DataFrame, keys: list[str], time: s
     return found.select(*queries.columns, F.when(a.isNull(), b).when(b.isNull(), a).otherwise(between).alias(value))
 
 
+def asof_wind(samples: DataFrame, queries: DataFrame, keys: list[str], time: str, speed: str, direction: str) -> DataFrame:
+    """queries with speed and direction between the bracketing samples: the wind's components are interpolated, never its angle,
+    and held at the ends."""
+    u, v = wind_components(F.col(speed), F.col(direction))
+    found = bracket(samples.select(*keys, time, u.alias("_u"), v.alias("_v")), queries, keys, time)
+    w = (F.col(time) - F.col("before.t")) / (F.col("after.t") - F.col("before.t"))
+    between = lambda c: F.when(F.col("before").isNull(), F.col(f"after.{c}")).when(F.col("after").isNull(), F.col(f"before.{c}")).otherwise(F.col(f"before.{c}") + w * (F.col(f"after.{c}") - F.col(f"before.{c}")))
+    s, d = wind_from(between("_u"), between("_v"))
+    return found.select(*queries.columns, s.alias(speed), d.alias(direction))
+
+
 def nearest(samples: DataFrame, queries: DataFrame, keys: list[str], time: str, value: str) -> DataFrame:
     """queries with the value of the sample nearest in time; of two as near, the earlier."""
     found = bracket(samples.select(*keys, time, value), queries, keys, time)

@@ -127,6 +127,65 @@ def read_catalog(text: str) -> dict:
     return json.loads(text, object_pairs_hook=unique)
 
 
+def _twice(text: str | None) -> str | None:
+    found: set[str] = set()
+
+    def note(pairs: list[tuple[str, object]]) -> None:
+        names = [k for k, _ in pairs]
+        found.update(k for k in names if names.count(k) > 1)
+
+    if text is None:
+        return None
+    json.loads(text, object_pairs_hook=note)
+    return ", ".join(sorted(found))
+
+
+def repeated_names(text: Column) -> Column:
+    """The keys that occur twice in an object of a JSON document, at any depth, in order; empty where none does."""
+    return F.pandas_udf(lambda s: s.map(_twice), "string")(text)
+
+
+def read_sites(spark: SparkSession, path: str, crs: str, affine: tuple[float, ...], verified: bool = True) -> DataFrame:
+    """Service sites (site_id, x, y, services) of GeoJSON collections of points, as columns and rows of a grid (rounded halves to
+    even). A collection that names another CRS is an error; with verified, sites not marked so are left out, and an
+    empty result is the reader's to judge."""
+    kind = "type string, crs struct<properties: struct<name: string>>, features array<struct<properties: struct<site_id: string, services: array<string>, verification: string>, geometry: struct<type: string, coordinates: array<double>>>>"
+    d = spark.read.text(path, wholetext=True).select(F.from_json("value", kind).alias("d")).select("d.*")
+    d = d.filter(F.assert_true(F.col("type") == "FeatureCollection", "not a FeatureCollection").isNull())
+    d = d.filter(F.assert_true(F.coalesce(F.col("crs.properties.name"), F.lit(crs)) == crs, "the CRS differs").isNull())
+    f = d.select(F.explode("features").alias("f")).select("f.properties.*", "f.geometry").filter("geometry.type = 'Point'")
+    if verified:
+        f = f.filter("verification = 'manually_verified'")
+    a, b, c, e, g, h = affine
+    det = a * g - b * e
+    px, py = F.col("geometry.coordinates")[0] - c, F.col("geometry.coordinates")[1] - h
+    return f.select("site_id", F.bround((g * px - b * py) / det, 0).cast("int").alias("x"), F.bround((a * py - e * px) / det, 0).cast("int").alias("y"), "services")
+
+
+def read_replay(spark: SparkSession, path: str, versions: tuple[int, ...] = (1, 2)) -> DataFrame:
+    """Frames of a replay written by write_replay(). Fails when computed if its version is not one of these, or if it does not
+    have as many frames as its metadata says."""
+    meta = spark.read.schema("schema_version int, frame_count long, digest string").json(f"{path}/metadata.json")
+    frames = spark.read.parquet(f"{path}/frames")
+    n = frames.agg(F.countDistinct("minute").alias("_n"))
+    ok = meta.crossJoin(n).filter(F.assert_true(F.col("schema_version").isin(*versions), "unsupported version").isNull() & F.assert_true(F.col("_n") == F.col("frame_count"), "frames are missing").isNull())  # one row each
+    return frames.join(F.broadcast(ok.select("schema_version")), F.lit(True))
+
+
+def write_replay(frames: DataFrame, path: str, version: int = 1) -> None:
+    """Frames (minute and others) as Parquet, and metadata with the version, the number of frames and a digest of all rows."""
+    frames.write.parquet(f"{path}/frames")
+    back = frames.sparkSession.read.parquet(f"{path}/frames")
+    h = F.xxhash64(*back.columns)
+    meta = back.agg(F.lit(version).alias("schema_version"), F.countDistinct("minute").alias("frame_count"), F.concat_ws("-", F.hex(F.sum(F.shiftrightunsigned(h, 32))), F.hex(F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))))).alias("digest"))
+    meta.write.json(f"{path}/metadata.json")
+
+
+def append_lines(rows: DataFrame, path: str) -> None:
+    """Append rows as JSON lines."""
+    rows.write.mode("append").json(path)
+
+
 def digests(spark: SparkSession, path: str) -> DataFrame:
     """path, length and SHA-256 of every file below a path."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)

@@ -71,7 +71,9 @@ def scheduled(stream: DataFrame, key: str, time: str, id_col: str, tick_ms: F.Co
     which it is taken, in order of time and id, numbered per key as they are taken.
 
     Whatever the order in which rows arrive, a tick's rows wait until event time has passed the tick by `late`. A row
-    that arrives after that is given at once and marked late; one without an id only moves time. Start the query inside timed_state().
+    that comes when event time has passed its own time by more than that is left out, as the watermark does (the query's
+    progress counts them); one whose tick is just over is given at once and marked late. A row without an id only
+    moves time. Start the query inside timed_state().
     """
     rows = stream.select(F.col(key).alias("key"), F.col(time).alias("_t"), F.unix_millis(F.col(time)).alias("at_ms"), F.col(id_col).cast("long").alias("id"), tick_ms.cast("long").alias("tick_ms")).withWatermark("_t", late)
     kind = f"key {stream.schema[key].dataType.simpleString()}, tick_ms long, at_ms long, id long, seq long, late boolean"
