@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cinderframe.operators import raster
-from cinderframe.operators.statistics import draw
+from cinderframe.operators.statistics import draw, numbered
 
 
 def perimeter_likelihood(predicted: DataFrame, observed: DataFrame, grid: DataFrame, keys: list[str], cell: float, sigma: float, area_sigma: float = 0.70) -> DataFrame:
@@ -96,11 +96,13 @@ def normal_draw(slot: Column, seed: str, steps: int = 1 << 20) -> Column:
 
 def particles(candidates: DataFrame, value: str, n: int, seed: str = "p") -> DataFrame:
     """n particles (particle, spread, wind_speed, wind_direction, moisture): candidates by equal strata of their order,
-    dealt in a shuffled order, each with clipped jitter from a reproducible draw. Candidates are a short list."""
-    k = Window.orderBy(value)
-    ranked = candidates.select(F.row_number().over(k).alias("r"), F.count("*").over(Window.partitionBy()).alias("m"), F.col(value).cast("double").alias("v"))
-    slots = candidates.sparkSession.range(n).select(F.col("id").alias("stratum")).withColumn("particle", F.row_number().over(Window.orderBy(F.md5(F.concat_ws(":", "stratum", F.lit(seed))))) - 1)
-    x = slots.crossJoin(F.broadcast(ranked)).filter(F.least(F.floor((F.col("stratum") + 0.5) / n * F.col("m")), F.col("m") - 1) + 1 == F.col("r"))
+    dealt in a shuffled order, each with clipped jitter from a reproducible draw. Both orders are numbered by ranges, so
+    neither candidates nor particles need be few."""
+    m = candidates.count()
+    ranked = numbered(candidates.select(F.col(value).cast("double").alias("v"), F.monotonically_increasing_id().alias("_i")), ["v", "_i"]).select(F.col("number").alias("r"), "v")
+    slots = candidates.sparkSession.range(n).select(F.col("id").alias("stratum"), F.md5(F.concat_ws(":", "id", F.lit(seed))).alias("_h"))
+    slots = numbered(slots, ["_h", "stratum"]).withColumn("r", F.least(F.floor((F.col("stratum") + 0.5) / n * m), F.lit(m - 1))).withColumnRenamed("number", "particle")
+    x = slots.join(ranked, "r")
     jitter = lambda name, sd: sd * normal_draw(F.col("particle"), f"{seed}{name}")
     bounded = lambda c, a, b: F.greatest(F.lit(a), F.least(F.lit(b), c))
     return x.select("particle", (F.col("v") * F.exp(jitter("s", 0.06))).alias("spread"), bounded(F.exp(jitter("w", 0.18)), 0.60, 1.55).alias("wind_speed"), bounded(jitter("d", 14.0), -40.0, 40.0).alias("wind_direction"), bounded(jitter("m", 0.015), -0.045, 0.045).alias("moisture"))

@@ -140,7 +140,7 @@ def q_projected(spark: SparkSession, d: str) -> DataFrame:
 def q_greedy_pairs(spark: SparkSession, d: str) -> DataFrame:
     """The picks of greedy matching, in decisions of two resources and their tasks."""
     x = _travelled(spark, d).withColumn("case", F.floor(F.col("r") / 2)).withColumn("v", F.round(F.col("value") - F.col("travel"), 6))
-    return selection.greedy_matching(x.filter("t % 4 = 0"), ["case"], "r", "t", "v").select("case", "r", "t", "v")
+    return selection.greedy_matching(x, ["case"], "r", "t", "v").select("case", "r", "t", "v")
 
 
 QUERIES = {f.__name__: f for f in (q_compatible, q_feasible, q_reserve, q_utility, q_anchor_flank, q_front_cells, q_shuffled_order, q_heading, q_trail, q_coverage_level, q_delivery, q_legs_in_volumes, q_along_leg, q_centroid, q_weighted_loss, q_pooled, q_projected, q_greedy_pairs)}
@@ -234,7 +234,7 @@ SELECT p_type, round(sum((b::INT + a::INT) * w), 6) AS loss, round(avg(b::INT),
 SELECT s_suppkey, s_nationkey, CASE WHEN s_suppkey % 3 = 0 THEN 99.5::DOUBLE WHEN n_nationkey <> 4 THEN n_regionkey + 0.5::DOUBLE END AS speed, CASE WHEN n_nationkey <> 4 THEN n_nationkey END AS bays FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey
 """,
     "q_greedy_pairs": f"""
-WITH RECURSIVE {_PAIRS}, p AS (SELECT r // 2 AS k, r, t, round(value - travel, 6) AS v FROM x WHERE t % 4 = 0),
+WITH RECURSIVE {_PAIRS}, p AS (SELECT r // 2 AS k, r, t, round(value - travel, 6) AS v FROM x),
 a AS (SELECT k, r, t, v, row_number() OVER (PARTITION BY r ORDER BY v DESC, t) AS n, dense_rank() OVER (PARTITION BY k ORDER BY r) AS turn FROM p),
 f AS (SELECT k, r, t, v FROM a WHERE turn = 1 AND n = 1),
 s AS (SELECT a.k, a.r, a.t, a.v FROM a LEFT JOIN f ON f.k = a.k WHERE a.turn = 2 AND a.t <> f.t QUALIFY row_number() OVER (PARTITION BY a.r ORDER BY a.v DESC, a.t) = 1)

@@ -61,8 +61,8 @@ def q_strict_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 def _frames(spark: SparkSession, d: str) -> DataFrame:
     o = _read(spark, d, "orders").withColumn("month", F.date_format("o_orderdate", "yyyy-MM"))
-    lines = o.filter("o_orderstatus = 'F' and o_totalprice > 200000").groupBy("o_orderpriority", "month").agg(F.max("o_totalprice").alias("line"))
-    return pf.with_active(o.filter("o_custkey % 10 = 1").select("o_orderpriority", "month").distinct(), lines, ["o_orderpriority"], "month", "line")
+    lines = o.filter("o_orderstatus = 'F' and o_totalprice > 300000").groupBy("o_orderpriority", "month").agg(F.max("o_totalprice").alias("line"))
+    return pf.with_active(o.select("o_orderpriority", "month").distinct(), lines, ["o_orderpriority"], "month", "line")
 
 
 def q_active_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -129,8 +129,8 @@ QUERIES = {f.__name__: f for f in (q_null_profile, q_labelled_counts, q_overlap_
 
 _FRAMES = """
 o AS (SELECT *, strftime(o_orderdate, '%Y-%m') AS month FROM orders),
-f AS (SELECT DISTINCT o_orderpriority, month FROM o WHERE o_custkey % 10 = 1),
-l AS (SELECT o_orderpriority, month, max(o_totalprice) AS line FROM o WHERE o_orderstatus = 'F' AND o_totalprice > 200000 GROUP BY ALL),
+f AS (SELECT DISTINCT o_orderpriority, month FROM o),
+l AS (SELECT o_orderpriority, month, max(o_totalprice) AS line FROM o WHERE o_orderstatus = 'F' AND o_totalprice > 300000 GROUP BY ALL),
 x AS (SELECT f.o_orderpriority, f.month, l.line FROM f LEFT JOIN l USING (o_orderpriority, month))
 """
 SQL = {
