@@ -54,7 +54,8 @@ def interpolate_tiles(stations: DataFrame, cells: DataFrame, keys: list[str], fi
     merged = merged.agg(F.avg("y").alias("y"), F.avg("x").alias("x"), F.count("*").alias("n"), *[F.avg(f).alias(f) for f in fields]).drop("_by", "_bx", "_has")
     for c in "yx":
         merged = merged.withColumn(f"_t{c}", F.explode(F.sequence(F.floor((F.col(c) - reach) / tile), F.floor((F.col(c) + reach) / tile))))
-    tiled = cells.withColumns({f"_t{c}": F.floor(F.col(c) / tile) for c in "yx"})
+    own = cells.select(*[F.col(c).alias(c) for c in cells.columns])  # columns of its own, though stations come from the same table
+    tiled = own.withColumns({f"_t{c}": F.floor(F.col(c) / tile) for c in "yx"})
     group = [*keys, "_ty", "_tx"]
     merged = merged.join(tiled.select(*group).distinct(), group, "left_semi")  # tiles without cells need no solve
     kinds = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in cells.schema] + [f"c_{f} double, s_{f} double" for f in fields])

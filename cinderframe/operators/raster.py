@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from cinderframe.operators.analysis import interpolate_tiles
 from cinderframe.operators.statistics import quantiles
 
 FOUR = [(-1, 0), (1, 0), (0, -1), (0, 1)]
@@ -261,16 +262,22 @@ def _solve(keys: list[str], length: float, noise: float):
     return run
 
 
-def optimal_interpolation(obs: DataFrame, grid: DataFrame, keys: list[str], length: float, noise: float, blocks: int = 16) -> DataFrame:
-    """Correction and posterior deviation at every cell from innovations (keys, oy, ox, innovation) of a few stations.
+def optimal_interpolation(obs: DataFrame, grid: DataFrame, keys: list[str], length: float, noise: float, blocks: int | None = None) -> DataFrame:
+    """Correction and posterior deviation at every cell from the innovations (keys, oy, ox, innovation) of stations.
 
-    A key's cells are dealt over blocks; each block gets the key's stations, of which a network has few.
+    The grid is solved in tiles, each with the stations within six lengths (see analysis.interpolate_tiles), so a
+    network may have any size. With blocks, for a network of few stations, a key's cells are dealt over that many
+    groups, and each is solved with all of its stations.
     """
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in grid.select(*keys, "y", "x").schema)
-    cells = grid.select(*keys, "y", "x").withColumn("_b", F.pmod(F.xxhash64("y", "x"), F.lit(blocks)).cast("int"))
+    cells = grid.select(*keys, "y", "x")
+    if blocks is None:
+        at = obs.select(*keys, F.col("oy").alias("y"), F.col("ox").alias("x"), "innovation")
+        out = interpolate_tiles(at, cells, keys, ["innovation"], length, noise, 8 * length, 6 * length, length / 4)
+        return out.withColumnsRenamed({"c_innovation": "correction", "s_innovation": "sd"})
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cells.schema)
+    cells = cells.withColumn("_b", F.pmod(F.xxhash64("y", "x"), F.lit(blocks)).cast("int"))
     stations = obs.select(*keys, "oy", "ox", "innovation", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"))
-    out = stations.groupBy(*keys, "_b").cogroup(cells.groupBy(*keys, "_b")).applyInPandas(_solve(keys, length, noise), f"{kinds}, correction double, sd double")
-    return out
+    return stations.groupBy(*keys, "_b").cogroup(cells.groupBy(*keys, "_b")).applyInPandas(_solve(keys, length, noise), f"{kinds}, correction double, sd double")
 
 
 def component_labels(mask: DataFrame, keys: list[str]) -> DataFrame:

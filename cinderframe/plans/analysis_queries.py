@@ -52,6 +52,25 @@ def q_surface_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (q_forcing_analysis, q_surface_lookup)}
 
+def solves_sql(length: float, noise: float, tile: int) -> str:
+    """CTEs from p (t, ty, tx, f, stations as a list of y, x, d, n) and cells c (t, y, x) to o (t, y, x, f, c, s): the covariances'
+    inverse by elimination, a station a step."""
+    return _SOLVES.replace("{two}", str(2 * length * length)).replace("{noise}", str(noise)).replace("{tile}", str(tile))
+
+
+_SOLVES = """e AS (
+  SELECT t, ty, tx, f, p, 0 AS k, list_transform(range(1, len(p) + 1), lambda i: list_concat(
+    list_transform(p, lambda q, j: exp(((p[i].y - q.y) * (p[i].y - q.y) + (p[i].x - q.x) * (p[i].x - q.x)) / -{two}::DOUBLE) + CASE WHEN i = j THEN {noise}::DOUBLE * {noise}::DOUBLE / q.n ELSE 0 END),
+    list_transform(p, lambda q, j: CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END))) AS a FROM p
+  UNION ALL
+  SELECT t, ty, tx, f, p, k + 1, list_transform(a, lambda r, i: CASE WHEN i = k + 1 THEN list_transform(r, lambda z: z / a[k + 1][k + 1])
+    ELSE list_transform(r, lambda z, j: z - r[k + 1] * a[k + 1][j] / a[k + 1][k + 1]) END) FROM e WHERE k < len(p)),
+w AS (
+  SELECT c.t, c.y, c.x, e.f, e.p, e.a, list_transform(e.p, lambda q: exp(((q.y - c.y) * (q.y - c.y) + (q.x - c.x) * (q.x - c.x)) / -{two}::DOUBLE)) AS r
+  FROM c JOIN e ON e.t = c.t AND e.ty = c.y // {tile} AND e.tx = c.x // {tile} AND e.k = len(e.p)),
+hv AS (SELECT *, list_transform(range(1, len(p) + 1), lambda i: list_sum(list_transform(r, lambda z, j: z * a[i][len(p) + j]))) AS h FROM w),
+o AS (
+  SELECT t, y, x, f, list_sum(list_transform(p, lambda q, i: q.d * h[i])) AS c, sqrt(greatest(0, least(1, 1 - list_sum(list_transform(r, lambda z, i: z * h[i]))))) AS s FROM hv)"""
 _BRACKET = "least(greatest(len(list_filter({axis}, lambda q: q <= least(greatest({x}, {axis}[1]), {axis}[-1]))), 1), len({axis}) - 1)"
 SQL = {
     "q_forcing_analysis": """
@@ -75,19 +94,7 @@ l AS (SELECT * FROM m UNPIVOT (d FOR f IN (u, v, celsius, humidity, dead))),
 p AS (
   SELECT t, ty, tx, f, list({'y': y, 'x': x, 'd': d, 'n': n} ORDER BY y, x) AS p
   FROM l JOIN (SELECT DISTINCT y // 12 AS ty, x // 12 AS tx FROM c) g ON ty * 12 <= y + 9 AND ty * 12 + 12 > y - 9 AND tx * 12 <= x + 9 AND tx * 12 + 12 > x - 9 GROUP BY ALL),
-e AS (
-  SELECT t, ty, tx, f, p, 0 AS k, list_transform(range(1, len(p) + 1), lambda i: list_concat(
-    list_transform(p, lambda q, j: exp(((p[i].y - q.y) * (p[i].y - q.y) + (p[i].x - q.x) * (p[i].x - q.x)) / -18.0::DOUBLE) + CASE WHEN i = j THEN 0.35::DOUBLE * 0.35::DOUBLE / q.n ELSE 0 END),
-    list_transform(p, lambda q, j: CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END))) AS a FROM p
-  UNION ALL
-  SELECT t, ty, tx, f, p, k + 1, list_transform(a, lambda r, i: CASE WHEN i = k + 1 THEN list_transform(r, lambda z: z / a[k + 1][k + 1])
-    ELSE list_transform(r, lambda z, j: z - r[k + 1] * a[k + 1][j] / a[k + 1][k + 1]) END) FROM e WHERE k < len(p)),
-w AS (
-  SELECT c.t, c.y, c.x, e.f, e.p, e.a, list_transform(e.p, lambda q: exp(((q.y - c.y) * (q.y - c.y) + (q.x - c.x) * (q.x - c.x)) / -18.0::DOUBLE)) AS r
-  FROM c JOIN e ON e.t = c.t AND e.ty = c.y // 12 AND e.tx = c.x // 12 AND e.k = len(e.p)),
-g AS (SELECT *, list_transform(range(1, len(p) + 1), lambda i: list_sum(list_transform(r, lambda z, j: z * a[i][len(p) + j]))) AS h FROM w),
-o AS (
-  SELECT t, y, x, f, list_sum(list_transform(p, lambda q, i: q.d * h[i])) AS c, sqrt(greatest(0, least(1, 1 - list_sum(list_transform(r, lambda z, i: z * h[i]))))) AS s FROM g),
+""" + solves_sql(3.0, 0.35, 12) + """,
 q AS (
   SELECT b.*, coalesce(any_value(o.c) FILTER (f = 'u'), 0) AS cu, coalesce(any_value(o.c) FILTER (f = 'v'), 0) AS cv, coalesce(any_value(s) FILTER (f = 'u'), 1) AS su,
     coalesce(any_value(o.c) FILTER (f = 'celsius'), 0) AS cc, coalesce(any_value(s) FILTER (f = 'celsius'), 1) AS sc, coalesce(any_value(o.c) FILTER (f = 'humidity'), 0) AS ch, coalesce(any_value(s) FILTER (f = 'humidity'), 1) AS sh,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cinderframe.operators import raster, scoring
+from cinderframe.plans.analysis_queries import solves_sql
 
 CELL = 30.0
 
@@ -120,6 +121,12 @@ _G = "WITH g AS (SELECT (p_partkey // 40)::INT AS y, (p_partkey % 40)::INT AS x,
 _NEAR = "SELECT a.y, a.x, min(sqrt((a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x))) AS d FROM {a} a, {b} b GROUP BY a.y, a.x"
 _EDGE = "SELECT m.y, m.x FROM {m} m WHERE (SELECT count(*) FROM {m} n WHERE abs(n.y - m.y) + abs(n.x - m.x) = 1) < 4"
 SQL = {
+    "q_optimal_interpolation": _G.replace("WITH g", "WITH RECURSIVE g")
+    + """, c AS (SELECT 0 AS t, y, x FROM g), l AS (SELECT y, x, height / 1000 AS d, 1 AS n FROM g WHERE p_size = 1),
+p AS (SELECT 0 AS t, ty, tx, 'i' AS f, list({'y': y, 'x': x, 'd': d, 'n': n} ORDER BY y, x) AS p
+  FROM l JOIN (SELECT DISTINCT y // 16 AS ty, x // 16 AS tx FROM c) z ON ty * 16 <= y + 12 AND ty * 16 + 16 > y - 12 AND tx * 16 <= x + 12 AND tx * 16 + 16 > x - 12 GROUP BY ALL),
+""" + solves_sql(2.0, 0.3, 16) + """
+SELECT g.y, g.x, round(coalesce(o.c, 0), 6) AS correction, round(coalesce(o.s, 1), 6) AS sd FROM g LEFT JOIN o ON o.y = g.y AND o.x = g.x""",
     "q_confusion": _G
     + """, n AS (SELECT count(*) FILTER (p_size <= 10) AS p, count(*) FILTER (p_size BETWEEN 6 AND 14) AS o, count(*) FILTER (p_size BETWEEN 6 AND 10) AS hit, count(*) FILTER (p_size <= 14) AS e FROM g)
 SELECT 'g' AS incident, round(hit / greatest(e, 1), 6) AS iou, round(hit / greatest(p, 1), 6) AS precision, round(hit / greatest(o, 1), 6) AS recall, round((p - o) * 900.0 / 1e6, 6) AS area_bias_km2, e - hit AS difference FROM n""",
