@@ -260,3 +260,20 @@ def test_repair_of_odd_tables(spark):
     assert tuple(got[gone])[1:] == (0, 0, 0, 0, 0, 0, "", hashlib.sha256().hexdigest())
     assert got[kept].audit == "KK" and got[kept].repaired_sha256 == hashlib.sha256(f"user:{long}\nassistant:{long}".encode()).hexdigest()
     assert T.StructType(turn_repair.repair_report(spark.createDataFrame(rows, TURNS), spark.createDataFrame(rows, TURNS)).schema).names[0] == "conv_id"
+
+
+# pipeline stages on tables with columns of any name and type
+
+
+def test_stages_keep_columns_of_any_type_and_name(spark):
+    """A map column goes through near_dedup; columns named like helpers come back from source_mix as they were."""
+    import corpus_pipeline
+
+    text = [" ".join(f"t{k}w{i}" for i in range(40)) for k in range(3)]
+    kind = "doc_id long, text string, source string, m map<string,int>, size long, k int, row string, times int"
+    rows = [(1, text[0], "a", {"x": 1}, 5, 6, "r", 7), (1, text[0], "a", {"x": 1}, 5, 6, "r", 7), (2, text[0] + " end", "a", None, 5, 6, "r", 7), (3, text[1], None, {"y": 2}, 8, 9, None, None)]
+    docs = spark.createDataFrame(rows, kind)
+    kept = corpus_pipeline.near_dedup(spark, docs, SF)
+    assert sorted((r.doc_id, r.m) for r in kept.collect()) == [(1, {"x": 1}), (3, {"y": 2})]
+    mixed = corpus_pipeline.source_mix(spark, docs, SF)
+    assert mixed.columns == docs.columns and {(r.doc_id, r["size"], r.k, r["row"], r.times) for r in mixed.collect()} <= {(r[0], *r[4:]) for r in rows}
