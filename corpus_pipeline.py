@@ -35,7 +35,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     marked = Scratch(spark, "near_rows").cut(marked)
     same = docs.doc_id.eqNullSafe(marked.m_id) & (F.md5(F.coalesce(docs.text.cast("binary"), F.lit(b""))) == marked.m_key)
     others = F.to_json(F.struct(F.lit(0).alias("0"), *[c for c in docs.columns if c not in ("doc_id", "text")]))  # columns of any type, maps too
-    repeated = docs.join(marked.filter("not m_gone"), same, "left_semi").groupBy("doc_id", F.coalesce("text", F.lit("")).alias("same")).agg(F.min_by(F.struct(*docs.columns), F.struct(others, F.col("text").isNull())).alias("x"))
+    repeated = docs.join(marked.filter("not m_gone"), same, "left_semi").groupBy("doc_id", F.coalesce("text", F.lit("")).alias("same")).agg(F.min_by(F.struct(*docs.columns), F.struct(others, F.col("text").isNotNull())).alias("x"))
     return docs.join(marked, same, "left_anti").union(repeated.select("x.*"))
 
 
