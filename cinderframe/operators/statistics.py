@@ -91,16 +91,17 @@ def numbered(rows: DataFrame, order: str | list[str], by: list[str] | None = Non
     group. So no group is sorted by one task.
     """
     by, order = by or [], [order] if isinstance(order, str) else order
-    ranged = rows.repartitionByRange(*by, *order).withColumn("_p", F.spark_partition_id())
-    before = ranged.groupBy(*by, "_p").agg(F.count("*").alias("_n"))
-    before = before.select(*by, "_p", (F.sum("_n").over(Window.partitionBy(*by).orderBy("_p")) - F.col("_n")).alias("_o"))
-    inside = Window.partitionBy(*by, "_p").orderBy(*order)
-    both = ranged.withColumn("_r", F.row_number().over(inside))
-    same = (both["_p"] == before["_p"]) if not by else None
+    checkpoint_folder(rows.sparkSession)
+    # written once: ranges drawn a second time would have other bounds
+    ranged = rows.repartitionByRange(*by, *order).withColumn("_p", F.spark_partition_id()).checkpoint()
+    counts = ranged.groupBy(*by, "_p").agg(F.count("*").alias("_n"))
+    before = (F.sum("_n").over(Window.partitionBy(*by).orderBy("_p")) - F.col("_n")).alias("_o")
+    counts = counts.select(*[F.col(c).alias(f"_b_{c}") for c in by], F.col("_p").alias("_q"), before)
+    same = F.col("_p") == F.col("_q")
     for c in by:
-        same = both[c].eqNullSafe(before[c]) if same is None else same & both[c].eqNullSafe(before[c])
-    same = same & (both["_p"] == before["_p"])
-    return both.join(before, same).select(*[both[c] for c in rows.columns], (F.col("_o") + F.col("_r") - 1).alias("number"))
+        same &= F.col(c).eqNullSafe(F.col(f"_b_{c}"))
+    inside = F.row_number().over(Window.partitionBy(*by, "_p").orderBy(*order))
+    return ranged.withColumn("_r", inside).join(counts, same).select(*rows.columns, (F.col("_o") + F.col("_r") - 1).alias("number"))
 
 
 def quantiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, float], most: int = 100_000, buckets: int = 1024) -> DataFrame:
