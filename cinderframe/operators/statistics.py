@@ -69,14 +69,16 @@ def bootstrap(clusters: DataFrame, value: str, order: str, replicates: int = 200
     blocks = ranked.groupBy(F.floor(F.col("number") / block).alias("block")).agg(F.sort_array(F.collect_list(F.struct("number", F.col(value).cast("double").alias("v")))).alias("x"))
     blocks = blocks.select("block", F.col("x.v").alias("v"), F.size("x").alias("m"))
     n = clusters.count()
-    slots = blocks.select("block", "m", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-    to = lambda j: F.floor(mixed_bits((F.col("block") * block + j) * 7919 + F.col("replicate") * 104729 + seed) % n / block)
-    hits = slots.select("replicate", F.explode(F.transform(F.sequence(F.lit(0), F.col("m") - 1), to)).alias("block"))
-    hits = hits.groupBy("replicate", "block").agg(F.count("*").alias("k"))
+    slots = ranked.select("number", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
+    to = F.floor(mixed_bits(F.col("number") * 7919 + F.col("replicate") * 104729 + seed) % n / block)
+    hits = slots.groupBy("replicate", to.alias("block")).agg(F.count("*").alias("k"))
     pick = lambda j: F.get(F.col("v"), (mixed_bits(mixed_bits(j * 15485863 + F.col("replicate")) + F.col("block") * 32452843 + seed) % F.col("m")).cast("int"))
-    added = F.aggregate(F.sequence(F.lit(1).cast("long"), F.col("k")), F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("c")), lambda a, j: F.struct((a.s + F.coalesce(pick(j), F.lit(0.0))).alias("s"), (a.c + F.when(pick(j).isNull(), 0).otherwise(1)).alias("c")))
-    sums = hits.join(blocks, "block").select("replicate", added.alias("a"))
-    return sums.groupBy("replicate").agg((F.sum("a.s") / F.sum("a.c")).alias("mean"))
+    picks = F.sequence(F.lit(1).cast("long"), F.col("k"))
+    total = F.aggregate(picks, F.lit(0.0), lambda a, j: a + F.coalesce(pick(j), F.lit(0.0)))
+    empty = F.exists("v", lambda v: v.isNull())
+    drawn = F.when(empty, F.aggregate(picks, F.lit(0).cast("long"), lambda a, j: a + F.when(pick(j).isNull(), 0).otherwise(1))).otherwise(F.col("k"))
+    sums = hits.join(blocks, "block").select("replicate", total.alias("s"), drawn.alias("c"))
+    return sums.groupBy("replicate").agg((F.sum("s") / F.sum("c")).alias("mean"))
 
 
 def interval(means: DataFrame, low: float = 0.025, high: float = 0.975) -> DataFrame:
