@@ -49,35 +49,83 @@ def test_query_equals_sql(spark, module):
 # substring dedup
 
 
+def brute_sentences(t):
+    """Words, first word of every sentence and behind the last, word by word."""
+    found = list(re.finditer(r"[^\x20\x09-\x0D]+", t or ""))
+    words = [m[0].encode().lower() for m in found]
+    ends = []
+    for k, (m, w) in enumerate(zip(found, words, strict=True)):
+        gap = t[m.end() : found[k + 1].start()] if k + 1 < len(found) else "\n"
+        if w[-1:] in b".!?" or "\n" in gap:
+            ends.append(k + 1)
+    first = [0]
+    for end in ends:
+        begin = first[-1]
+        first += [k + 1 for k in range(begin, end) if k + 1 - begin >= 8 and end - k - 1 >= 8 and (sum(words[k]) + sum(words[k - 1])) % 4 == 0]
+        first.append(end)
+    return found, words, first
+
+
+def in_order(docs):
+    return sorted(docs, key=lambda x: (x[0] is None, x[0] or 0, hashlib.md5((x[1] or "").encode()).hexdigest()))
+
+
 def brute_spans(docs, least=16):
-    """Spans word by word: sentences, then from each the fewest, two at least, with `least` words."""
+    """From each sentence on, and up to each, the fewest, two at least, with `least` words."""
     seen, out = set(), {}
-    for i, t in sorted(docs, key=lambda x: (x[0] is None, x[0] or 0, hashlib.md5((x[1] or "").encode()).hexdigest())):
-        found = list(re.finditer(r"[^\x20\x09-\x0D]+", t or ""))
-        words = [m[0].encode().lower() for m in found]
-        first, before = [0], 0
-        for k, (m, w) in enumerate(zip(found, words, strict=True)):
-            gap = t[m.end() : found[k + 1].start()] if k + 1 < len(found) else "\n"
-            own = sum(w)
-            if w[-1:] in b".!?" or "\n" in gap or (own + before) % 6 == 0:
-                first.append(k + 1)
-            before = own
-        n, gone = len(first) - 1, set()
+    for i, t in in_order(docs):
+        found, words, first = brute_sentences(t)
+        n, gone, spans = len(first) - 1, set(), set()
+        long = lambda x, y: y - x >= 2 and first[y] - first[x] >= least
         for x in range(n):
-            y = next((y for y in range(x + 2, n + 1) if first[y] - first[x] >= least), None)
-            if y is None and x == 0:
-                y = n
+            y = next((y for y in range(x + 2, n + 1) if long(x, y)), n if x == 0 else None)
             if y is not None:
-                span = tuple(words[first[x] : first[y]])
-                if span in seen:
-                    gone |= set(range(x, y))
-                seen.add(span)
+                spans.add((x, y))
+            back = next((z for z in range(x - 1, -1, -1) if long(z, x + 1)), None)
+            if back is not None:
+                spans.add((back, x + 1))
+        for x, y in sorted(spans):
+            span = tuple(words[first[x] : first[y]])
+            if span in seen:
+                gone |= set(range(x, y))
+            seen.add(span)
         cuts = [0, *(found[k].start() for k in first[1:-1]), len(t or "")] if n else []
         kept = "".join(t[cuts[k] : cuts[k + 1]] for k in range(n) if k not in gone) if n else t or ""
         out[i] = (n or int(bool(t)), len(gone), kept)
     return out
 
 
+def covered_by_all_runs(docs, cut_alike, least=16):
+    """How many sentences a later occurrence of any run covers: runs with `least` words, else of a whole text; runs of
+    the same words that are the same sentences, or any."""
+    seen, out = set(), {}
+    for i, t in in_order(docs):
+        _, words, first = brute_sentences(t)
+        n, cover = len(first) - 1, set()
+        runs = [(x, y) for x in range(n) for y in range(x + 2, n + 1) if first[y] - first[x] >= least] or [(0, n)]
+        for x, y in runs:
+            key = hash(tuple(words[first[x] : first[y]])), tuple(f - first[x] for f in first[x : y + 1]) if cut_alike else None
+            if key in seen:
+                cover |= set(range(x, y))
+            seen.add(key)
+        out[i] = len(cover)
+    return out
+
+
+def test_shortest_spans_stand_for_every_run(spark):
+    """Hashing all runs, of any number of sentences, covers the same sentences; those of the same words in other lines may add some."""
+    docs = [(r.doc_id, (r.text or "")[:1500]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    rng = np.random.default_rng(3)
+    for i in range(60):  # passages of a few sentences, of any length, from one text in another
+        s = docs[int(rng.integers(len(docs)))][1].split(". ")
+        k, m = int(rng.integers(len(s))), int(rng.integers(1, 6))
+        docs.append((10_000 + i, f"Start of {i}. {'. '.join(s[k : k + m])}. End of {i}."))
+    got = {r.doc_id: r.n_removed for r in substring_dedup.drop_repeated_spans(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    alike, same_words = covered_by_all_runs(docs, True), covered_by_all_runs(docs, False)
+    assert all(alike[i] <= n <= same_words[i] for i, n in got.items())
+    assert sum(alike[i] == n for i, n in got.items()) > 0.95 * len(got) and sum(got[i] for i in got if i >= 10_000) > 50
+
+
 def test_spans_against_brute_force(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     got = substring_dedup.op1_substring_dedup(spark, SF).collect()
