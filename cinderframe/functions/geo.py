@@ -19,6 +19,24 @@ def mercator_scale(lat: Column) -> Column:
     return F.cos(F.radians(lat))
 
 
+#: Codes of Web Mercator, and ranges of codes whose axes are metres on a projected grid: UTM (WGS 84 north and
+#: south, NAD 83), the North American Albers grids and the conterminous one.
+WEB_MERCATOR = (3857, 3785, 900913, 102100, 102113)
+METRIC = ((32601, 32660), (32701, 32760), (26901, 26923), (5070, 5072), (3338, 3338))
+
+
+def metric_suitability(epsg: Column, lat: Column) -> Column:
+    """Struct of whether map units are metres on the ground: web_mercator, metric, metres and area on the ground per unit of
+    the map (Web Mercator only) and reason, null if metric. Codes beyond METRIC, and null, are not taken to be metric."""
+    web = F.coalesce(epsg.isin(*WEB_MERCATOR), F.lit(False))
+    metric = F.lit(False)
+    for low, high in METRIC:
+        metric = metric | F.coalesce(epsg.between(low, high), F.lit(False))
+    scale = F.when(web, mercator_scale(lat))
+    reason = F.when(web, "scale varies with latitude").when(~metric, "no projected grid in metres")
+    return F.struct(web.alias("web_mercator"), metric.alias("metric"), scale.alias("scale"), (scale * scale).alias("area_scale"), reason.alias("reason"))
+
+
 def utm_zone(lon: Column) -> Column:
     return (F.least(F.lit(59), F.floor((lon + 180) / 6)) + 1).cast("int")
 
@@ -59,6 +77,18 @@ def equivalent_radius(n_cells: Column, cell: float) -> Column:
     return F.sqrt(n_cells * cell * cell / F.pi())
 
 
+def radius_rate(before: Column, now: Column, minutes: Column, cell: float) -> Column:
+    """Growth of the equivalent radius, by cells, in metres a minute; a fall is none. Null where no time has passed or a count is null."""
+    grown = equivalent_radius(now, cell) - equivalent_radius(before, cell)
+    return F.when((minutes > 0) & grown.isNotNull(), F.greatest(F.lit(0.0), grown) / minutes)
+
+
+def clock_label(origin: Column, minute: Column) -> Column:
+    """ISO time, to the minute, of a minute after the origin; without one, minutes elapsed."""
+    at = F.timestamp_micros(F.unix_micros(origin) + minute.cast("long") * 60_000_000)
+    return F.coalesce(F.date_format(at, "yyyy-MM-dd'T'HH:mmxxx"), F.concat(F.lit("T+"), F.when(minute.between(0, 99), F.lpad(minute.cast("string"), 3, "0")).otherwise(minute.cast("string")), F.lit(" min")))
+
+
 def scale_length(span: Column) -> Column:
     """The greatest of 1, 2 and 5 times a power of ten that is at most a quarter of span."""
     q = span / 4

@@ -145,6 +145,20 @@ def repeated_names(text: Column) -> Column:
     return F.pandas_udf(lambda s: s.map(_twice), "string")(text)
 
 
+def read_registries(spark: SparkSession, path: str, lines: bool = False, version: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Evidence registries, a JSON document a file (or a line): documents (registry_id and their fields), and evidence
+    (registry_id, profile_id, position, domain, status, evidence_grade, applicability, finding, document_ids). Another version of the
+    schema is an error when computed; operators.service.registry_faults() finds what does not fit together."""
+    field = "status string, evidence_grade string, applicability string, finding string, document_ids array<string>"
+    kind = f"schema_version int, registry_id string, researched_at string, documents array<struct<document_id: string, title: string, publisher: string, issued: string, url: string, document_class: string, sha256: string>>, profiles array<struct<profile_id: string, domains: map<string, struct<{', '.join(f.replace(' ', ': ', 1) for f in field.split(', '))}>>>>"
+    d = spark.read.text(path, wholetext=not lines).select(F.from_json("value", kind).alias("d")).select("d.*")
+    d = d.filter(F.assert_true(F.coalesce(F.col("schema_version") == version, F.lit(False)), "unsupported version").isNull())
+    documents = d.select("registry_id", F.explode("documents").alias("x")).select("registry_id", "x.*")
+    profiles = d.select("registry_id", F.posexplode("profiles").alias("position", "p"))
+    evidence = profiles.select("registry_id", "p.profile_id", "position", F.explode("p.domains").alias("domain", "e"))
+    return documents, evidence.select("registry_id", "profile_id", "position", "domain", "e.*")
+
+
 def read_sites(spark: SparkSession, path: str, crs: str, affine: tuple[float, ...], verified: bool = True) -> DataFrame:
     """Service sites (site_id, x, y, services) of GeoJSON collections of points, as columns and rows of a grid (rounded halves to
     even). A collection that names another CRS is an error; with verified, sites not marked so are left out, and an
