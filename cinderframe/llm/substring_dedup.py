@@ -184,7 +184,7 @@ h AS (SELECT *, row_number() OVER (PARTITION BY doc_id, o ORDER BY i) AS k, coun
 e AS (SELECT doc_id, i, tok, w, CASE WHEN stop = 1 OR (k >= 8 AND size - k >= 8 AND (s + before) % 4 = 0) THEN 1 ELSE 0 END AS stop FROM h),
 n AS (SELECT *, CAST(coalesce(sum(stop) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS u FROM e),
 u AS (SELECT doc_id, u, min(i) AS a, max(i) AS z, string_agg(tok, '' ORDER BY i) AS tok FROM n GROUP BY doc_id, u),
-l AS (SELECT doc_id, list(w ORDER BY i) AS ws, CAST(max(u) AS BIGINT) AS last, max(i) AS m FROM n WHERE w <> '' GROUP BY doc_id),
+l AS (SELECT doc_id, CAST(max(u) AS BIGINT) AS last FROM n WHERE w <> '' GROUP BY doc_id),
 r AS (
   SELECT a.doc_id, a.u, CASE WHEN b.u IS NOT NULL THEN greatest(b.u, a.u + 1) WHEN a.u = 0 THEN 1000000000 END AS v
   FROM u a ASOF LEFT JOIN u b ON a.doc_id = b.doc_id AND a.a + 15 <= b.z),
@@ -192,9 +192,11 @@ p AS (
   SELECT r.doc_id, r.u, least(v, l.last) AS v FROM r JOIN l USING (doc_id) WHERE v <= l.last OR r.u = 0
   UNION
   SELECT b.doc_id, least(a.u, b.u - 1), b.u FROM u b ASOF JOIN u a ON a.doc_id = b.doc_id AND b.z - 15 >= a.a WHERE b.u > 0),
-q AS (
-  SELECT p.doc_id, p.u, p.v, row_number() OVER (PARTITION BY array_to_string(ws[x.a:y.z], ' ') ORDER BY p.doc_id, p.u, p.v) AS k
-  FROM p JOIN l USING (doc_id) JOIN u x ON x.doc_id = p.doc_id AND x.u = p.u JOIN u y ON y.doc_id = p.doc_id AND y.u = p.v),
+o AS (
+  SELECT p.doc_id, p.u, p.v, unnest(range(x.a, y.z + 1)) AS i
+  FROM p JOIN u x ON x.doc_id = p.doc_id AND x.u = p.u JOIN u y ON y.doc_id = p.doc_id AND y.u = p.v),
+m AS (SELECT o.doc_id, o.u, o.v, string_agg(w, ' ' ORDER BY o.i) AS words FROM o JOIN n ON n.doc_id = o.doc_id AND n.i = o.i GROUP BY ALL),
+q AS (SELECT *, row_number() OVER (PARTITION BY words ORDER BY doc_id, u, v) AS k FROM m),
 c AS (SELECT DISTINCT doc_id, unnest(range(u, v + 1)) AS u FROM q WHERE k > 1),
 s AS (
   SELECT u.doc_id, count(*) AS n_sentences, count(c.u) AS n_removed, string_agg(tok, '' ORDER BY u.u) FILTER (c.u IS NULL) AS text
