@@ -11,12 +11,14 @@ import numpy as np
 
 #: Table sizes and table numbers up to which the draws for discount and strength are exact; beyond, expected values.
 EXACT = 1 << 16
+#: Uniform draws keep this far from 0 and 1, so that rounding moves no customer to another dish.
+EDGE = 1e-6
 
 
 def _dish_totals(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Sums of consecutive runs of values, counts long."""
     ends = np.cumsum(counts)
-    run = np.concatenate(([0], np.cumsum(values)))
+    run = np.concatenate(([0], np.cumsum(values, dtype=np.int64)))
     return run[ends] - run[ends - counts]
 
 
@@ -71,17 +73,17 @@ class Level:
 
     def _over_tables(self, weight: np.ndarray, m: np.ndarray, rng: np.random.Generator) -> np.ndarray:
         """m customers of each dish dealt to its tables by weight, as a systematic sample (for one customer: a plain draw)."""
-        dish = np.repeat(np.arange(len(self.t)), self.t)
-        ends = np.cumsum(self.t)
+        some = self.t > 0
+        ends = np.cumsum(self.t)[some]
+        first, last = ends - self.t[some], ends - 1
         run = np.cumsum(weight)
-        before = np.concatenate(([0.0], run))[ends - self.t]
-        share = np.maximum(_dish_totals(weight, self.t), 1e-300)
-        place = np.floor((run - before[dish]) * (m / share)[dish] + rng.random(len(m))[dish])
-        place = np.minimum(place, m[dish]).astype(np.int64)
-        last = ends[self.t > 0] - 1
-        place[last] = m[self.t > 0]
+        before = run[first] - weight[first]
+        scale = m[some] / (run[last] - before)
+        shift = EDGE + (1 - 2 * EDGE) * rng.random(len(scale)) - before * scale
+        place = (run * np.repeat(scale, self.t[some]) + np.repeat(shift, self.t[some])).astype(np.int64)
+        place[last] = m[some]
         out = np.diff(place, prepend=0)
-        out[(ends - self.t)[self.t > 0]] = place[(ends - self.t)[self.t > 0]]
+        out[first] = place[first]
         return out
 
     def leave(self, m: np.ndarray, rng: np.random.Generator) -> None:
@@ -90,16 +92,21 @@ class Level:
         size = self.size - left
         self.c = self.c - _dish_totals(left, self.t)
         stays = size > 0
-        self.t = _dish_totals(stays.astype(np.int64), self.t)
-        self.size = size[stays]
+        if not stays.all():
+            self.t = _dish_totals(stays, self.t)
+            size = size[stays]
+        self.size = size
 
     def sit(self, m: np.ndarray, parent: np.ndarray, rng: np.random.Generator) -> None:
-        """m customers of each dish sit down under the weights at their start: at a new table, or at one by size less discount."""
+        """m customers of each dish sit down: at a new table, or at one by size less discount. The weights are those at their
+        start, but for their sum, which grows by one with each of them."""
         new, old = self.opening(parent), self.c - self.discount * self.t
-        opened = np.where(self.c > 0, rng.binomial(m, new / np.maximum(new + old, 1e-300)), m)
-        self.size = self.size + self._over_tables(self.size - self.discount, m - opened, rng)
-        self.size = np.insert(self.size, np.repeat(np.cumsum(self.t), opened), 1)
-        self.t, self.c = self.t + opened, self.c + m
+        opened = np.where(self.c > 0, rng.binomial(m, new / np.maximum(new + old + np.maximum(m - 1, 0) / 2, 1e-300)), m)
+        size = self.size + self._over_tables(self.size - self.discount, m - opened, rng)
+        t = self.t + opened
+        self.size = np.ones(t.sum(), np.int64)
+        self.size[np.arange(len(size)) + np.repeat(np.cumsum(opened) - opened, self.t)] = size
+        self.t, self.c = t, self.c + m
 
     def follow(self, customers: np.ndarray, parent: np.ndarray, rng: np.random.Generator) -> None:
         """Have as many customers of each dish as given: some leave at random, others come one by one, into a
@@ -115,17 +122,21 @@ class Level:
             if (self.c < customers).any():
                 self.sit(np.minimum(np.maximum(customers - self.c, 0), np.maximum(1, self.c // 4)), parent, rng)
 
-    def move(self, times: int, parent: np.ndarray, rng: np.random.Generator) -> None:
-        """Gibbs steps: a customer of each dish leaves and sits down anew given all others, once for each of its customers or `times` times."""
-        some = self.c > 1  # a single customer has a table in any case
-        if not some.any():
-            return
-        part, above = self.part(some), parent[some]
-        for i in range(times):
-            one = (part.c > max(i, 1)).astype(np.int64)
-            part.leave(one, rng)
-            part.sit(one, above, rng)
-        self.put(some, part)
+    def move(self, groups: int, parent: np.ndarray, rng: np.random.Generator, begin: int = 0) -> None:
+        """A Gibbs sweep: every customer of each dish leaves and sits down anew given all others, one at a time in a dish of up
+        to `groups` customers; those of a larger one in so many groups of equal size. Groups before `begin` have moved."""
+        for i in range(begin, groups):
+            some = self.c > max(i, 1)  # a single customer has a table in any case
+            if 4 * some.sum() < 3 * len(some):
+                if some.any():
+                    part = self.part(some)
+                    part.move(groups, parent[some], rng, i)
+                    self.put(some, part)
+                return
+            n = np.clip(self.c, 1, groups)
+            before = self.c
+            self.leave(np.where(some, before * (i + 1) // n - before * i // n, 0), rng)
+            self.sit(before - self.c, parent, rng)
 
     def evidence(self, rng: np.random.Generator) -> np.ndarray:
         """Sums of the auxiliary draws from which discount and strength are sampled: see sample_parameters."""
@@ -188,12 +199,12 @@ class Hierarchy:
             p = level.predictive(out[-1])
         return [*out, p]
 
-    def run(self, base: np.ndarray, sweeps: int, burn_in: int, moves: int, rng: np.random.Generator) -> np.ndarray:
+    def run(self, base: np.ndarray, sweeps: int, burn_in: int, groups: int, rng: np.random.Generator) -> np.ndarray:
         """Sample seatings and return the mean of the longest contexts' probabilities after each sweep behind burn_in.
 
         At first every dish has one table; under the probabilities that follow, all customers then sit down one
-        after the other. Each sweep moves customers from the longest contexts up; tables that open or close
-        there send customers to the parents or take them back.
+        after the other. Each sweep moves all customers (see Level.move) from the longest contexts up; tables that open
+        or close there send customers to the parents or take them back.
         """
         order = range(len(self.levels) - 1, -1, -1)
         for k in order:
@@ -206,7 +217,7 @@ class Hierarchy:
                 if not s:
                     level.one_table_each(np.zeros(len(level.keys), np.int64))
                 level.follow(self.rising(k), parents[k], rng)
-                level.move(moves, parents[k], rng)
+                level.move(groups, parents[k], rng)
             if s >= burn_in:
                 mean += self.predictive(base)[-1]
         return mean / (sweeps - burn_in)

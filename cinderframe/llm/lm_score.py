@@ -207,7 +207,7 @@ def _arrow(schema: T.StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
-def _fit(schema: T.StructType, order: int, last: bool, top: np.ndarray, parameters: list[tuple[float, float]], seed: list[int], sweeps: int, burn_in: int, moves: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _fit(schema: T.StructType, order: int, last: bool, top: np.ndarray, parameters: list[tuple[float, float]], seed: list[int], sweeps: int, burn_in: int, groups: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Sample the restaurants of every shard under the probabilities behind one byte (top, by two bytes).
 
     At last: a row of the shard's keys and the logs of their probabilities. Before: the customers that the shard
@@ -220,7 +220,7 @@ def _fit(schema: T.StructType, order: int, last: bool, top: np.ndarray, paramete
             keys, c = unpack(row["keys"], row["n"], np.uint64), unpack(row["c"], row["n"], np.int64)
             rng = np.random.default_rng([*seed, shard])
             model = Hierarchy(keys, c, SHARED, order, parameters)
-            p = model.run(top[model.roots.astype(np.int64)], sweeps, burn_in, moves, rng)
+            p = model.run(top[model.roots.astype(np.int64)], sweeps, burn_in, groups, rng)
             if last:
                 made = [{"shard": shard, "n": len(keys), "keys": pack(keys), "c": pack(np.log10(p).astype(np.float32))}]
             else:
@@ -296,7 +296,7 @@ def _added(row: pa.RecordBatch, tables: list[tuple[np.ndarray, np.ndarray]], n:
         a = b
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sweeps: int = 3, burn_in: int = 1, moves: int = 4, rounds: int = 1, parameters: tuple[float, float] = (0.5, 1.0), sampled: bool = True, order: int = ORDER, seed: int = 0) -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sweeps: int = 3, burn_in: int = 1, groups: int = 16, rounds: int = 1, parameters: tuple[float, float] = (0.5, 1.0), sampled: bool = True, order: int = ORDER, seed: int = 0) -> DataFrame:
     """id_col, held_out, n_tokens, n_known, train_tokens, base_score and score of every document.
 
     Words are lower-cased (A-Z) and split at ASCII white space; one end follows. Training uses documents that
@@ -307,7 +307,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Tasks turn chunks of documents into distinct runs of order + 1 bytes with counts (order is 2 to 6). All restaurants whose
     contexts end in the same SHARED bytes lie in one shard, where Gibbs sweeps move customers: one leaves and
     sits down given all others, tables that open or close change the parents' customers. In a sweep every
-    customer of a dish of up to `moves` moves once, of a larger dish `moves` of them; dishes move side by side.
+    customer of every dish moves once: one at a time in a dish of up to `groups` (2 at least) customers, in a larger
+    one in so many groups, whose customers leave and sit down side by side; dishes move side by side, too.
     The few restaurants behind one byte or none are sampled from the shards' tables. In each of the rounds
     before the last, of one sweep, discounts and strengths of all lengths (at first `parameters`) are sampled
     from the seating, unless sampled is false. Chunks then get the probabilities of their runs back and add them up over their texts. Draws
@@ -338,13 +339,13 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = T.StructType.fromDDL("dish long, sent long, level int, evidence array<double>")
     each = dealt(merged[RUNS].select("shard", "n", "keys", "c"), "shard", "n")
     for r in range(rounds):
-        out = scratch.cut(each.mapInArrow(_fit(found, order, False, top, values, [seed, r], 1, 0, moves), found))
+        out = scratch.cut(each.mapInArrow(_fit(found, order, False, top, values, [seed, r], 1, 0, groups), found))
         sent = np.zeros(1 << 16, np.int64)
         for x in out.filter("dish is not null").groupBy("dish").agg(F.sum("sent").alias("sent")).collect():  # at most 256 * 256 rows
             sent[x.dish] = x.sent
         rng = np.random.default_rng([seed, r])
         few = Hierarchy(pairs, sent, 0, SHARED - 1, values)
-        top = few.run(base[few.roots.astype(np.int64)], sweeps, burn_in, moves, rng)
+        top = few.run(base[few.roots.astype(np.int64)], sweeps, burn_in, groups, rng)
         evidence = {x.level: np.array(x.e) for x in out.filter("level is not null").groupBy("level").agg(F.array(*[F.sum(F.col("evidence")[i]) for i in range(4)]).alias("e")).collect()}
         evidence |= {k: level.evidence(rng) for k, level in enumerate(few.levels)}
         if sampled:
@@ -353,7 +354,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     answers = T.StructType.fromDDL("kind int, chunk long, n long, keys binary, c binary")
     one = T.StructType.fromDDL("shard int, n long, keys binary, c binary")
-    model = scratch.cut(each.mapInArrow(_fit(one, order, True, top, values, [seed, rounds], sweeps, burn_in, moves), one))
+    model = scratch.cut(each.mapInArrow(_fit(one, order, True, top, values, [seed, rounds], sweeps, burn_in, groups), one))
     told = []
     for k, known, kind in ((RUNS, model, np.float32), (WORDS, merged[WORDS], np.int64)):
         first = known.select(F.lit(k).alias("kind"), "shard", F.lit(None).cast("long").alias("chunk"), "n", "keys", "c")

@@ -531,6 +531,22 @@ def test_seating_has_the_exact_distribution():
     assert (level.c == np.arange(n) % 3).all() and ((level.t > 0) == (level.c > 0)).all()
 
 
+def test_every_customer_moves_in_a_sweep(monkeypatch):
+    """All customers of large dishes leave once a sweep; from a bad start their tables grow as when one moves at a time."""
+    c, n, tables = 400, 1500, {}
+    for groups in (16, c):
+        level = _seating.Level(np.arange(n, dtype=np.uint64) << np.uint64(8), 0.6, 0.8)
+        level.one_table_each(np.full(n, c))
+        rng, left, leave = np.random.default_rng(4), [], _seating.Level.leave
+        with monkeypatch.context() as patch:
+            patch.setattr(_seating.Level, "leave", lambda self, m, rng: (left.append(int(m.sum())), leave(self, m, rng))[1])
+            for _ in range(5):
+                level.move(groups, np.full(n, 0.9), rng)
+        assert sum(left) == 5 * c * n and level.c.tolist() == [c] * n and level.size.min() > 0 and level.size.sum() == c * n
+        tables[groups] = level.t.mean()
+    assert tables[16] == pytest.approx(tables[c], rel=0.06) and tables[c] > 4
+
+
 class BruteModel:
     """One customer at a time: every byte of every training text leaves and sits down anew, with tables as lists."""
 
