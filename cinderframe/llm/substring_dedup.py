@@ -149,16 +149,18 @@ def drop_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     scratch = Scratch(docs.sparkSession, "spans")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).withColumn("key", F.xxhash64("text"))
     counts = rows.select("text").mapInArrow(_hashes(span_words), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    repeated = scratch.cut(counts.filter("n > 1"))
+    repeated = scratch.cut(counts.filter("n > 1"), clean=True)
     place_kind = T.StructType([*T.StructType.fromDDL("h long, g int"), rows.schema["id"], *T.StructType.fromDDL("key long, pos long")])
     places = rows.mapInArrow(_places(span_words), place_kind)
     total = repeated.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     limit, spread = total // HOT, F.xxhash64("key", "pos", "id")
-    again = scratch.cut(_known(places, repeated, ["h"], spread, limit))
+    again = scratch.cut(_known(places, repeated, ["h"], spread, limit), clean=True)
+    scratch.drop(repeated)
     place = F.struct(F.col("id").isNull().alias("none"), "id", "key", "pos")
-    first = scratch.cut(again.groupBy("h", "g").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1"))
+    first = scratch.cut(again.groupBy("h", "g").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1"), clean=True)
     later = _known(again, first, ["h", "g"], spread, limit).filter(place != F.col("first"))
-    covered = later.groupBy("id", "key").agg(F.collect_set("pos").alias("spans")).withColumnsRenamed({"id": "c_id", "key": "c_key"})
+    covered = scratch.cut(later.groupBy("id", "key").agg(F.collect_set("pos").alias("spans")).withColumnsRenamed({"id": "c_id", "key": "c_key"}), clean=True)
+    scratch.drop(again, first)
     out = rows.join(covered, F.col("id").eqNullSafe(F.col("c_id")) & F.col("key").eqNullSafe(F.col("c_key")), "left").select("id", "text", "spans")
     kinds = T.StructType([rows.schema["id"], *T.StructType.fromDDL("n_sentences long, n_removed long, text string")])
     return out.mapInArrow(_without, kinds).withColumnRenamed("id", id_col)

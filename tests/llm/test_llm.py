@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import Row, functions as F, types as T
 
-from cinderframe.llm import _seating, chat_format, decontaminate, fingerprints, language_id, lm_score, near_dedup, source_mix, substring_dedup, token_files, url_filter
+from cinderframe.llm import _frames, _seating, chat_format, decontaminate, fingerprints, language_id, lm_score, near_dedup, source_mix, substring_dedup, token_files, url_filter
 from oracle import compare, connect
 
 SF = "/root/testdata/sf0.001"
@@ -163,6 +163,14 @@ def test_passage_of_fifty_words_behind_any_lead_in(spark):
     assert max(left) <= 30 and sum(left) / len(left) <= 15
 
 
+def test_spans_leave_one_small_table(spark, monkeypatch, tmp_path):
+    """Tables and shuffles that no later step reads are gone before the texts are shuffled."""
+    monkeypatch.setattr(_frames, "shared_folder", lambda spark: str(tmp_path))
+    got = substring_dedup.op1_substring_dedup(spark, SF)
+    assert len(list(tmp_path.glob("spans-*/*"))) == 1 and got.count() == 200
+    assert spark.conf.get(_frames.CLEAN, None) is None
+
+
 def test_spans_of_odd_rows(spark, odd, none):
     got = substring_dedup.drop_repeated_spans(odd).collect()
     assert len(got) == odd.count() and substring_dedup.drop_repeated_spans(none).count() == 0
