@@ -117,12 +117,7 @@ class _Pieces(dict):
             self.clear()
         out = self.before.get(piece)
         if out is None:
-            if piece == "\n":
-                out = self.encode(piece)
-            elif "\n" in piece:  # rarely seen again, so not remembered
-                first, *rest = piece.split("\n")
-                return self[first] + b"".join(self.bare["\n"] + self.bare[x] for x in rest)
-            elif piece.isalpha() and (piece.isascii() or max(piece) < "ɐ"):  # one word of the tokenizer's pattern
+            if piece.isalpha() and (piece.isascii() or max(piece) < "ɐ"):  # one word of the tokenizer's pattern
                 out = self.word(self.lead + piece)
             else:
                 core = piece.rstrip(self.TAIL)
@@ -164,12 +159,17 @@ class Encoder:
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
-        words, gaps = text.split(), text.count(" ") + text.count("\n")
-        single = gaps == len(words) - 1 and gaps + sum(map(len, words)) == len(text)  # all white space, one between two words
-        if not single or "<|" in text:
+        if "<|" in text:
             return self.encode(text)
-        first, *rest = text.split(" ")
-        return self.bare[first] + b"".join(map(self.spaced.__getitem__, rest))
+        out: list[bytes] = []
+        for line in text.split("\n"):
+            words = line.split()
+            if not words or " ".join(words) != line:  # other white space, or not single between two words
+                return self.encode(text)
+            rest = iter(words)
+            out += (self.bare["\n"], self.bare[next(rest)])
+            out += map(self.spaced.__getitem__, rest)
+        return b"".join(out[1:])
 
 
 _encoders: dict[str, Encoder] = {}

@@ -327,6 +327,20 @@ def reference_ids(text):
     return tk.encode(text or "", add_special_tokens=False).ids + [0]
 
 
+def test_pieces_of_lines_are_remembered(monkeypatch):
+    """A text of several lines that was encoded once asks for nothing new."""
+    import public_tokenizers
+
+    encode = token_files.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    missed, missing = [], token_files._Pieces.__missing__
+    monkeypatch.setattr(token_files._Pieces, "__missing__", lambda self, piece: (missed.append(piece), missing(self, piece))[1])
+    text = "One line of words.\nAnother line\nand words"
+    ids = encode(text)
+    assert np.frombuffer(ids, "<u4").tolist() == reference_ids(text)[:-1] and missed
+    missed.clear()
+    assert encode(text) == ids and not missed
+
+
 def test_token_table_against_the_library(spark, odd, none):
     got = token_files.token_table(odd).orderBy("start").collect()
     order = sorted(((r.doc_id, r.text) for r in odd.collect()), key=lambda x: (x[0] is not None, x[0] or 0))
