@@ -7,19 +7,45 @@ without its first byte, and every table is a customer of the same symbol there.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 #: Table sizes and table numbers up to which the draws for discount and strength are exact; beyond, expected values.
 EXACT = 1 << 16
 #: Uniform draws keep this far from 0 and 1, so that rounding moves no customer to another dish.
 EDGE = 1e-6
+#: Tables handled at once: the arrays of a step over them stay in the processor's cache.
+STEP_TABLES = 1 << 15
 
 
 def _dish_totals(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Sums of consecutive runs of values, counts long."""
-    ends = np.cumsum(counts)
-    run = np.concatenate(([0], np.cumsum(values, dtype=np.int64)))
-    return run[ends] - run[ends - counts]
+    out, some = np.zeros(len(counts), np.int64), counts > 0
+    if len(values):
+        out[some] = np.add.reduceat(values, (np.cumsum(counts) - counts)[some], dtype=np.int64)
+    return out
+
+
+def _dealt(weight: np.ndarray, ends: np.ndarray, t: np.ndarray, m: np.ndarray, shift: np.ndarray) -> np.ndarray:
+    """m customers of each dish dealt to its tables (t, one at least, up to ends) by weight, as a systematic sample that begins at shift."""
+    run = np.cumsum(weight)
+    last = ends - 1
+    upto = run[last]
+    before = np.append(0.0, upto[:-1])
+    line = np.empty(len(t), complex)  # both numbers are repeated at once
+    line.real = m / (upto - before)
+    line.imag = shift - before * line.real
+    line = np.repeat(line, t)
+    run *= line.real
+    run += line.imag
+    place = run.astype(np.int64)
+    place[last] = m
+    out = np.empty_like(place)
+    np.subtract(place[1:], place[:-1], out=out[1:])
+    first = ends - t
+    out[first] = place[first]
+    return out
 
 
 def _distinct(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -71,42 +97,50 @@ class Level:
         """Probability of every dish in its restaurant, given that of its symbol in the parent."""
         return (self.c - self.discount * self.t + self.opening(parent)) / (self.strength + self.total(self.c))[self.room]
 
-    def _over_tables(self, weight: np.ndarray, m: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-        """m customers of each dish dealt to its tables by weight, as a systematic sample (for one customer: a plain draw)."""
+    def _over_tables(self, m: np.ndarray, less: float, rng: np.random.Generator) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+        """m customers of each dish dealt to its tables by size less a number, as a systematic sample (for one customer: a
+        plain draw). Until all had their turn: some dishes, where the tables of each end, the tables' sizes, the customers for each."""
         some = self.t > 0
-        ends = np.cumsum(self.t)[some]
-        first, last = ends - self.t[some], ends - 1
-        run = np.cumsum(weight)
-        before = run[first] - weight[first]
-        scale = m[some] / (run[last] - before)
-        shift = EDGE + (1 - 2 * EDGE) * rng.random(len(scale)) - before * scale
-        place = (run * np.repeat(scale, self.t[some]) + np.repeat(shift, self.t[some])).astype(np.int64)
-        place[last] = m[some]
-        out = np.diff(place, prepend=0)
-        out[first] = place[first]
-        return out
+        shift = EDGE + (1 - 2 * EDGE) * rng.random(some.sum())
+        if not some.all():
+            shift, all_shifts = np.zeros(len(some)), shift
+            shift[some] = all_shifts
+        ends, a, x = np.cumsum(self.t), 0, 0
+        while a < len(ends):
+            b = max(a + 1, int(np.searchsorted(ends, x + STEP_TABLES, "right")))
+            y = int(ends[b - 1])
+            size, own = self.size[x:y], ends[a:b] - x
+            parts = own, self.t[a:b], m[a:b], shift[a:b]
+            if not some[a:b].all():
+                parts = [v[some[a:b]] for v in parts]
+            yield slice(a, b), own, size, _dealt(size - less, *parts)
+            a, x = b, y
 
     def leave(self, m: np.ndarray, rng: np.random.Generator) -> None:
         """m customers of each dish, picked at random, stand up; empty tables go."""
-        left = np.minimum(self._over_tables(self.size.astype(float), m, rng), self.size)
-        size = self.size - left
-        self.c = self.c - _dish_totals(left, self.t)
-        stays = size > 0
-        if not stays.all():
-            self.t = _dish_totals(stays, self.t)
-            size = size[stays]
-        self.size = size
+        c, t, kept = self.c - m, self.t.copy(), [self.size[:0]]
+        for own, ends, old, left in self._over_tables(m, 0.0, rng):
+            size = old - left
+            if len(size) and size.min() < 0:  # rounding: as many as sit there
+                np.maximum(size, 0, out=size)
+                c[own] = _dish_totals(size, self.t[own])
+            gone = np.flatnonzero(size == 0)
+            if len(gone):
+                t[own] -= np.bincount(np.searchsorted(ends, gone, "right"), minlength=len(ends))
+                size = size[size > 0]
+            kept.append(size)
+        self.c, self.t, self.size = c, t, np.concatenate(kept)
 
     def sit(self, m: np.ndarray, parent: np.ndarray, rng: np.random.Generator) -> None:
         """m customers of each dish sit down: at a new table, or at one by size less discount. The weights are those at their
         start, but for their sum, which grows by one with each of them."""
         new, old = self.opening(parent), self.c - self.discount * self.t
         opened = np.where(self.c > 0, rng.binomial(m, new / np.maximum(new + old + np.maximum(m - 1, 0) / 2, 1e-300)), m)
-        size = self.size + self._over_tables(self.size - self.discount, m - opened, rng)
-        t = self.t + opened
-        self.size = np.ones(t.sum(), np.int64)
-        self.size[np.arange(len(size)) + np.repeat(np.cumsum(opened) - opened, self.t)] = size
-        self.t, self.c = t, self.c + m
+        kept = [self.size[:0]]
+        for own, ends, size, more in self._over_tables(m - opened, self.discount, rng):
+            some = opened[own]
+            kept.append(np.insert(size + more, np.repeat(ends, some), 1) if some.any() else size + more)
+        self.t, self.c, self.size = self.t + opened, self.c + m, np.concatenate(kept)
 
     def follow(self, customers: np.ndarray, parent: np.ndarray, rng: np.random.Generator) -> None:
         """Have as many customers of each dish as given: some leave at random, others come one by one, into a

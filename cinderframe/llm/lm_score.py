@@ -27,8 +27,8 @@ ORDER = 6
 SPACE, END, START, SYMBOLS = b" ", b"\r", b"\t", 252
 #: Contexts of fewer bytes are sampled in one place: at most 256 * 256 dishes, whatever the corpus.
 SHARED = 2
-#: Bytes of text after which a task begins a new chunk, bytes looked up at once, and entries merged at once.
-CHUNK_BYTES, STEP_BYTES, MERGE = 16 << 20, 1 << 20, 700_000
+#: Bytes of text after which a task begins a new chunk, bytes looked up at once, entries merged at once, and keys sorted at once.
+CHUNK_BYTES, STEP_BYTES, MERGE, SORT = 16 << 20, 1 << 20, 700_000, 2 << 20
 #: The hash that stands for the end in the table of words.
 END_HASH = 0
 
@@ -44,15 +44,18 @@ def symbols(text: bytes) -> bytes:
     return SPACE.join(words) + SPACE * bool(words) + END
 
 
+def run_keys(texts: list[bytes], order: int) -> np.ndarray:
+    """For every symbol of texts made by symbols(): `order` symbols before it with it as one number."""
+    a = np.frombuffer(b"".join([*(START * order + x for x in texts), START * 7]), np.uint8)  # 7 more: 8 bytes can be read anywhere
+    n = max(0, len(a) - 7 - order)
+    key = np.ndarray(n, ">u8", a, strides=(1,)).astype(np.uint64)
+    key >>= np.uint64(8 * (7 - order))
+    return key[a[order : n + order] != START[0]]
+
+
 def runs(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """For every symbol of texts made by symbols(): its text, and `order` symbols before it with it as one number."""
-    a = np.frombuffer(b"".join(START * order + x for x in texts), np.uint8)
-    n = len(a) - order
-    key = np.zeros(max(0, n), np.uint64)
-    for i in range(order + 1):
-        key = (key << np.uint64(8)) | a[i : n + i]
-    doc = np.repeat(np.arange(len(texts)), np.fromiter(map(len, texts), np.int64, len(texts)))
-    return doc, key[a[order:] != START[0]]
+    """Text and run of every symbol."""
+    return np.repeat(np.arange(len(texts)), np.fromiter(map(len, texts), np.int64, len(texts))), run_keys(texts, order)
 
 
 def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -62,16 +65,16 @@ def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def tally(keys: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order, and the sums of their c."""
-    order = np.argsort(keys)
+    """Distinct keys in order, and the sums of their c. The sort is fast where the keys are a few ordered runs."""
+    order = np.argsort(keys, kind="stable")
     keys, c = keys[order], c[order]
     at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
     return keys[at], np.add.reduceat(c, at) if len(at) else c
 
 
 def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct numbers in order, and how often each occurs; sorting alone is much faster than sorting with places."""
-    keys = np.sort(keys)
+    """Distinct numbers in order, and how often each occurs; sorting alone, here in place, is much faster than sorting with places."""
+    keys.sort()
     at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
     return keys[at], np.diff(np.append(at, len(keys)))
 
@@ -97,22 +100,35 @@ class _Counts:
 
     def __init__(self) -> None:
         self.keys, self.c, self.new = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
+        self.seen: tuple[list, list] = ([], [])
+
+    def see(self, keys: np.ndarray, count: bool) -> None:
+        """Keys in any order, as often as they occur; without count they add nothing to the sums."""
+        self.seen[count].append(keys)
+        if sum(len(k) for x in self.seen for k in x) > SORT:
+            self._sorted()
+
+    def _sorted(self) -> None:
+        for times, x in enumerate(self.seen):
+            if x:
+                keys, n = counted(np.concatenate(x))
+                x.clear()
+                self.add(keys, n * times)
 
     def add(self, keys: np.ndarray, c: np.ndarray) -> None:
+        """Distinct keys in order."""
         self.new.append((keys, c))
         if sum(len(k) for k, _ in self.new) > MERGE:
-            self.merged()
+            self._merge()
 
-    def merged(self) -> tuple[np.ndarray, np.ndarray]:
+    def _merge(self) -> None:
         if self.new:
-            keys, c = tally(*(np.concatenate(x) for x in zip(*self.new, strict=True)))
+            self.keys, self.c = tally(*(np.concatenate(x) for x in zip((self.keys, self.c), *self.new, strict=True)))
             self.new.clear()
-            at = np.searchsorted(self.keys, keys)
-            same = np.zeros(len(keys), bool)
-            inside = at < len(self.keys)
-            same[inside] = self.keys[at[inside]] == keys[inside]
-            self.c[at[same]] += c[same]
-            self.keys, self.c = np.insert(self.keys, at[~same], keys[~same]), np.insert(self.c, at[~same], c[~same])
+
+    def merged(self) -> tuple[np.ndarray, np.ndarray]:
+        self._sorted()
+        self._merge()
         return self.keys, self.c
 
 
@@ -143,7 +159,7 @@ def _count(shards: int, order: int, schema: T.StructType) -> Callable[[Iterator[
             for kind in (RUNS, WORDS):
                 keys, c = counts[kind].merged()
                 own = _shards_of(keys, kind, shards)
-                by = np.argsort(own, kind="stable")
+                by = np.argsort(own.astype(np.uint16) if shards <= 1 << 16 else own, kind="stable")  # a radix sort
                 keys, c, own = keys[by], c[by], own[by]
                 at = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
                 parts = list(zip(at, np.append(at[1:], len(own)), strict=True))
@@ -151,12 +167,11 @@ def _count(shards: int, order: int, schema: T.StructType) -> Callable[[Iterator[
 
         for batch, raw in blocks(batches, limit=STEP_BYTES):
             new = [symbols(x) for x in raw]
-            kept = ~np.asarray(batch.column("held_out"))
-            doc, keys = runs(new, order)
-            keys, n = counted((keys << np.uint64(1)) | kept[doc])
-            counts[RUNS].add(*tally(keys >> np.uint64(1), n * (keys & np.uint64(1)).astype(np.int64)))
-            doc, keys = words_of(new)
-            counts[WORDS].add(*tally(keys, kept[doc].astype(np.int64)))
+            for held in (True, False):
+                some = [x for x, h in zip(new, batch.column("held_out").to_pylist(), strict=True) if h == held]
+                if some:
+                    counts[RUNS].see(run_keys(some, order), not held)
+                    counts[WORDS].see(words_of(some)[1], not held)
             one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
             lengths = pa.array([len(x) for x in new], pa.int32())
             n, id_type = sum(map(len, new)), batch.column("id").type
@@ -284,13 +299,14 @@ def _added(row: pa.RecordBatch, tables: list[tuple[np.ndarray, np.ndarray]], n:
         texts = [bytes(raw[int(ends[k - 1]) if k else 0 : int(ends[k])]) for k in range(a, b)]
         doc, keys = runs(texts, order)
         keys, times = counted((keys << np.uint64(8)) | doc.astype(np.uint64))  # runs have 7 bytes, texts a number below 256
-        at, which = _distinct(keys >> np.uint64(8))
-        logs = tables[RUNS][1][np.searchsorted(tables[RUNS][0], keys[at] >> np.uint64(8))].astype(float)
+        own = keys >> np.uint64(8)
+        at, which = _distinct(own)
+        logs = tables[RUNS][1][np.searchsorted(tables[RUNS][0], own[at])].astype(float)
         sums = {"score": np.bincount((keys & np.uint64(255)).astype(np.int64), logs[which] * times, b - a)}
         doc, keys = words_of(texts)
         own, which = np.unique(keys, return_inverse=True)
-        c = tables[WORDS][1][np.searchsorted(tables[WORDS][0], own)][which]
-        sums |= {"n_tokens": np.bincount(doc, minlength=b - a), "n_known": np.bincount(doc, c > 0, b - a).astype(np.int64), "logs": np.bincount(doc, np.log10(c + 1.0), b - a)}
+        c = tables[WORDS][1][np.searchsorted(tables[WORDS][0], own)]
+        sums |= {"n_tokens": np.bincount(doc, minlength=b - a), "n_known": np.bincount(doc, (c > 0)[which], b - a).astype(np.int64), "logs": np.bincount(doc, np.log10(c + 1.0)[which], b - a)}
         made = {"id": ids.slice(a, b - a), "held_out": held.slice(a, b - a)} | {k: pa.array(x) for k, x in sums.items()}
         yield pa.RecordBatch.from_arrays([made[x] for x in schema.names], names=schema.names)
         a = b

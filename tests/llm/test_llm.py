@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -569,6 +570,56 @@ def test_every_customer_moves_in_a_sweep(monkeypatch):
     assert tables[16] == pytest.approx(tables[c], rel=0.06) and tables[c] > 4
 
 
+def seated(n, c):
+    """n dishes, every fifth empty, in restaurants of 50, with up to c customers each."""
+    level = _seating.Level(np.arange(n, dtype=np.uint64) // np.uint64(50) * np.uint64(256) + np.arange(n, dtype=np.uint64) % np.uint64(50), 0.6, 0.8)
+    rng = np.random.default_rng(5)
+    level.follow(np.where(np.arange(n) % 5, rng.integers(0, c, n), 0), np.full(n, 0.4), rng)
+    return level
+
+
+def test_seating_goes_by_steps(monkeypatch):
+    """Steps of any size draw the same seats, and a step's arrays, not those of all tables, are what is held."""
+    made = []
+    for tables in (40, 1 << 30):
+        monkeypatch.setattr(_seating, "STEP_TABLES", tables)
+        level = seated(1000, 120)
+        level.move(16, np.full(1000, 0.4), np.random.default_rng(6))
+        made.append((level.c.tolist(), level.t.tolist(), level.size.tolist()))
+    assert made[0] == made[1] and sum(made[0][2]) == sum(made[0][0]) and made[0][1][0] == 0
+    monkeypatch.undo()
+    level = _seating.Level(np.arange(2000, dtype=np.uint64) << np.uint64(8), 0.6, 0.8)
+    level.c, level.t, level.size = np.full(2000, 800), np.full(2000, 400), np.full(800_000, 2)
+    rng, base = np.random.default_rng(7), np.full(2000, 0.4)
+    for step in (lambda: level.leave(np.full(2000, 50), rng), lambda: level.sit(np.full(2000, 50), base, rng)):
+        tracemalloc.start()
+        step()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 3 * level.size.nbytes  # the new sizes, once in pieces; before: 5 and more
+    ends = np.cumsum(level.t)
+    assert np.diff(np.cumsum(level.size)[ends - 1], prepend=0).tolist() == level.c.tolist() == [800] * 2000
+
+
+def test_runs_and_their_counts(monkeypatch):
+    """Runs of every order and their numbers, sorted and merged in pieces, as Python counts them."""
+    texts = [lm_score.symbols(x) for x in (b"A bc a", b"", "\u00e9t\u00e9 \u4e2d".encode(), b"a bc a bc")]
+    for order in range(2, 7):
+        want = [(i, int.from_bytes((b"\t" * order + x)[k : k + order + 1], "big")) for i, x in enumerate(texts) for k in range(len(x))]
+        doc, keys = lm_score.runs(texts, order)
+        assert list(zip(doc.tolist(), keys.tolist(), strict=True)) == want
+    assert [len(x) for x in lm_score.runs([], 6)] == [0, 0]
+    monkeypatch.setattr(lm_score, "SORT", 50)
+    monkeypatch.setattr(lm_score, "MERGE", 30)
+    rng, counts, want = np.random.default_rng(8), lm_score._Counts(), Counter()
+    for _ in range(40):
+        keys, count = rng.integers(0, 60, 23).astype(np.uint64), bool(rng.random() < 0.7)
+        counts.see(keys, count)
+        want.update(keys.tolist() if count else dict.fromkeys(keys.tolist(), 0))
+    keys, c = counts.merged()
+    assert dict(zip(keys.tolist(), c.tolist(), strict=True)) == dict(want) and keys.tolist() == sorted(want)
+
+
 class BruteModel:
     """One customer at a time: every byte of every training text leaves and sits down anew, with tables as lists."""
 
