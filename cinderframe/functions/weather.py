@@ -27,8 +27,9 @@ def ramp(x: Column, low: float, high: float) -> Column:
 
 
 def saturation_vapour_pressure_pa(celsius: Column) -> Column:
+    """Magnus form; at its pole the limit from above, 0."""
     a, b, c = MAGNUS
-    return a * F.exp(b * celsius / (celsius + c))
+    return F.when(celsius + c == 0, 0.0).otherwise(a * F.exp(b * celsius / (celsius + c)))
 
 
 def vapour_pressure_deficit_pa(celsius: Column, humidity_pct: Column) -> Column:
@@ -85,10 +86,11 @@ def curing_fraction(live_moisture: Column) -> Column:
 
 
 def downscaled(celsius: Column, humidity_pct: Column, elevation: Column, reference: Column, lapse: float = -0.0065) -> tuple[Column, Column]:
-    """(temperature, humidity) at an elevation from those at a reference: a lapse rate, with vapour pressure kept."""
+    """(temperature, humidity) at an elevation from those at a reference: a lapse rate, with vapour pressure kept. Air so cold that
+    it holds no vapour is saturated."""
     there = celsius + lapse * (elevation - reference)
-    vapour = humidity_pct / 100 * saturation_vapour_pressure_pa(celsius)
-    return there, clip(100 * vapour / saturation_vapour_pressure_pa(there), 0.0, 100.0)
+    vapour, most = humidity_pct / 100 * saturation_vapour_pressure_pa(celsius), saturation_vapour_pressure_pa(there)
+    return there, F.when(most == 0, 100.0).otherwise(clip(100 * vapour / F.nullif(most, F.lit(0.0)), 0.0, 100.0))
 
 
 def half_life(value: Column, elapsed: Column, life: Column) -> Column:
