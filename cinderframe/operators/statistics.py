@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cinderframe.sources.tables import checkpoint_folder
@@ -106,8 +108,9 @@ def numbered(rows: DataFrame, order: str | list[str], by: list[str] | None = Non
     return ranged.withColumn("_r", inside).join(counts, same).select(*rows.columns, (F.col("_o") + F.col("_r") - 1).alias("number"))
 
 
-def quantiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, float], most: int = 100_000, buckets: int = 1024) -> DataFrame:
-    """Exact quantiles by group: by and a column for each name in shares, interpolated between the two nearest ranks.
+def quantiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, float], most: int = 100_000, buckets: int = 1024, discrete: bool = False) -> DataFrame:
+    """Exact quantiles by group: by and a column for each name in shares, interpolated between the two nearest ranks; discrete,
+    the least value with that share of rows at or below it.
 
     No group is brought together. Values are counted in `buckets` equal parts of the group's range; for each rank that
     is wanted only the part that holds it goes on, cut again while it has more than `most` rows that are not all
@@ -119,6 +122,9 @@ def quantiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, floa
     x = rows.select(key.alias("k"), F.col(value).cast("double").alias("v")).filter("v is not null and not isnan(v)")
     spans = x.groupBy("k").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     at = {name: F.lit(float(p)) * (F.col("n") - 1) for name, p in shares.items()}
+    if discrete:  # the share as a fraction of whole numbers, so that ranks are exact
+        parts = {name: Fraction(str(p)) for name, p in shares.items()}
+        at = {name: F.greatest(F.lit(0).cast("long"), F.expr(f"(n * {p.numerator}L + {p.denominator - 1}L) div {p.denominator}L") - 1) for name, p in parts.items()}
     ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(a), F.ceil(a)) for a in at.values()])))
     wanted = spans.withColumn("before", F.lit(0).cast("long")).withColumn("rank", F.explode(ranks)).withColumn("size", F.col("n"))
     while True:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from cinderframe.functions import weather as wx
+from cinderframe.operators import profile
 
 
 def test_vapour_at_the_pole_of_its_formula(spark):
@@ -16,3 +19,16 @@ def test_vapour_at_the_pole_of_its_formula(spark):
     got = df.select(wx.saturation_vapour_pressure_pa(F.col("c")).alias("p"), t.alias("t"), h.alias("h")).collect()
     assert [r.h for r in got] == [100.0, 100.0, pytest.approx(50.0), pytest.approx(0.0, abs=1e-9)]
     assert got[0].p == 0.0 and got[3].t == -370.0
+
+
+def test_percentiles_are_exact(spark):
+    """More values than a sketch tells apart; a null group, nulls, and a group of nulls alone."""
+    v = [float(i) for i in range(200_000)]
+    random.Random(3).shuffle(v)
+    rows = [("a", x) for x in v] + [(None, x) for x in v[:50_001]] + [("a", None), ("b", None), ("c", 4.0)]
+    got = {r.k: r for r in profile.latency(spark.createDataFrame(rows, "k string, s double").repartition(7), ["k"], "s").collect()}
+    small = sorted(v[:50_001])
+    assert (got["a"].n, got["a"].p50, got["a"].p95, got["a"].p99) == (200_001, 99_999.0, 189_999.0, 197_999.0)
+    assert [got[None].p50, got[None].p95, got[None].p99] == [small[25_000], small[47_500], small[49_500]]
+    assert (got["b"].n, got["b"].p50, got["b"].per_second, got["c"].p50, got["c"].per_second) == (1, None, None, 4.0, 0.25)
+    assert profile.latency(spark.createDataFrame(rows[:200_000], "k string, s double"), [], "s").first().p95 == 189_999.0
