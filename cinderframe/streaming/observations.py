@@ -90,16 +90,24 @@ def current(rows: DataFrame, keys: list[str], order: str | list[str]) -> DataFra
 
 
 def _until_terminal(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    ended = state.exists and state.get[0]
+    """An episode comes in parts, in any order: steps after the earliest terminal one so far go at once, others wait for the rest."""
+    over = state.exists and state.get[0]
+    held, stop, ended = [], None, over
     for pdf in batches:
-        pdf = pdf.sort_values(["minute"])
-        if not ended:
-            stop = pdf["terminal"].to_numpy().nonzero()[0]
-            yield pdf if not len(stop) else pdf.iloc[: stop[0] + 1]
-            ended = bool(len(stop))
+        if over:
+            continue
+        ends = pdf.loc[pdf["terminal"].eq(True), "minute"]
+        ended = ended or bool(len(ends))
+        if ends.notna().any() and (stop is None or ends.min() < stop):
+            stop = ends.min()
+            held = [x[x["minute"] <= stop] for x in held]
+        held.append(pdf if stop is None else pdf[pdf["minute"] <= stop])
+    if held:
+        yield pd.concat(held).sort_values("minute", kind="stable")
     state.update((bool(ended),))
 
 
 def until_terminal(stream: DataFrame) -> DataFrame:
-    """Steps (episode_id, minute, terminal) up to the first terminal one of each episode; later input is ignored."""
+    """Steps (episode_id, minute, terminal) up to the minute of the first terminal one of each episode among what a trigger takes;
+    input of later triggers is ignored."""
     return stream.select("episode_id", "minute", "terminal").groupBy("episode_id").applyInPandasWithState(_until_terminal, "episode_id string, minute long, terminal boolean", "ended boolean", "append", GroupStateTimeout.NoTimeout)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cinderframe.functions import weather as wx
 from cinderframe.operators import profile
+from cinderframe.streaming import observations as ob
 
 
 def test_vapour_at_the_pole_of_its_formula(spark):
@@ -32,3 +33,20 @@ def test_percentiles_are_exact(spark):
     assert [got[None].p50, got[None].p95, got[None].p99] == [small[25_000], small[47_500], small[49_500]]
     assert (got["b"].n, got["b"].p50, got["b"].per_second, got["c"].p50, got["c"].per_second) == (1, None, None, 4.0, 0.25)
     assert profile.latency(spark.createDataFrame(rows[:200_000], "k string, s double"), [], "s").first().p95 == 189_999.0
+
+
+def test_terminal_step_in_a_later_part(spark, tmp_path):
+    """An episode of several parts within one trigger, not in order of time."""
+    rows = [("e", m, m in (10, 20, 40)) for m in reversed(range(50))] + [("f", m, False) for m in range(7)]
+    spark.createDataFrame(rows, "episode_id string, minute long, terminal boolean").coalesce(1).write.parquet(str(tmp_path / "in"))
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, 4)
+    try:
+        src = spark.readStream.schema("episode_id string, minute long, terminal boolean").parquet(str(tmp_path / "in"))
+        q = ob.until_terminal(src).writeStream.outputMode("append").format("memory").queryName("terminal_parts").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        spark.conf.set(size, before)
+    got = spark.table("terminal_parts").collect()
+    assert sorted(r.minute for r in got if r.episode_id == "e") == list(range(11)) and sum(r.episode_id == "f" for r in got) == 7
