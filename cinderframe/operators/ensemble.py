@@ -18,7 +18,7 @@ def perimeter_likelihood(predicted: DataFrame, observed: DataFrame, grid: DataFr
     size = grid.groupBy(*keys).agg((F.max("y") - F.min("y") + 1).alias("_h"), (F.max("x") - F.min("x") + 1).alias("_w"))
     count = lambda df, name: df.groupBy(*keys).agg(F.count("*").alias(name))
     out = size.join(count(predicted, "n_p"), keys, "left").join(count(observed, "n_o"), keys, "left").fillna(0, ["n_p", "n_o"])
-    out = out.join(raster.boundary_distances(predicted, observed, grid, keys, cell).select(*keys, "mean_m"), keys, "left")
+    out = out.join(raster.boundary_gaps(predicted, observed, grid, keys, cell).groupBy(*keys).agg(F.avg("m").alias("mean_m")), keys, "left")
     residual = F.when((F.col("n_p") == 0) & (F.col("n_o") == 0), 0.0).when((F.col("n_p") == 0) | (F.col("n_o") == 0), F.hypot(F.col("_h"), F.col("_w")) * cell).otherwise(F.col("mean_m"))
     ratio = F.log(F.greatest(F.col("n_p").cast("double"), F.lit(0.5)) / F.greatest(F.col("n_o").cast("double"), F.lit(0.5)))
     out = out.select(*keys, residual.alias("boundary_residual_m"), ratio.alias("log_area_ratio"))
