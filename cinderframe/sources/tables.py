@@ -54,10 +54,11 @@ def bounding_box(geometry: Column) -> Column:
     return F.array(F.array_min(numbers), F.array_min(other), F.array_max(numbers), F.array_max(other))
 
 
-def read_items(spark: SparkSession, path: str) -> DataFrame:
-    """Assets of item documents {id, properties, assets: {name: {href}}}: path, item_id, properties, asset, href."""
+def read_items(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Assets of item documents {id, properties, assets: {name: {href}}}, one a file (or a line): path, item_id, properties, asset,
+    href."""
     kind = "id string, properties map<string,string>, assets map<string, struct<href: string>>"
-    docs = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.from_json("value", kind).alias("d"))
+    docs = spark.read.text(path, wholetext=not lines).select(F.input_file_name().alias("path"), F.from_json("value", kind).alias("d"))
     out = docs.select("path", F.col("d.id").alias("item_id"), "d.properties", F.explode("d.assets").alias("asset", "link"))
     return out.select("path", "item_id", "properties", "asset", F.col("link.href").alias("href"))
 

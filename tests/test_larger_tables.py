@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cinderframe.functions import weather as wx
 from cinderframe.operators import profile, raster
 from cinderframe.plans import source_queries
+from cinderframe.sources import tables
 from cinderframe.streaming import observations as ob
 
 
@@ -117,3 +118,23 @@ def test_parts_take_few_steps(spark, monkeypatch):
     df = spark.range(40 * 256).select(F.col("id").cast("int").alias("y"), (F.col("id") % 2).cast("int").alias("x"))
     assert raster.component_labels(df, []).select("label").distinct().count() == 1
     assert len(n) <= 6
+
+
+def test_items_by_line_and_by_file(spark, tmp_path):
+    """Documents one a line give what they give one a file, with line ends and nulls inside them."""
+    docs = [f'{{"id": "i{k}", "properties": {{"name": "a\\nb{k}"}}, "assets": {{"main": {{"href": "x/{k}"}}, "more": {{"href": null}}}}}}' for k in range(5)]
+    for k, doc in enumerate(docs):
+        (tmp_path / "each").mkdir(exist_ok=True)
+        (tmp_path / "each" / f"{k}.json").write_text(doc)
+    (tmp_path / "lines").mkdir()
+    (tmp_path / "lines" / "all.json").write_text("\n".join(docs) + "\n")
+    plain = lambda df: sorted((r.item_id, r.properties["name"], r.asset, r.href or "") for r in df.collect())
+    got = plain(tables.read_items(spark, str(tmp_path / "lines"), lines=True))
+    assert got == plain(tables.read_items(spark, str(tmp_path / "each"))) and len(got) == 10 and got[0][:2] == ("i0", "a\nb0")
+
+
+def test_items_make_few_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(source_queries, "scratch_folder", lambda spark, name: str(tmp_path / name))
+    spark.range(300).selectExpr("id AS s_suppkey", "'n' AS s_name").write.parquet(str(tmp_path / "supplier.parquet"))
+    assert source_queries.q_item_assets(spark, str(tmp_path)).count() == 300
+    assert sum(f.is_file() for f in (tmp_path / "items").rglob("*")) < 50
