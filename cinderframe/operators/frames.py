@@ -71,9 +71,10 @@ def union_area(polygons: DataFrame, keys: list[str], polygon: str, height: float
     The plane is cut into slabs at every corner and every crossing of two edges, so inside a slab no edges cross
     and the union's width changes evenly: its area is its width halfway up times its height. In a slab each polygon
     is a few intervals, and overlapping intervals of all polygons are merged as gaps and islands. Edges meet
-    each other and slabs in bands of `height`, about the usual height of an edge. Polygons of no area give none.
+    each other and slabs in bands of `height`, about the usual height of an edge. Polygons of no area give none, and equal
+    ones, which cover what one covers, are taken once.
     """
-    e = _edges(polygons, keys, polygon)
+    e = _edges(polygons.select(*keys, polygon).distinct(), keys, polygon)
     met = overlapping(e, e, keys, "y0", "y1", height).filter("l.dx < r.dx")
     y = (F.col("r.x0") - F.col("r.dx") * F.col("r.y0") - F.col("l.x0") + F.col("l.dx") * F.col("l.y0")) / (F.col("l.dx") - F.col("r.dx"))
     inside = (y > F.greatest("l.y0", "r.y0")) & (y < F.least("l.y1", "r.y1"))

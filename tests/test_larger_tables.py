@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cinderframe.functions import weather as wx
-from cinderframe.operators import profile, raster
+from cinderframe.operators import frames, profile, raster
 from cinderframe.plans import source_queries
 from cinderframe.sources import tables
 from cinderframe.streaming import observations as ob
@@ -138,3 +138,13 @@ def test_items_make_few_files(spark, tmp_path, monkeypatch):
     spark.range(300).selectExpr("id AS s_suppkey", "'n' AS s_name").write.parquet(str(tmp_path / "supplier.parquet"))
     assert source_queries.q_item_assets(spark, str(tmp_path)).count() == 300
     assert sum(f.is_file() for f in (tmp_path / "items").rglob("*")) < 50
+
+
+def test_equal_polygons_are_taken_once(spark, monkeypatch):
+    """A hundred copies of two shapes that overlap: the area of the two, from the edges of the two alone."""
+    shapes = [[(0.0, 0.0), (4.0, 0.0), (4.0, 2.0), (0.0, 2.0)], [(1.0, 1.0), (5.0, 1.0), (3.0, 4.0)]]
+    one = spark.createDataFrame([("k", [{"x": x, "y": y} for x, y in s]) for s in shapes], "k string, p array<struct<x: double, y: double>>")
+    edges, n = frames._edges, []
+    monkeypatch.setattr(frames, "_edges", lambda polygons, *a: n.append(polygons.count()) or edges(polygons, *a))
+    assert frames.union_area(one.crossJoin(spark.range(100).select()).repartition(3), ["k"], "p", 1.0).first().area == pytest.approx(8 + 6 - 8 / 3)
+    assert n == [2]
