@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import random
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from cinderframe.functions import weather as wx
 from cinderframe.operators import frames, profile, raster
 from cinderframe.plans import source_queries
 from cinderframe.sources import tables
-from cinderframe.streaming import observations as ob
+from cinderframe.streaming import observations as ob, schedule
 
 
 def test_vapour_at_the_pole_of_its_formula(spark):
@@ -148,3 +150,24 @@ def test_equal_polygons_are_taken_once(spark, monkeypatch):
     monkeypatch.setattr(frames, "_edges", lambda polygons, *a: n.append(polygons.count()) or edges(polygons, *a))
     assert frames.union_area(one.crossJoin(spark.range(100).select()).repartition(3), ["k"], "p", 1.0).first().area == pytest.approx(8 + 6 - 8 / 3)
     assert n == [2]
+
+
+def test_schedule_reads_and_writes_once_a_key():
+    """Fifty ticks of one key, in parts and out of order: a state and a timer for the key, not for each tick."""
+    calls, held, timers = [], [None], set()
+    state = SimpleNamespace(get=lambda: calls.append("get") or held[0], update=lambda x: calls.append("put") or held.__setitem__(0, x))
+    handle = SimpleNamespace(getValueState=lambda *a: state, registerTimer=lambda t: calls.append("timer") or timers.add(t), deleteTimer=lambda t: calls.append("timer") or timers.discard(t))
+    at = lambda now: SimpleNamespace(getCurrentWatermarkInMs=lambda: now)
+    part = lambda rows: pd.DataFrame(rows, columns=["tick_ms", "at_ms", "id"])
+    p = schedule.Schedule()
+    p.init(handle)
+    rows = [(100 * (k % 50 + 1), k, 2**60 + k) for k in range(200)]
+    random.Random(6).shuffle(rows)
+    assert not list(p.handleInputRows(("a",), iter([part(rows[:90]), part([(7, 7, None)]), part(rows[90:])]), at(0)))
+    assert calls == ["get", "put", "timer"] and timers == {100}
+    early = [r for x in p.handleExpiredTimer(("a",), at(2000), SimpleNamespace(getExpiryTimeInMs=lambda: timers.pop())) for r in x.itertuples(index=False)]
+    late = [r for x in p.handleInputRows(("a",), iter([part([(100, 1, 5)])]), at(2000)) for r in x.itertuples(index=False)]
+    rest = [r for x in p.handleExpiredTimer(("a",), at(9000), SimpleNamespace(getExpiryTimeInMs=lambda: timers.pop())) for r in x.itertuples(index=False)]
+    assert len(calls) <= 10 and not timers
+    assert [(r.tick_ms, r.at_ms, r.id) for r in early + rest] == sorted(rows) and {r.tick_ms for r in early} == set(range(100, 2001, 100))
+    assert [(r.id, r.late) for r in late] == [(5, True)] and [r.seq for r in early + late + rest] == list(range(1, 202)) and not any(r.late for r in early + rest)
